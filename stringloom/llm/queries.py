@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stringloom.llm import bpe
+from stringloom.llm import bpe, mixing
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("op3_source_mixing")
+def op3_source_mixing(spark, sf_dir):
+    mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @REGISTRY.add("op4_byte_bpe")
 def op4_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
