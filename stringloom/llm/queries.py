@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stringloom.llm import bpe, mixing
+from stringloom.llm import bpe, mixing, topk
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add(
+    "op2_exact_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM pairs)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 10
+    """,
+)
+def op2_exact_topk(spark, sf_dir):
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.add("op3_source_mixing")
 def op3_source_mixing(spark, sf_dir):
     mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
