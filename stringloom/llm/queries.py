@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stringloom.llm import bpe, mixing, topk
+from stringloom.llm import ann, bpe, langid, mixing, topk, toxicity
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
@@ -37,3 +37,18 @@ def op3_source_mixing(spark, sf_dir):
 def op4_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@REGISTRY.add("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.add("op9_adaptive_ann")
+def op9_adaptive_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
