@@ -29,9 +29,10 @@ SAMPLE_ROWS = 10_000
 
 
 def _rotation(sample: np.ndarray, dim: int) -> np.ndarray:
+    """Right singular vectors of the sample, from its Gram matrix."""
     if len(sample) < 2:
         return np.eye(dim)
-    return np.linalg.svd(np.floor(sample * SCALE), full_matrices=True)[2].T if len(sample) >= dim else np.linalg.svd(sample.T @ sample)[0]
+    return np.linalg.svd(sample.T @ sample)[0]
 
 
 def _search(queries: Iterator, candidates: Iterator, rotation: np.ndarray, head: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -54,7 +55,7 @@ def _search(queries: Iterator, candidates: Iterator, rotation: np.ndarray, head:
         length = np.sqrt((real**2).sum(1))
         open_ = np.flatnonzero(q_len * length.max(initial=0) * (1 + 1e-9) >= floor)
         if not len(open_):
-            continue  # some later block may still hold rows for other queries of an unsorted stripe
+            break  # later blocks are no longer
         turned = real @ rotation
         rest = np.sqrt((turned[:, head:] ** 2).sum(1))
         bound = q_turned[open_, :head] @ turned[:, :head].T + q_rest[open_, None] * rest[None, :]
