@@ -29,16 +29,20 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def positions(df: DataFrame, group: str, order: Sequence[Column], name: str = "position") -> DataFrame:
+def positions(df: DataFrame, group: str, order: Sequence[Column], name: str = "position", facts: DataFrame | None = None) -> DataFrame:
     """``df`` with each row's place, from 1, in its group: sorted ranges, then offsets from the ranges' counts.
 
-    ``df`` is read twice and should be narrow and cut. Only (range, group, count) rows meet in one place.
+    ``df`` is read twice and should be narrow and cut. Only (range, group, count) rows of one group meet in one
+    place. ``facts`` are further columns by ``_group``; they reach the rows through the (range, group) offsets,
+    so that no join deals all rows of a group to one task.
     """
     ranged = df.repartitionByRange(F.col(group).asc_nulls_last(), *order).withColumn("_range", F.spark_partition_id())
     ranged = cut(ranged)
     counts = ranged.groupBy("_range", group).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    if facts is not None:
+        offsets = offsets.join(facts, F.col("_g").eqNullSafe(F.col("_group"))).drop("_group")
     inside = Window.partitionBy("_range", group).orderBy(*order)
     numbered = ranged.withColumn("_inside", F.row_number().over(inside))
     joined = numbered.join(offsets, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
@@ -81,9 +85,7 @@ def mix_counts(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (1, 2
     sizes = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_documents")))
     targets = source_targets(sizes.drop("_documents"), weights).join(sizes.select(F.col("source").alias("_s"), "_documents"), F.col("source").eqNullSafe(F.col("_s")))
     order = [F.col("size").desc(), F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
-    placed = positions(narrow, "source", order)
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target", "_documents")
-    mixed = placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    mixed = positions(narrow, "source", order, facts=targets.select(F.col("source").alias("_group"), "source_size", "target", "_documents"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(OFFSET_STEPS)) / F.lit(float(OFFSET_STEPS))
     half = F.floor(F.col("position") / 2)
