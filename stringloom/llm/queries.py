@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stringloom.llm import ann, bpe, langid, mixing, topk, toxicity
+from stringloom.llm import ann, bpe, langid, mixing, topk, toxicity, warc
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
@@ -39,6 +39,21 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@REGISTRY.add(
+    "op5_warc",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+      CASE WHEN octet_length(payload) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN octet_length(payload) >= 100 AND page_id > first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op5_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 @REGISTRY.add("op6_language_id")
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
