@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stringloom.llm import ann, bpe, langid, mixing, topk, toxicity, warc
+from stringloom.llm import ann, bpe, langid, mixing, substring, topk, toxicity, warc
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
@@ -64,6 +64,11 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@REGISTRY.add("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    return substring.removal_digest(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op9_adaptive_ann")
 def op9_adaptive_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
