@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stringloom.llm import ann, bpe, langid, mixing, substring, topk, toxicity, warc
+from stringloom.llm import ann, bpe, chosenpath, langid, mixing, substring, topk, toxicity, warc
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
@@ -72,3 +72,8 @@ def op8_substring_dedup(spark, sf_dir):
 @REGISTRY.add("op9_adaptive_ann")
 def op9_adaptive_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@REGISTRY.add("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
