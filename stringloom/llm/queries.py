@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
 from stringloom.llm import ann, bpe, chosenpath, langid, mixing, substring, topk, toxicity, warc
 from stringloom.registry import Registry, table
 
@@ -77,3 +78,8 @@ def op9_adaptive_ann(spark, sf_dir):
 @REGISTRY.add("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark, sf_dir):
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
