@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from stringloom.llm import ann, bpe, chosenpath, langid, mixing, substring, topk, toxicity, warc
+from stringloom.llm import ann, bpe, chosenpath, langid, licenses, mixing, substring, topk, toxicity, warc
 from stringloom.registry import Registry, table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add(
     "op2_exact_topk",
     """
