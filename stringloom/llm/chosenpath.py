@@ -158,7 +158,7 @@ def _deal(classes: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     level = np.where(settled.any(axis=2), settled.argmax(axis=2), DEPTH - 1)
     chosen = np.take_along_axis(keys, level[:, :, None], axis=2)[:, :, 0]
     kind = np.take_along_axis(kinds, level[:, :, None], axis=2)[:, :, 0]
-    sketches = (hashes >> np.uint64(56)).astype(np.uint8)
+    sketches = (mix64(hashes) & np.uint64(255)).astype(np.uint8)
     made: dict[str, list] = {name: [] for name in empty.column_names}
     small_row, small_run = np.nonzero(kind == 1)
     order, of, parts = _by_bucket(chosen[small_row, small_run], buckets)
@@ -244,7 +244,7 @@ def _compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections between two lists of sets."""
+    """Sizes of all intersections between two lists of sets; of a list with itself, without the diagonal."""
     out = np.zeros((len(left), len(right)), np.int64)
     if len(left) * len(right) <= 64:
         for i, x in enumerate(left):
@@ -252,7 +252,11 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
                 out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
         return out
     l_flat, r_flat = np.concatenate(left), np.concatenate(right)
-    names = np.intersect1d(l_flat, r_flat)
+    if left is right:  # the diagonal is not asked for, so a shingle of one set alone adds nothing
+        names, counts = np.unique(l_flat, return_counts=True)
+        names = names[counts > 1]
+    else:
+        names = np.intersect1d(l_flat, r_flat)
     l_row, r_row = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
     l_at, r_at = np.searchsorted(names, l_flat), np.searchsorted(names, r_flat)
     l_ok, r_ok = (names[np.minimum(at, len(names) - 1)] == flat if len(names) else np.zeros(len(flat), bool) for at, flat in ((l_at, l_flat), (r_at, r_flat)))
@@ -291,7 +295,8 @@ def _verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
     links = np.zeros(len(expected), np.int64)
     forest = Forest()
     if left and right:
-        over = _overlaps([sets[r] for r in left], [sets[r] for r in right])
+        l_sets = [sets[r] for r in left]
+        over = _overlaps(l_sets, l_sets if i == j else [sets[r] for r in right])
         size_l, size_r = np.array([len(sets[r]) for r in left]), np.array([len(sets[r]) for r in right])
         linked = over * DENOMINATOR >= NUMERATOR * (size_l[:, None] + size_r[None, :] - over)
         if i == j:
