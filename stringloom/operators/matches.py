@@ -17,10 +17,10 @@ KEYS = ("query_id", "text_id")
 def _statistics(query: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(longest prefix of each query suffix in the text, first rank in the text that starts with it, last).
 
-    Both texts are sorted as one, a separator above all symbols between them; the nearest text suffixes on
-    both sides of a query suffix hold its longest match."""
+    Both texts are sorted as one, a separator below all symbols between them, which keeps the text's own order;
+    the nearest text suffixes on both sides of a query suffix hold its longest match."""
     m, n = len(query), len(text)
-    both = np.concatenate([text, [0x110000], query])  # the separator is no code point
+    both = np.concatenate([text + 1, [0], query + 1])
     order = kernels.suffix_order([both])
     sa, lcp = order.sa, order.lcp
     is_text = sa < n

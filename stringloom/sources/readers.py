@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,11 @@ def lines_of(texts: DataFrame, id_col: str = "text_id", text_col: str = "text")
 
 
 def fasta(lines: DataFrame, collapse_n: bool = False, id_col: str = "text_id") -> DataFrame:
-    """(id, sequences, chars, text): header lines (``>``) dropped and counted, the other lines joined in order and put in upper
-    case; ``collapse_n`` makes one N of every run, also across headers and lines."""
+    """(id, sequences, chars, text): header lines (``>``) dropped and counted, the other lines joined in order, ASCII letters in
+    upper case; ``collapse_n`` makes one N of every run, also across headers and lines."""
     header = F.col("value").startswith(">")
     rows = F.array_sort(F.collect_list(F.when(~header, F.struct("line_no", "value"))))
-    whole = lines.groupBy(id_col).agg(F.count_if(header).alias("sequences"), F.upper(F.array_join(F.transform(rows, lambda r: r["value"]), "")).alias("text"))
+    whole = lines.groupBy(id_col).agg(F.count_if(header).alias("sequences"), F.translate(F.array_join(F.transform(rows, lambda r: r["value"]), ""), ascii_lowercase, ascii_uppercase).alias("text"))
     text = F.regexp_replace("text", "N+", "N") if collapse_n else F.col("text")
     return whole.select(id_col, "sequences", F.char_length(text).cast("bigint").alias("chars"), text.alias("text"))
 
