@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.llm import vectors
-from stringloom.llm.common import map_groups
+from stringloom.llm.common import map_groups, pick
 from stringloom.session import cut
 
 SAMPLE_ROWS = 20_000
@@ -117,6 +117,7 @@ def nearest(df: DataFrame, k: int = 5, query_step: int = 50, id_col: str = "vec_
     """
     spark = df.sparkSession
     result = "query_id bigint, vec_id bigint, score double"
+    df = pick(df, id_col, vector)
     dim = vectors.dimension(df, vector)
     rows = vectors.clean(df, id_col, vector, dim, nonzero=True) if dim else None
     total = rows.count() if dim else 0

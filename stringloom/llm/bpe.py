@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from stringloom.llm.common import pick
+
 LEAF_BYTES = 32
 CACHE_PIECES = 400_000
 
@@ -141,8 +143,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             tokens = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(tokens, pa.list_(pa.int32()))], names=[id_col, "tokens"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, tokens array<int>")
+    named = pick(docs, id_col, text_col)
+    kind = named.schema[id_col].dataType.simpleString()
+    return named.mapInArrow(run, f"`{id_col}` {kind}, tokens array<int>")
 
 
 def decode_tokens(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -172,5 +175,6 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             counts, ids, raw = zip(*made) if made else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    named = pick(docs, id_col, text_col)
+    kind = named.schema[id_col].dataType.simpleString()
+    return named.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

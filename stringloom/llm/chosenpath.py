@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import map_groups, mix64, shingles, text_chunks, word_hashes, word_spans
+from stringloom.llm.common import map_groups, mix64, pick, shield, shingles, text_chunks, word_hashes, word_spans
 from stringloom.llm.components import components
 from stringloom.session import cut
 
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words have no links. Rows without an id take no part and have no class. Repeated rows are copies of each
     other; an id should not stand for two texts. Other columns are not read.
     """
+    docs = pick(docs, id_col, text_col)
     described = cut(_describe(docs, id_col, text_col))
     shape = Window.partitionBy("fp1", "fp2")
     packed = described.groupBy("fp1", "fp2", F.pmod(F.xxhash64("id"), F.lit(MEMBER_SALTS)).alias("salt")).agg(F.collect_list("id").alias("ids"), F.min("id").alias("least"), F.count("*").alias("held"))
@@ -393,4 +394,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` that stand first in their class, and all rows that have no class or no words."""
     found = near_duplicates(docs, id_col, text_col)
     drop = found.filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_id"), "left_anti")
+    plain, at = shield(docs)
+    return plain.join(drop, F.col(at[id_col]) == F.col("_id"), "left_anti").toDF(*docs.columns)

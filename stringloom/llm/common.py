@@ -145,6 +145,33 @@ def map_groups(df: DataFrame, key: str, kernel: Callable[[pa.Table], Iterator[pa
     return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Just the columns of these names, whatever else the table holds: names that differ in case or stand twice
+    don't clash. A name is taken as written where it stands so, else without regard to case."""
+    plain, at = shield(df)
+    return plain.select(*[F.col(at[n]).alias(n) for n in names])
+
+
+class _Names(dict):
+    """Shielded names by column name."""
+
+    def __missing__(self, name: str) -> str:
+        for own, safe in self.items():
+            if own.lower() == name.lower():
+                return safe
+        raise ValueError(f"no column {name!r} among {list(self)}")
+
+
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names that clash with nothing, and the new name behind each old one (the first, if it stands twice).
+    ``toDF(*df.columns)`` on a result with the same columns brings the old names back."""
+    safe = [f"c{i}_" for i in range(len(df.columns))]
+    at = _Names()
+    for own, name in zip(df.columns, safe):
+        at.setdefault(own, name)
+    return df.toDF(*safe), at
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all values of a string column."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

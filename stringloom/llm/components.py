@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from stringloom.session import cut
 
+SALTS = 16
+
+
+def _follow(rows: DataFrame, steps: DataFrame, column: str) -> DataFrame:
+    """(node, column) with ``column`` replaced by its next step (_n, _to), if it has one. Many nodes point to one, so the
+    join is salted."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    right = steps.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, (F.col(column) == F.col("_n")) & (F.col("_salt") == F.col("_s")), "left").select("node", F.coalesce("_to", column).alias(column))
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a bigint, b bigint); a component is its smallest node.
 
     Each round hooks every node to its smallest neighbour, follows that one step further, and contracts the
-    edges; at least half of the nodes with an edge go in each round. Rounds are cut to shared storage.
+    edges, until none is left. Rounds are cut to shared storage.
     """
     left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
@@ -23,7 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hooked = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
         hooked = cut(hooked)
         onward = hooked.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-        stepped = cut(hooked.join(onward, hooked["to"] == onward["_n"], "left").select("node", F.coalesce("_to", "to").alias("to")))
+        stepped = cut(_follow(hooked, onward, "to"))
         maps.append(stepped)
         a = stepped.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = stepped.select(F.col("node").alias("b"), F.col("to").alias("y"))
@@ -36,5 +46,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     found = maps[0].select("node", F.col("to").alias("component"))
     for step in maps[1:]:
         nodes = step.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-        found = found.join(nodes, found["component"] == nodes["_n"], "left").select("node", F.coalesce("_to", "component").alias("component"))
+        found = _follow(found, nodes, "component")
     return cut(found)

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import crc_fold
+from stringloom.llm.common import crc_fold, pick
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -133,6 +133,7 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
 
 def identify(docs: DataFrame, fold: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learnt from the documents outside the held-out fold."""
+    docs = pick(docs, "doc_id", "text", "lang")
     out = crc_fold("doc_id", fold) == held
     langs, log_prob = train(docs.filter(~F.coalesce(out, F.lit(True))).select("doc_id", "text", "lang"))
     return predict(docs, langs, log_prob, [F.col("doc_id"), F.coalesce(out, F.lit(False)).alias("held_out")])

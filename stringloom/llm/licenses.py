@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import shingles, text_chunks, word_hashes, word_spans
+from stringloom.llm.common import pick, shingles, text_chunks, word_hashes, word_spans
 
 THRESHOLD = 0.8
 
@@ -225,8 +225,9 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] | None =
                     found[first + r] = [dict(zip(("license", "dice", "first_word", "words"), m)) for m in matches]
             yield pa.record_batch([batch.column(0), pa.array(found, kinds)], names=[id_col, "matches"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {MATCHES}")
+    named = pick(docs, id_col, text_col)
+    kind = named.schema[id_col].dataType.simpleString()
+    return named.mapInArrow(run, f"`{id_col}` {kind}, {MATCHES}")
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import WORD
+from stringloom.llm.common import WORD, pick, shield
 from stringloom.session import cut
 
 OFFSET_STEPS = 4096  # offsets are multiples of 1 / 4096, so that adding one never rounds up to a whole number
@@ -81,7 +81,7 @@ def mix_counts(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (1, 2
     hash of the id and then the id itself; repeated rows count one by one. Reruns agree for one seed. A source
     without words has target 0 and takes nothing. An empty table gives no rows. Other columns are not read.
     """
-    narrow = cut(docs.select(F.col(id_col), F.col("source"), word_count().alias("size")))
+    narrow = cut(pick(docs, id_col, "source", "text").select(id_col, "source", word_count().alias("size")))
     sizes = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_documents")))
     targets = source_targets(sizes.drop("_documents"), weights).join(sizes.select(F.col("source").alias("_s"), "_documents"), F.col("source").eqNullSafe(F.col("_s")))
     order = [F.col("size").desc(), F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
@@ -99,9 +99,9 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (1, 2, 3), i
 
     Ids should be unique: each of several rows that share an id comes out as often as they do on average, rounded down.
     """
-    columns = docs.columns
+    plain, at = shield(docs)
     counts = mix_counts(docs, seed, weights, id_col).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    joined = docs.join(counts, F.col(id_col).eqNullSafe(F.col("_id")))
+    joined = plain.join(counts, F.col(at[id_col]).eqNullSafe(F.col("_id")))
     each = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
     repeated = joined.withColumn("_each", F.when(F.col("_rows") == 1, F.col("_copies").cast("int")).otherwise(each))
-    return repeated.filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*columns)
+    return repeated.filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*plain.columns).toDF(*docs.columns)

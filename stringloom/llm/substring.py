@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.llm import recompress
-from stringloom.llm.common import _Tables, grouped, map_groups, mix64, text_bytes, text_chunks, word_hashes, word_spans
+from stringloom.llm.common import _Tables, grouped, map_groups, mix64, pick, shield, text_bytes, text_chunks, word_hashes, word_spans
 
 WINDOW = 35
 ROUNDS = 6
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, text_col: str, finish: Callable[[pa.Table, i
     """Run the three passes; ``finish`` makes the output columns from a batch's table and the kept words of each row.
 
     Null and empty texts have no words. Repeated rows are occurrences of their own, so copies remove each
-    other. Texts shorter than a window stay. Columns of ``docs`` may have any names but ``_text`` and ``batch``.
+    other. Texts shorter than a window stay. ``docs`` has no columns named ``_text`` or ``batch`` (callers shield theirs).
     """
     total = text_bytes(docs, text_col)
     batches = max(1, math.ceil(total / batch_bytes))
@@ -222,20 +222,24 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kept = [hashlib.sha256(joined(raw, stays)).hexdigest() for raw, stays in zip(_raw(texts.column("_text")), rows)]
         return pa.table([texts.column(id_col), pa.array(counts[:, 0]), pa.array(counts[:, 1]), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return remove_repeats(docs.select(id_col, text_col), text_col, finish, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string", width, batch_bytes=batch_bytes)
+    named = pick(docs, id_col, text_col)
+    kind = named.schema[id_col].dataType.simpleString()
+    return remove_repeats(named, text_col, finish, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string", width, batch_bytes=batch_bytes)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", width: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages taken out of the texts; a text that loses nothing stays as it is, others
     become their kept words with one space between them (possibly none). ``length_col`` follows the new text."""
-    columns = docs.columns
+    plain, at = shield(docs)
+    columns, text = plain.columns, at[text_col]
 
     def finish(texts: pa.Table, rows: list, counts: np.ndarray) -> pa.Table:
         old = texts.column("_text").to_pylist()
         new = [t if stays is None else joined(t.encode(), stays).decode() for t, stays in zip(old, rows)]
-        return pa.table([pa.array(new, pa.string()) if c == text_col else texts.column(c) for c in columns], names=columns)
+        return pa.table([pa.array(new, pa.string()) if c == text else texts.column(c) for c in columns], names=columns)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = remove_repeats(docs, text_col, finish, schema, width)
-    return out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType)) if length_col in columns else out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    out = remove_repeats(plain, text, finish, schema, width)
+    if length_col in docs.columns:
+        out = out.withColumn(at[length_col], F.char_length(text).cast(plain.schema[at[length_col]].dataType))
+    return out.toDF(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.llm import vectors
-from stringloom.llm.common import map_groups
+from stringloom.llm.common import map_groups, pick
 from stringloom.session import cut
 
 SCALE = 1024
@@ -98,6 +98,7 @@ def top_inner_products(df: DataFrame, k: int = 10, query_step: int = 100, id_col
     """
     spark = df.sparkSession
     result = "query_id bigint, vec_id bigint, score bigint"
+    df = pick(df, id_col, vector)
     dim = vectors.dimension(df, vector)
     if not dim:
         return vectors.best(spark.createDataFrame([], result), k)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import crc_fold, mix64, shingles, text_chunks, word_hashes, word_spans
+from stringloom.llm.common import crc_fold, mix64, pick, shield, shingles, text_chunks, word_hashes, word_spans
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 16_000  # of the training sample
 PREFIXES = (4, 5, 6, 7)
@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows without a label, id or text are not learnt from. Near copies count once behind a cue.
     """
+    docs, labels = pick(docs, id_col, text_col), pick(labels, id_col, label_col)
     labels = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("_label"))
     counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     toxic_n, clean_n = counts.get(1, 0), counts.get(0, 0)
@@ -262,6 +263,7 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[Column], text_col: str = "
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted): learnt from the labels outside the held-out fold."""
+    docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
     scorer = train(docs, labels.filter(crc_fold("doc_id", fold) != held))
     out = F.coalesce(crc_fold("doc_id", fold) == held, F.lit(False))
     return score(docs, scorer, [F.col("doc_id"), out.alias("held_out")])
@@ -269,5 +271,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model trained on all labels does not reject."""
-    scored = score(docs, train(docs, labels), [F.col(c) for c in docs.columns])
-    return scored.filter("predicted = 0").select(*docs.columns)
+    plain, at = shield(docs)
+    scored = score(plain, train(docs, labels), [F.col(c) for c in plain.columns], text_col=at["text"])
+    return scored.filter("predicted = 0").select(*plain.columns).toDF(*docs.columns)

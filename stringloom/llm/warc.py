@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
+from stringloom.llm.common import pick
 from stringloom.session import shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length bigint, content_length bigint, payload binary"
@@ -357,7 +358,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     an id is a response and no page refers to it. Extra columns are not read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    hashed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("bigint"))
+    hashed = pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("bigint"))
     narrow = hashed.filter((F.col("bytes") >= LEAST_REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last")
     salted = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
