@@ -197,7 +197,7 @@ class WarcReader(DataSourceReader):
                 size = 0
             out[-1].files.append(name)
             size += n
-        return out
+        return out or [FilePartition([])]  # one empty partition where there is no archive
 
     def wanted(self, row: dict) -> bool:
         for column, kind, value in self.tests:
