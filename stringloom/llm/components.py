@@ -10,19 +10,29 @@ from stringloom.session import cut
 SALTS = 16
 
 
-def _follow(rows: DataFrame, steps: DataFrame, column: str) -> DataFrame:
-    """(node, column) with ``column`` replaced by its next step (_n, _to), if it has one. Many nodes point to one, so the
+def _follow(rows: DataFrame, steps: DataFrame, column: str, *others: str) -> DataFrame:
+    """(node, column, *others) with ``column`` replaced by its next step (_n, _to), if it has one. Many nodes point to one, so the
     join is salted."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     right = steps.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, (F.col(column) == F.col("_n")) & (F.col("_salt") == F.col("_s")), "left").select("node", F.coalesce("_to", column).alias(column))
+    return left.join(right, (F.col(column) == F.col("_n")) & (F.col("_salt") == F.col("_s")), "left").select("node", F.coalesce("_to", column).alias(column), *others)
+
+
+def _to_ends(hooked: DataFrame) -> DataFrame:
+    """(node, to) with hooks, which always fall, followed to their ends."""
+    while True:
+        onward = hooked.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
+        stepped = cut(_follow(hooked.withColumn("_was", F.col("to")), onward, "to", "_was"))
+        if stepped.filter("to <> _was").isEmpty():
+            return stepped.select("node", "to")
+        hooked = stepped.select("node", "to")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a bigint, b bigint); a component is its smallest node.
 
-    Each round hooks every node to its smallest neighbour, follows that one step further, and contracts the
-    edges, until none is left. Rounds are cut to shared storage.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends by doubling (a chain of
+    n nodes takes log n steps), and contracts the edges, until none is left. Rounds are cut to shared storage.
     """
     left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
@@ -32,8 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
         hooked = cut(hooked)
-        onward = hooked.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-        stepped = cut(_follow(hooked, onward, "to"))
+        stepped = _to_ends(hooked)
         maps.append(stepped)
         a = stepped.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = stepped.select(F.col("node").alias("b"), F.col("to").alias("y"))
