@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stringloom.operators import kernels
 
@@ -43,7 +44,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_min(differing) - 1, n)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a(values: pd.Series) -> pd.Series:
     """FNV-1a over an array of 64-bit values, as decimal text (it does not fit a signed long)."""
     return values.map(lambda x: None if x is None else str(kernels.fnv1a([int(v) & 0xFFFFFFFFFFFFFFFF for v in x])))

@@ -16,7 +16,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(text_id, text): each file as one text whose characters stand for its bytes, so positions are byte positions."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("text_id"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    return files.select(F.col("path").alias("text_id"), F.decode("content", "ISO-8859-1").alias("text"))
 
 
 def read_patterns(spark: SparkSession, path: str, skip_empty: bool = True) -> DataFrame:
