@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from stringloom.session import cut
 
-SALTS = 16
-
 
 def _follow(rows: DataFrame, steps: DataFrame, column: str, *others: str) -> DataFrame:
-    """(node, column, *others) with ``column`` replaced by its next step (_n, _to), if it has one. Many nodes point to one, so the
-    join is salted."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    right = steps.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, (F.col(column) == F.col("_n")) & (F.col("_salt") == F.col("_s")), "left").select("node", F.coalesce("_to", column).alias(column), *others)
+    """(node, column, *others) with ``column`` replaced by its next step (_n, _to), if it has one. Many nodes can
+    point to one; such rows are a few bytes each, and adaptive execution splits the left side of an outer join."""
+    return rows.join(steps, F.col(column) == F.col("_n"), "left").select("node", F.coalesce("_to", column).alias(column), *others)
 
 
 def _to_ends(hooked: DataFrame) -> DataFrame:
