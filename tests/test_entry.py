@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def test_sql_belongs_to_queries():
 
 
 def _value(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     if hasattr(x, "tolist"):
         x = x.tolist()
