@@ -146,3 +146,10 @@ def increasing_length(rows: DataFrame, group: str, order: list[str], value: str)
 
     whole = rows.filter(F.col(value).isNotNull()).select(group, *[c for c in order if c != group], *[c for c in (value,) if c not in (*order, group)])
     return whole.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, f"`{group}` {kind}, entries bigint, length bigint")
+
+
+def value_slice(rows: DataFrame, low: int, high: int, group: str = "text_id", rank: str = "rank", value: str = "lcp") -> DataFrame:
+    """(group, values): the values of ranks [low, high), in order; ranks past the end are left out."""
+    inside = rows.filter((F.col(rank) >= low) & (F.col(rank) < high))
+    held = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))))
+    return inside.groupBy(group).agg(F.transform(held, lambda x: x["v"]).alias("values"))

@@ -89,3 +89,10 @@ def size_report(parts: DataFrame, key: str, part: str, size: str, chars: str) ->
     each = parts.groupBy(key, part).agg(F.sum(size).alias("bytes"), F.max(chars).alias("chars"))
     total = each.groupBy(key).agg(F.sum("bytes").alias("bytes"), F.max("chars").alias("chars")).select(key, F.lit("total").alias(part), "bytes", "chars")
     return each.unionByName(total).select(key, part, "bytes", megabytes(F.col("bytes")).alias("mb"), bits_per_char(F.col("bytes"), F.col("chars")).alias("bpc"))
+
+
+def size_tree(parts: DataFrame, path: str, size: str) -> DataFrame:
+    """(node, level, bytes): sizes of nested parts summed up to every ancestor; ``path`` is an array of names from the root."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(F.col(path), 1, n))
+    each = parts.filter(F.size(path) > 0).select(F.explode(prefixes).alias("_p"), F.col(size).alias("_s"))
+    return each.groupBy("_p").agg(F.sum("_s").alias("bytes")).select(F.array_join("_p", "/").alias("node"), F.size("_p").alias("level"), "bytes")

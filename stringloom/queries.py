@@ -115,7 +115,7 @@ def pattern_place_digest(spark, sf_dir):
 
 @add("documents_find")
 def documents_find(spark, sf_dir):
-    passages = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 32).alias("pattern"))
+    passages = table(spark, sf_dir, "benchmark").select(F.col("text").alias("pattern"))
     return search.summary(search.find(documents(spark, sf_dir), search.collect_patterns(passages)))
 
 
@@ -294,6 +294,11 @@ def lcp_large_values(spark, sf_dir):
     return ranges.large_values(index.suffix_table(texts(spark, sf_dir), ["lcp"]), least=4)
 
 
+@add("lcp_slice", f"WITH {L} SELECT text_id, list(lcp ORDER BY rank) AS values FROM l WHERE rank >= 5 AND rank < 25 GROUP BY text_id")
+def lcp_slice(spark, sf_dir):
+    return ranges.value_slice(index.suffix_table(texts(spark, sf_dir), ["lcp"]), 5, 25)
+
+
 @add("documents_large_lcp")
 def documents_large_lcp(spark, sf_dir):
     t = index.suffix_table(documents(spark, sf_dir), ["lcp"])
@@ -643,6 +648,12 @@ def size_report(spark, sf_dir):
     return relative.size_report(parts, "lang", "source", "size", "n_chars")
 
 
+@add("size_tree", "WITH p AS (SELECT lang, source, octet_length(encode(text)) AS b FROM documents) SELECT 'corpus' AS node, 1 AS level, CAST(sum(b) AS BIGINT) AS bytes FROM p UNION ALL SELECT 'corpus/' || lang, 2, CAST(sum(b) AS BIGINT) FROM p GROUP BY lang UNION ALL SELECT 'corpus/' || lang || '/' || source, 3, CAST(sum(b) AS BIGINT) FROM p GROUP BY lang, source")
+def size_tree(spark, sf_dir):
+    parts = table(spark, sf_dir, "documents").select(F.array(F.lit("corpus"), "lang", "source").alias("path"), F.octet_length("text").cast("bigint").alias("size"))
+    return relative.size_tree(parts, "path", "size")
+
+
 @add("bit_lengths", "SELECT o_orderkey, CAST(CASE WHEN o_custkey = 0 THEN 0 ELSE length(bin(o_custkey)) END AS INTEGER) AS bits, CASE WHEN o_custkey - 700 < 0 THEN -2 * (o_custkey - 700) - 1 ELSE 2 * (o_custkey - 700) END AS code, o_custkey - 700 AS back FROM orders")
 def bit_lengths(spark, sf_dir):
     v = F.col("o_custkey") - 700
@@ -693,9 +704,9 @@ def random_ranges(spark, sf_dir):
     return generators.random_ranges(spark, 1000, 1_000_000)
 
 
-@add("dedup_patterns", "SELECT DISTINCT substring(text, 1, 24) AS pattern FROM benchmark")
+@add("dedup_patterns", "SELECT DISTINCT text AS pattern FROM documents")
 def dedup_patterns(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("pattern")).distinct()
+    return table(spark, sf_dir, "documents").select(F.col("text").alias("pattern")).distinct()
 
 
 @add("log_sizes")

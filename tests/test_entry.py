@@ -46,6 +46,6 @@ def test_rest_stands_without_llm(tmp_path):
     """The library and its entry import where the optional subpackage is gone."""
     for name in ("stringloom", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "stringloom/llm")], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "stringloom/llm")], check=True)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
