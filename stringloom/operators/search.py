@@ -41,17 +41,21 @@ def collect_patterns(patterns: DataFrame, column: str = "pattern") -> list[str]:
     return sorted(r[0] for r in patterns.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
-def find_range(symbols: np.ndarray, sa: np.ndarray, pattern: np.ndarray) -> tuple[int, int]:
+def raw_symbols(symbols: np.ndarray) -> bytes:
+    """Symbols as big-endian bytes, whose order is theirs: slices compare without unpacking."""
+    return symbols.astype(">u4").tobytes()
+
+
+def find_range(raw: bytes, sa: list[int], pattern: bytes) -> tuple[int, int]:
     """Ranks whose suffixes start with the pattern, both included; (1, 0) without any."""
-    n, m = len(sa), len(pattern)
-    wanted = (pattern + 1).tolist()
+    m = len(pattern)
 
     def side(after: bool) -> int:
-        low, high = 0, n
+        low, high = 0, len(sa)
         while low < high:
             mid = (low + high) // 2
-            own = symbols[sa[mid] : sa[mid] + m].tolist()
-            if own < wanted or (after and own == wanted):
+            own = raw[4 * sa[mid] : 4 * sa[mid] + m]
+            if own < pattern or (after and own == pattern):
                 low = mid + 1
             else:
                 high = mid
@@ -62,7 +66,7 @@ def find_range(symbols: np.ndarray, sa: np.ndarray, pattern: np.ndarray) -> tupl
 
 
 def _search(texts: DataFrame, patterns: list[str], places: bool, id_col: str, text_col: str) -> DataFrame:
-    coded = [(p, kernels.codes(p)) for p in patterns]
+    coded = [(p, raw_symbols(kernels.codes(p) + 1), frozenset((kernels.codes(p) + 1).tolist())) for p in patterns]
     names = [id_col, "pattern", "rank", "pos"] if places else [id_col, "pattern", "sp", "ep", "cnt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,14 +75,14 @@ def _search(texts: DataFrame, patterns: list[str], places: bool, id_col: str, te
                 order = kernels.suffix_order(held, with_lcp=False)
                 at, said, numbers = [], [], []
                 for row, a, b in zip(rows, order.bounds[:-1], order.bounds[1:]):
-                    sa, symbols = order.sa[a:b], order.symbols[a:b]
-                    known = set(symbols.tolist())
-                    for name, p in coded:
-                        sp, ep = find_range(symbols, sa, p) if known.issuperset((p + 1).tolist()) else (1, 0)
+                    sa, raw = order.sa[a:b].tolist(), raw_symbols(order.symbols[a:b])
+                    known = set(np.unique(order.symbols[a:b]).tolist())
+                    for name, p, used in coded:
+                        sp, ep = find_range(raw, sa, p) if used <= known else (1, 0)
                         if places:
                             at += [row] * (ep - sp + 1)
                             said += [name] * (ep - sp + 1)
-                            numbers += [(r, int(sa[r])) for r in range(sp, ep + 1)]
+                            numbers += [(r, sa[r]) for r in range(sp, ep + 1)]
                         else:
                             at.append(row)
                             said.append(name)
