@@ -34,7 +34,8 @@ class SuffixOrder:
 
 
 def suffix_order(texts: Sequence[np.ndarray], end_marks: Sequence[int] | None = None, with_lcp: bool = True) -> SuffixOrder:
-    """Prefix doubling over all texts at once; common prefixes come from the ranks of the doubling rounds."""
+    """Prefix doubling over all texts at once, from as many symbols as fit a 64-bit key; common prefixes come from
+    the ranks of the doubling rounds and, below the first of them, from the symbols."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     n = int(bounds[-1])
@@ -42,9 +43,20 @@ def suffix_order(texts: Sequence[np.ndarray], end_marks: Sequence[int] | None =
     for k, t in enumerate(texts):
         symbols[bounds[k] : bounds[k + 1] - 1] = t + 1
     of = np.repeat(np.arange(len(texts)), lengths)
-    key = (of << 22) + symbols
-    step, levels = 1, []
     end = bounds[1:][of]
+    distinct, dense = np.unique(symbols, return_inverse=True)
+    bits, text_bits = max(1, int(len(distinct) - 1).bit_length()), max(1, len(texts).bit_length())
+    first = max(1, min(8, (62 - text_bits) // bits))
+    dense = dense.astype(np.int64)
+    key = of.astype(np.int64)
+    for j in range(first):
+        key = key << bits
+        if j == 0:
+            key += dense
+        else:
+            inside = np.flatnonzero(np.arange(j, n + j) < end)
+            key[inside] += dense[inside + j]
+    step, levels = first, []
     while True:
         order = np.argsort(key, kind="stable")
         ranked = key[order]
@@ -76,6 +88,13 @@ def suffix_order(texts: Sequence[np.ndarray], end_marks: Sequence[int] | None =
             ok = (x < end[a]) & (y < end[b])
             ok[ok] = ranks[x[ok]] == ranks[y[ok]]
             got[ok] += width
+        open_ = np.arange(len(at))
+        for _ in range(first - 1):  # what is left is shorter than the first round's keys
+            x, y = a[open_] + got[open_], b[open_] + got[open_]
+            same = (x < end[a[open_]]) & (y < end[b[open_]])
+            same[same] = symbols[x[same]] == symbols[y[same]]
+            open_ = open_[same]
+            got[open_] += 1
         lcp[at] = got
     return SuffixOrder(bounds, sa, isa, lcp, symbols)
 
