@@ -11,7 +11,7 @@ Documents are dealt once into batches of bounded size. Three passes over the bat
 
 A batch asks for each distinct name once, so a passage with a third of all rows sends no more rows than a
 rare one, and questions of many names share a row. Names are 64-bit fingerprints inside a bucket chosen by
-independent bits; there are as many buckets as batches, so the width grows with the corpus.
+independent bits; there are as many buckets as partitions, so the width grows with the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from stringloom.llm.common import _Tables, grouped, map_groups, mix64, pick, shi
 
 WINDOW = 35
 ROUNDS = 6
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20  # of text in a batch
+PARTITION_BATCHES = 4  # several batches share a partition, which evens the partitions out
 ASKED = "bucket bigint, batch bigint, kind int, names binary, many binary"
 ANSWERED = "batch bigint, kind int, bucket bigint, shared binary"
 SYMBOLS, WINDOWS = 0, 1
@@ -172,10 +173,11 @@ def remove_repeats(docs: DataFrame, text_col: str, finish: Callable[[pa.Table, i
     """
     total = text_bytes(docs, text_col)
     batches = max(1, math.ceil(total / batch_bytes))
-    plan = Removal(max(batches, 12), width, rounds)
+    partitions = max(1, math.ceil(batches / PARTITION_BATCHES))
+    plan = Removal(max(partitions, 12), width, rounds)
     others = [c for c in docs.columns if c != text_col]
     key = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(batches))
-    dealt = docs.select(*[F.col(c) for c in others], F.col(text_col).alias("_text"), key.alias("batch")).repartition(batches, "batch")
+    dealt = docs.select(*[F.col(c) for c in others], F.col(text_col).alias("_text"), key.alias("batch")).repartition(partitions, "batch")
 
     asked = map_sorted(dealt, plan.ask_symbols, ASKED)
     symbols = map_groups(asked, "bucket", answer, ANSWERED)
