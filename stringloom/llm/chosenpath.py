@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import map_groups, mix64, pick, shield, shingles, text_chunks, word_hashes, word_spans
+from stringloom.llm.common import map_groups, mix64, pick, positions, shield, shingles, text_chunks, word_hashes, word_spans
 from stringloom.llm.components import components
 from stringloom.session import cut
 
@@ -356,10 +356,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = map_groups(rows, "bucket", _compare, "a bigint, b bigint")
 
     clusters = components(candidates)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("_c"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, F.col("component") == F.col("_c")).join(heads, F.col("node") == F.col("rep")).select(F.col("node").alias("id"), "component", "blocks", "fp1", "copies")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("block", block)
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("_group"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
+    numbered = positions(clusters, "component", [F.col("node")], facts=sizes)
+    block = F.floor((F.col("position") - 1) / BLOCK_ROWS).cast("int")
+    placed = numbered.join(heads, F.col("node") == F.col("rep")).select(F.col("node").alias("id"), "component", "blocks", block.alias("block"), "fp1", "copies")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")).join(placed, "id")
     paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("id", "_text", "component", "fp1", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("blocks") == 1).alias("whole"))
