@@ -28,7 +28,7 @@ CAUTION = 12.0  # squared width of the confidence bound
 LEAST_CUE = 0.5
 THRESHOLD = 0.3
 BASE_SCORE = 0.02
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 MODEL_WORDS = 20_000  # background words of the character model
 
 # The letters that a sign can stand for.
