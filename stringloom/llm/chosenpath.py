@@ -34,7 +34,8 @@ SKETCH = 64
 SKETCH_SHARE = 0.55  # equal sketch bytes of a candidate pair: five deviations below the threshold
 SMALL_BUCKET = 256
 BLOCK_ROWS = 1024
-BATCH_ROWS = 8192
+BATCH_ROWS = 2048  # classes that ask together
+PARTITION_BATCHES = 4  # several batches share a partition, which evens the partitions out
 MEMBER_SALTS = 256
 
 _SEEDS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xB5297A4D3F84D5B5))
@@ -348,9 +349,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = described.select("id", F.col("fp1").alias("_f"), "hashes").join(heads, (F.col("id") == F.col("rep")) & (F.col("_f") == F.col("fp1"))).dropDuplicates(["id"])
     count = heads.count()
     batches = max(1, math.ceil(count / BATCH_ROWS))
-    buckets = max(12, batches)
-    dealt = classes.select("id", "hashes", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")).repartition(batches, "batch")
-    asked = map_groups(dealt, "batch", lambda t: _ask(t, buckets), "bucket bigint, batch bigint, names binary, counts binary", partitions=batches)
+    partitions = max(1, math.ceil(batches / PARTITION_BATCHES))
+    buckets = max(12, partitions)
+    dealt = classes.select("id", "hashes", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")).repartition(partitions, "batch")
+    asked = map_groups(dealt, "batch", lambda t: _ask(t, buckets), "bucket bigint, batch bigint, names binary, counts binary", partitions=partitions)
     answered = map_groups(asked, "bucket", _answer, "batch bigint, bucket bigint, kinds binary")
     rows = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(lambda c, a: _deal(c, a, buckets), "bucket bigint, kind int, keys binary, ids binary, sketches binary")
     candidates = map_groups(rows, "bucket", _compare, "a bigint, b bigint")
