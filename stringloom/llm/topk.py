@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from stringloom.llm import vectors
 from stringloom.llm.common import map_groups, pick
-from stringloom.session import cut
 
 SCALE = 1024
 BLOCK_ROWS = 1024
-QUERY_ROWS = 256
-TASK_ROWS = 16_384
+QUERY_ROWS = 2048
+TASK_ROWS = 8192
 SAMPLE_ROWS = 10_000
 
 
@@ -140,5 +139,5 @@ def top_inner_products(df: DataFrame, k: int = 10, query_step: int = 100, id_col
         for a, b, c in _search(vectors.unpack(table, 0, dim, np.int64), vectors.unpack(table, 1, dim, np.int64), rotation, head, k):
             yield pa.record_batch([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
 
-    pairs = map_groups(cut(asked.unionByName(packed)), "key", search, result, partitions=max(2, query_blocks * stripes))
+    pairs = map_groups(asked.unionByName(packed), "key", search, result, partitions=max(2, query_blocks * stripes))
     return vectors.best(pairs, k)
