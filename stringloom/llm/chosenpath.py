@@ -392,9 +392,19 @@ def _each_cluster(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from _verify(table.filter(pa.array([p == part for p in parts])))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand first in their class, and all rows that have no class or no words."""
-    found = near_duplicates(docs, id_col, text_col)
-    drop = found.filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_id")).distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nameless: bool = False) -> DataFrame:
+    """One row of each class of near copies, and all rows without words.
+
+    The row with the smallest id stays, of repeated ids just one row. Rows without an id stay, unless ``nameless``
+    lets them join classes as well; there they stand behind the rows with an id. Every row counts for itself by a
+    generated key, so an id that stands for two texts loses neither.
+    """
     plain, at = shield(docs)
-    return plain.join(drop, F.col(at[id_col]) == F.col("_id"), "left_anti").toDF(*docs.columns)
+    keyed = cut(plain.withColumn("_key", F.monotonically_increasing_id()))
+    own = keyed if nameless else keyed.filter(F.col(at[id_col]).isNotNull())
+    found = cut(near_duplicates(own.select("_key", F.col(at[text_col]).alias("_t")), "_key", "_t").select("_key", "class_id"))
+    ids = own.select(F.col("_key").alias("_k"), F.col(at[id_col]).alias("_id"))
+    ranked = found.join(ids, F.col("_key") == F.col("_k"))
+    first = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_key")).alias("best"))
+    drop = found.join(first.select(F.col("best._key").alias("_first")), F.col("_key") == F.col("_first"), "left_anti").select(F.col("_key").alias("_drop"))
+    return keyed.join(drop, F.col("_key") == F.col("_drop"), "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -90,3 +90,15 @@ def test_overlaps_and_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
+
+
+def test_keep_one_keeps_one_row_of_repeats(spark):
+    schema = "doc_id bigint, text string, mark string"
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, texts[0], "a"), (1, texts[0], "a"), (1, texts[0], "a"), (2, texts[0], "b"), (7, texts[1], "c"), (7, texts[2], "d")]
+    rows += [(None, texts[1], "e"), (None, "n " + texts[2], "f"), (None, " ".join(texts), "g"), (None, " ".join(texts), "g"), (None, None, "h"), (None, None, "h")]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    kept = chosenpath.keep_one(df, nameless=True)
+    assert kept.columns == df.columns
+    assert sorted(r["mark"] for r in kept.collect()) == ["a", "c", "d", "g", "h", "h"]
+    assert sorted(r["mark"] for r in chosenpath.keep_one(df).collect()) == ["a", "c", "d", "e", "f", "g", "g", "h", "h"]
