@@ -61,27 +61,33 @@ def mix_counts(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (1, 2
     hash of the id and then the id itself; repeated rows count one by one. Reruns agree for one seed. A source
     without words has target 0 and takes nothing. An empty table gives no rows. Other columns are not read.
     """
-    narrow = cut(pick(docs, id_col, "source", "text").select(id_col, "source", word_count().alias("size")))
+    narrow = pick(docs, id_col, "source", "text").select(id_col, "source", word_count().alias("size"))
+    return _counted(narrow, seed, weights, id_col, [F.col(id_col)]).select(id_col, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _counted(narrow: DataFrame, seed: int, weights: Sequence[float], id_col: str, ties: list[Column]) -> DataFrame:
+    """``narrow``, which holds the id, ``source`` and ``size``, with its sources' facts and each row's ``copies``."""
+    narrow = cut(narrow)
     sizes = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_documents")))
     targets = source_targets(sizes.drop("_documents"), weights).join(sizes.select(F.col("source").alias("_s"), "_documents"), F.col("source").eqNullSafe(F.col("_s")))
-    order = [F.col("size").desc(), F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
+    order = [F.col("size").desc(), F.xxhash64(F.lit(seed), F.col(id_col)), *ties]
     mixed = positions(narrow, "source", order, facts=targets.select(F.col("source").alias("_group"), "source_size", "target", "_documents"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(OFFSET_STEPS)) / F.lit(float(OFFSET_STEPS))
     half = F.floor(F.col("position") / 2)
     place = F.when(F.col("position") % 2 == 1, half + 1).otherwise(F.col("_documents") - half + 1)
     copies = (F.floor(place * each + offset) - F.floor((place - 1) * each + offset)).cast("bigint")
-    return mixed.withColumn("copies", copies).select(id_col, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.withColumn("copies", copies)
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (1, 2, 3), id_col: str = "doc_id") -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it (0 to 3 times).
 
-    Ids should be unique: each of several rows that share an id comes out as often as they do on average, rounded down.
+    Every row counts for itself by a generated key, so rows that share an id, or have none, add up to the copies counted.
     """
     plain, at = shield(docs)
-    counts = mix_counts(docs, seed, weights, id_col).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    joined = plain.join(counts, F.col(at[id_col]).eqNullSafe(F.col("_id")))
-    each = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
-    repeated = joined.withColumn("_each", F.when(F.col("_rows") == 1, F.col("_copies").cast("int")).otherwise(each))
-    return repeated.filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*plain.columns).toDF(*docs.columns)
+    keyed = cut(plain.withColumn("_key", F.monotonically_increasing_id()))
+    narrow = keyed.select("_key", F.col(at[id_col]).alias("_id"), F.col(at["source"]).alias("source"), word_count(at["text"]).alias("size"), F.xxhash64(F.col(at["text"])).alias("_mark"))
+    counts = _counted(narrow, seed, weights, "_id", [F.col("_id"), F.col("_mark"), F.col("_key")]).filter("copies > 0").select(F.col("_key").alias("_k"), F.col("copies").cast("int").alias("_copies"))
+    joined = keyed.join(counts, F.col("_key") == F.col("_k"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*plain.columns).toDF(*docs.columns)

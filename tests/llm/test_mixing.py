@@ -56,3 +56,14 @@ def test_mix_repeats_whole_rows(spark):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in counts.items() if n}
+
+
+def test_mix_takes_what_is_counted_of_rows_that_share_an_id(spark):
+    rows = [(None, "big", f"w{i} x") for i in range(90)] + [(7, "big", f"v{i} y z") for i in range(60)] + [(i, "other", "a b c d") for i in range(8, 12)]
+    docs = table(spark, rows).repartition(3)
+    expected = {(r["doc_id"], r["source"]): r["n"] for r in mixing.mix_counts(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    mixed = mixing.mix(docs)
+    got = {(r["doc_id"], r["source"]): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()}
+    assert got == {k: n for k, n in expected.items() if n}
+    assert 0 < got[None, "big"] < 90
+    assert max(r["count"] for r in mixed.groupBy("text", "source").count().collect() if r["source"] == "big") == 1
