@@ -62,3 +62,22 @@ def test_exact_copies_break_ties_by_id(spark):
     rows = [(i, [1.0, 1.0, 0.5]) for i in range(40)]
     got = ann.nearest(table(spark, rows)).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+
+
+def test_ann_fills_up_queries_in_small_lists(spark):
+    rng = np.random.default_rng(4)
+    axes = np.eye(24)
+    data = [axes[i % 3] + 0.01 * rng.standard_normal(24) for i in range(1500)]  # three dense groups
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(data) if (i + 1) % 50]
+    lone = [axes[3 + j] + 0.01 * rng.standard_normal(24) for j in range(20)]
+    rows += [(5000 + 50 * j, v.tolist()) for j, v in enumerate(lone)]  # outliers, each alone in its direction
+    got = ann.nearest(table(spark, rows), recall=0.0).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {5000 + 50 * j: 5 for j in range(20)}
+    assert not (got.query_id == got.vec_id).any()
+
+
+def test_lists_are_taken_until_they_hold_enough():
+    sims = np.array([[0.9, 0.5, 0.1, 0.0], [0.1, 0.9, 0.2, 0.3]])
+    got = ann.enough_lists(sims, np.array([2, 3, 900, 0]), np.array([6, 6]), 1)
+    assert [x.tolist() for x in got] == [[0, 1, 2], [1, 3, 2]]
+    assert [len(x) for x in ann.enough_lists(sims, np.array([2, 3, 900, 0]), np.array([9999, 1]), 2)] == [4, 2]
