@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel restoration of disguised words, then cue scoring of the restored text.
 
-Disguised spellings (digits and signs for letters, drawn-out letters, spaced or dotted letters) form a lattice
-of possible letters. A Viterbi search picks the path that is likeliest under a character trigram model of the
+Disguised spellings (digits and signs for letters, also at the edges of words, doubled and drawn-out letters, words
+parted by white space or signs) form a lattice of possible letters. A Viterbi search picks the path that is likeliest under a character trigram model of the
 training words, weighted by the cost of each disguise. Original and restored words are then looked up among
 cues: words and word beginnings whose presence, by a lower confidence bound on the training rows, makes the
 toxic label likely. Beginnings let a cue catch endings that training never saw.
@@ -36,10 +36,13 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c",
 }
-SIGN_COST, REPEAT_COST, DROP_COST, DROP_SIGN_COST = 0.3, 0.5, 1.0, 4.0
+SIGN_COST, REPEAT_COST, DROP_COST, DROP_SIGN_COST, SPACE_COST = 0.3, 0.5, 1.0, 4.0, 1.0
 
-_SUSPECT = regex.compile(r"(\p{L})\1\1|\p{L}[^\p{L}\s'’]+\p{L}|^[0-9@$]\p{L}|\p{L}[0-9@$]$")
-_SPACED = regex.compile(r"(?<!\S)[\w@$!|+](?:[ \t][\w@$!|+]){2,}(?!\S)")
+_SIGN = regex.escape("".join(x for x in SIGNS if not x.isdigit()), special_only=False)
+# Without a letter drawn out or a sign, a word's lattice holds one path; digits alone are numbers.
+_SUSPECT = regex.compile(r"^(?=.*\p{L}).*?(?:(\p{L})\1|[^\p{L}'’])", regex.DOTALL)
+_SPACED = regex.compile(rf"(?<!\S)[\w{_SIGN}](?:\s+[\w{_SIGN}]){{2,}}(?=[^\w\s]*(?!\S))")
+_OUTER = regex.compile(rf"^[^\p{{L}}\p{{N}}{_SIGN}]+|[^\p{{L}}\p{{N}}{_SIGN}]+$")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$|^([@$])\1{2,}|([@$])\2{2,}$")
 
 
@@ -64,8 +67,17 @@ class CharModel:
             found = self.seen[key] = -math.log((self.three.get(key, 0.0) + 0.1) / (self.two.get(context, 0.0) + 0.1 * self.size))
         return found
 
+    def spell(self, word: str) -> float:
+        """The cost of a plain word."""
+        padded = "^^" + word + "$"
+        return sum(self.cost(padded[i - 2 : i], padded[i]) for i in range(2, len(padded)))
+
     def restore(self, seen: str) -> str:
         """The likeliest word behind a disguised one."""
+        return self.read(seen)[1]
+
+    def read(self, seen: str) -> tuple[float, str]:
+        """The cheapest path through the lattice of a disguised word, and the word it spells."""
         states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         ahead: dict[int, dict[str, tuple[float, str]]] = {0: states}
         i = 0
@@ -91,7 +103,7 @@ class CharModel:
                         into[here] = (total, made + text)
             i += run
         ends = [(spent + self.cost(context, "$"), made) for context, (spent, made) in ahead.get(len(seen), {}).items()]
-        return min(ends)[1] if ends else seen
+        return min(ends) if ends else (math.inf, seen)
 
 
 class Scorer:
@@ -100,6 +112,8 @@ class Scorer:
     def __init__(self, cues: dict[str, float], model: CharModel):
         self.cues, self.model, self.known = cues, model, {}
         self.lengths = sorted({len(w) - 1 for w in cues if w[0] == "="})
+        self.starts = {w[1 : 1 + n] for w in cues if w[0] == "=" and len(w) > PREFIXES[0] for n in range(1, len(w))}
+        self.begun: dict[str, dict[str, float]] = {}
 
     def word_cue(self, word: str) -> float:
         """The strongest cue of a clean word."""
@@ -115,13 +129,56 @@ class Scorer:
         if found is None:
             word = _EDGES.sub("", token)
             found = self.word_cue(word.strip("@$"))
-            if found == 0.0 and _SUSPECT.search(word):
-                found = self.word_cue(self.model.restore(word))
+            seen = _OUTER.sub("", token)
+            if found == 0.0 and _SUSPECT.search(seen):
+                found = self.word_cue(self.model.restore(seen))
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[token] = found
         return found
 
+    def walk(self, states: dict[str, float], token: str) -> dict[str, float]:
+        """Beginnings of cues, with the least cost of the disguises, that go on from ``states`` through a token."""
+        for ch in token:
+            made: dict[str, float] = {}
+            for at, spent in states.items():
+                moves = [(at + ch, spent)] if ch.isalpha() else [(at + x, spent + SIGN_COST) for x in SIGNS.get(ch, "")]
+                if at and at[-1] == ch:
+                    moves.append((at, spent + REPEAT_COST))
+                if not ch.isalpha():
+                    moves.append((at, spent + (DROP_SIGN_COST if ch in SIGNS else DROP_COST)))
+                for to, cost in moves:
+                    if (not to or to in self.starts) and cost < made.get(to, math.inf):
+                        made[to] = cost
+            states = made
+            if not states:
+                break
+        return states
+
+    def parted_cues(self, tokens: list[str]) -> list[float]:
+        """The cues that neighbouring tokens spell together, where that is likelier than the tokens one by one."""
+        begun, out = self.begun, {}
+        for i, token in enumerate(tokens):
+            states = begun.get(token)
+            if states is None:
+                if len(begun) >= CACHE_WORDS:
+                    begun.clear()
+                states = self.walk({"": 0.0}, _OUTER.sub("", token))
+                states = begun[token] = {at: spent for at, spent in states.items() if at}
+            if not states:
+                continue
+            j = i + 1
+            while states and j < len(tokens):
+                bare = _OUTER.sub("", tokens[j])
+                if bare:
+                    states = self.walk({at: spent + SPACE_COST for at, spent in states.items()}, bare)
+                whole = {at: spent for at, spent in states.items() if bare and "=" + at in self.cues}
+                if whole:
+                    apart = sum(self.model.read(_OUTER.sub("", t))[0] for t in tokens[i : j + 1])
+                    out.update((at, self.cues["=" + at]) for at, spent in whole.items() if spent + self.model.spell(at) < apart)
+                j += 1
+        return list(out.values())
+
     def joined_cue(self, letters: str) -> float:
         """The strongest whole-word cue anywhere in letters written apart."""
         best = self.word_cue(letters) if len(letters) >= PREFIXES[0] else 0.0
@@ -135,7 +192,7 @@ class Scorer:
     def restore_text(self, text: str) -> str:
         """The text with disguised words restored; other words as they are, in lower case."""
         text = _SPACED.sub(lambda m: self.model.restore("".join(m.group(0).lower().split())) if len(set(m.group(0).split())) > 2 else m.group(0), text.lower())
-        return " ".join(self.model.restore(_EDGES.sub("", w)) if _SUSPECT.search(_EDGES.sub("", w)) else w for w in text.split())
+        return " ".join(self.model.restore(_OUTER.sub("", w)) if _SUSPECT.search(_OUTER.sub("", w)) else w for w in text.split())
 
     def score(self, text: str | None) -> float:
         """1 - the product of what the three strongest different cues leave; a low base without any."""
@@ -144,12 +201,14 @@ class Scorer:
         lower = text.lower()
         known, cue = self.known, self.token_cue
         values = []
-        for token in set(lower.split()):
+        tokens = lower.split()
+        for token in set(tokens):
             v = known.get(token)
             if v is None:
                 v = cue(token)
             if v:
                 values.append(v)
+        values += self.parted_cues(tokens)
         for m in _SPACED.finditer(lower):
             parts = m.group(0).split()
             if len(set(parts)) > 2:

@@ -68,3 +68,14 @@ def test_viterbi_finds_the_cheapest_path():
     assert model.restore("cl@ss") == "class"
     assert model.restore("") == ""
     assert len(model.restore("t" * 5000)) > 0
+
+
+def test_disguises_reach_the_lattice():
+    plain = "the class small letter good press common mutter little apply stuff spider stupor clover idea scurry moral".split()
+    cues = {"=stupid": 0.9, "=idiot": 0.9, "=scum": 0.9, "=trash": 0.9, "=clown": 0.9}
+    model = toxicity.CharModel([*((w, 20) for w in plain), *((c[1:], 68) for c in cues)])
+    scorer = toxicity.Scorer(cues, model)
+    for text in ("stuupid", "iddiot", "scuum", "!diot", "|diot", "+rash", "(lown", "you stu pid thing", "s  c u\nm", "s c u m.", "s c\tu m", "(stu pid)", "st0 stu p1d"):
+        assert scorer.score(f"the {text} class") >= toxicity.THRESHOLD, text
+    for text in ("good letter!", "(the press", "common + little", "apply |stuff|", "s c u", "12 100 $5", "stupor idea", "the mutter!!! scurry", ""):
+        assert scorer.score(text) < toxicity.THRESHOLD, text
