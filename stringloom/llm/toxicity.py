@@ -1,8 +1,8 @@
 """Toxicity: noisy-channel restoration of disguised words, then cue scoring of the restored text.
 
 Disguised spellings (digits and signs for letters, also at the edges of words, doubled and drawn-out letters, words
-parted by white space or signs) form a lattice of possible letters. A Viterbi search picks the path that is likeliest under a character trigram model of the
-training words, weighted by the cost of each disguise. Original and restored words are then looked up among
+parted by white space or signs) form a lattice of possible letters. A Viterbi search picks the path that is likeliest under a character trigram model of all words
+outside the held-out fold, weighted by the cost of each disguise. Original and restored words are then looked up among
 cues: words and word beginnings whose presence, by a lower confidence bound on the training rows, makes the
 toxic label likely. Beginnings let a cue catch endings that training never saw.
 """
@@ -29,7 +29,6 @@ LEAST_CUE = 0.5
 THRESHOLD = 0.3
 BASE_SCORE = 0.02
 CACHE_WORDS = 150_000
-MODEL_WORDS = 20_000  # background words of the character model
 
 # The letters that a sign can stand for.
 SIGNS = {
@@ -46,19 +45,53 @@ _OUTER = regex.compile(rf"^[^\p{{L}}\p{{N}}{_SIGN}]+|[^\p{{L}}\p{{N}}{_SIGN}]+$"
 _EDGES = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$|^([@$])\1{2,}|([@$])\2{2,}$")
 
 
+def trigrams(word: str) -> list[str]:
+    """The trigrams of a word with its borders."""
+    padded = "^^" + word + "$"
+    return [padded[i - 2 : i + 1] for i in range(2, len(padded))]
+
+
+def corpus_trigrams(texts: DataFrame) -> DataFrame:
+    """(gram, n) over every text of a single-column table: each text counts its distinct plain words once, and the
+    empty gram counts the words. Each task adds up its own counts first, so a gram takes one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            tokens: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    tokens.update(set(text.lower().split()))
+            for token, n in tokens.items():
+                word = _EDGES.sub("", token).strip("@$")
+                if len(word) >= 3 and word.isalpha():
+                    total[""] += n
+                    for gram in trigrams(word):
+                        total[gram] += n
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+
+    return texts.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 class CharModel:
     """Add-k trigram model over letters, with word borders."""
 
     def __init__(self, words: Iterable[tuple[str, float]]):
         self.three, self.two, self.letters = defaultdict(float), defaultdict(float), set()
+        self.seen: dict[str, float] = {}
         for word, n in words:
-            padded = "^^" + word + "$"
-            self.letters.update(word)
-            for i in range(2, len(padded)):
-                self.three[padded[i - 2 : i + 1]] += n
-                self.two[padded[i - 2 : i]] += n
+            self.add(((gram, n) for gram in trigrams(word)))
+        self.size = len(self.letters) + 2
+
+    def add(self, grams: Iterable[tuple[str, float]]) -> None:
+        """Take in trigrams and how often each stands."""
+        for gram, n in grams:
+            self.three[gram] += n
+            self.two[gram[:2]] += n
+            if gram[2] != "$":
+                self.letters.add(gram[2])
         self.size = len(self.letters) + 2
-        self.seen: dict[str, float] = {}
 
     def cost(self, context: str, letter: str) -> float:
         key = context + letter
@@ -252,9 +285,9 @@ def _kept(n: int, rows: int, id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    """Cues and character model from a bounded, hashed sample: TOXIC_ROWS and CLEAN_ROWS labelled rows.
+    """Cues from a bounded, hashed sample of TOXIC_ROWS and CLEAN_ROWS labelled rows; the character model from all of ``docs``.
 
-    Rows without a label, id or text are not learnt from. Near copies count once behind a cue.
+    Rows without a label, id or text give no cues. Near copies count once behind a cue.
     """
     docs, labels = pick(docs, id_col, text_col), pick(labels, id_col, label_col)
     labels = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("_label"))
@@ -293,11 +326,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         bound = (p + CAUTION / (2 * n) - math.sqrt(CAUTION * (p * (1 - p) / n + CAUTION / (4 * n * n)))) / (1 + CAUTION / n)
         if bound >= LEAST_CUE:
             cues[feature] = round(bound, 6)
-    background = sorted(((f[1:], n) for f, n in clean.items() if f[0] == "="), key=lambda x: (-x[1], x[0]))[:MODEL_WORDS]
-    mass = max(1.0, sum(n for _, n in background))
+    grams = {r["gram"]: r["n"] for r in corpus_trigrams(docs.select(text_col)).collect()}  # as many as the alphabet makes
+    mass = max(1.0, grams.pop("", 0))
     strong = [f[1:] for f in sorted(cues) if f[0] == "="]
-    # Disguised words are mostly cues: these get as much of the model's mass as all other words.
-    model = CharModel([*background, *((w, mass / max(1, len(strong))) for w in strong)])
+    # Disguised words are mostly cues: these get as much of the model's mass as all words of the corpus.
+    model = CharModel((w, mass / max(1, len(strong))) for w in strong)
+    model.add(grams.items())
     return Scorer(cues, model)
 
 
@@ -323,8 +357,8 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[Column], text_col: str = "
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted): learnt from the labels outside the held-out fold."""
     docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
-    scorer = train(docs, labels.filter(crc_fold("doc_id", fold) != held))
     out = F.coalesce(crc_fold("doc_id", fold) == held, F.lit(False))
+    scorer = train(docs.filter(~out), labels.filter(crc_fold("doc_id", fold) != held))
     return score(docs, scorer, [F.col("doc_id"), out.alias("held_out")])
 
 

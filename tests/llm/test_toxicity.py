@@ -79,3 +79,13 @@ def test_disguises_reach_the_lattice():
         assert scorer.score(f"the {text} class") >= toxicity.THRESHOLD, text
     for text in ("good letter!", "(the press", "common + little", "apply |stuff|", "s c u", "12 100 $5", "stupor idea", "the mutter!!! scurry", ""):
         assert scorer.score(text) < toxicity.THRESHOLD, text
+
+
+def test_character_model_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 5)
+    rows = [(i, f"bad bad word{i}") for i in range(40)] + [(100 + i, "quokka fine") for i in range(200)] + [(None, "zyx"), (500, None)]
+    labels = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(100)]
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, marks).model
+    assert model.three["quo"] == model.three["^^q"] == 200 and model.three["yx$"] == 1
+    assert model.letters >= set("quokfinezyx")
