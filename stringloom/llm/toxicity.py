@@ -146,6 +146,8 @@ class Scorer:
         self.cues, self.model, self.known = cues, model, {}
         self.lengths = sorted({len(w) - 1 for w in cues if w[0] == "="})
         self.starts = {w[1 : 1 + n] for w in cues if w[0] == "=" and len(w) > PREFIXES[0] for n in range(1, len(w))}
+        self.stems = {w[1:] for w in cues if w[0] == "^"}
+        self.paths = {""} | {w[1 : 1 + n] for w in cues for n in range(1, len(w))}
         self.begun: dict[str, dict[str, float]] = {}
 
     def word_cue(self, word: str) -> float:
@@ -163,13 +165,27 @@ class Scorer:
             word = _EDGES.sub("", token)
             found = self.word_cue(word.strip("@$"))
             seen = _OUTER.sub("", token)
-            if found == 0.0 and _SUSPECT.search(seen):
+            if found == 0.0 and _SUSPECT.search(seen) and self.may_spell(seen):
                 found = self.word_cue(self.model.restore(seen))
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[token] = found
         return found
 
+    def may_spell(self, seen: str) -> bool:
+        """Whether any path of the word's lattice, however dear, has a cue; without one its likeliest path has none either."""
+        states, paths = {""}, self.paths
+        for ch in seen:
+            if ch.isalpha():
+                states = {to for at in states for to in ((at + ch, at) if at[-1:] == ch else (at + ch,)) if to in paths}
+            else:
+                states |= {to for at in states for x in SIGNS.get(ch, "") if (to := at + x) in paths}
+            if not states:
+                return False
+            if not states.isdisjoint(self.stems):
+                return True
+        return any("=" + at in self.cues for at in states)
+
     def walk(self, states: dict[str, float], token: str) -> dict[str, float]:
         """Beginnings of cues, with the least cost of the disguises, that go on from ``states`` through a token."""
         for ch in token:

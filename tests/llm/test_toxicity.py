@@ -89,3 +89,11 @@ def test_character_model_counts_every_text(spark, monkeypatch):
     model = toxicity.train(docs, marks).model
     assert model.three["quo"] == model.three["^^q"] == 200 and model.three["yx$"] == 1
     assert model.letters >= set("quokfinezyx")
+
+
+def test_words_without_a_path_to_a_cue_are_passed_over_losslessly():
+    rng = random.Random(8)
+    scorer = toxicity.Scorer({"=stoop": 0.9, "=bill": 0.8, "^stoo": 0.7, "=ees": 0.6}, toxicity.CharModel([("stoop", 9), ("bill", 9), ("ees", 5), ("best", 3)]))
+    for _ in range(4000):
+        seen = "".join(rng.choice("sstooopbille10!8.-3$") for _ in range(rng.randint(1, 8)))
+        assert scorer.may_spell(seen) or scorer.word_cue(scorer.model.restore(seen)) == 0.0, seen
