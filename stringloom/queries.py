@@ -1,11 +1,13 @@
 """Registered queries of the text-order engine, each over whole tables and whole texts.
 
 Index queries take ``benchmark`` as the text collection, whose suffix orders DuckDB can build from suffix strings.
-The same operators over ``documents`` stand beside them without SQL, as suffix strings of long texts are quadratic.
+The same operators over all ``documents`` stand beside them as ``documents_*`` without SQL, as suffix strings of long texts are quadratic.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ def text_pairs(spark, sf_dir):
     return t.join(after, "item_id").select(F.col("item_id").alias("pair_id"), F.col("text").alias("ref"), "seq").filter("ref IS NOT NULL AND seq IS NOT NULL")
 
 
+def document_pairs(spark, sf_dir):
+    """Every document with the next one by id; the ids are dense, so this is an equi-join."""
+    d = documents(spark, sf_dir)
+    after = d.select((F.col("text_id") - 1).alias("text_id"), F.col("text").alias("seq"))
+    return d.join(after, "text_id").select(F.col("text_id").alias("pair_id"), F.col("text").alias("ref"), "seq").filter("ref IS NOT NULL AND seq IS NOT NULL")
+
+
 def add(name, sql=None):
     return REGISTRY.add(name, sql)
 
@@ -83,28 +92,28 @@ _FIND = f"""{X}, {_P}, f AS (SELECT text_id, pattern, min(CASE WHEN starts_with(
 
 
 @add("pattern_range", f"WITH {_FIND} SELECT * FROM fr")
-def pattern_range(spark, sf_dir):
+def pattern_range(spark, sf_dir, texts=texts):
     return search.find(texts(spark, sf_dir), PATTERNS)
 
 
 @add("pattern_multi_summary", f"WITH {_FIND} SELECT pattern, CAST(count_if(cnt > 0) AS BIGINT) AS found, CAST(sum(cnt) AS BIGINT) AS matches, CAST(length(pattern) AS BIGINT) AS chars FROM fr GROUP BY pattern")
-def pattern_multi_summary(spark, sf_dir):
+def pattern_multi_summary(spark, sf_dir, texts=texts):
     return search.summary(search.find(texts(spark, sf_dir), PATTERNS))
 
 
 @add("pattern_locate", f"WITH {X}, {_P} SELECT text_id, pattern, rank, pos FROM sa, p WHERE starts_with(suf, pattern)")
-def pattern_locate(spark, sf_dir):
+def pattern_locate(spark, sf_dir, texts=texts):
     return search.locate(texts(spark, sf_dir), PATTERNS)
 
 
 @add("pattern_strategy", f"WITH {_FIND} SELECT text_id, pattern, cnt FROM fr")
-def pattern_strategy(spark, sf_dir):
+def pattern_strategy(spark, sf_dir, texts=texts):
     asked = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
     return strategies.pattern_counts(texts(spark, sf_dir), asked)
 
 
 @add("pattern_violations", f"WITH {X} SELECT text_id, CAST('' AS VARCHAR) AS pattern, rank, pos FROM sa WHERE false")
-def pattern_violations(spark, sf_dir):
+def pattern_violations(spark, sf_dir, texts=texts):
     return search.violations(texts(spark, sf_dir), search.locate(texts(spark, sf_dir), PATTERNS))
 
 
@@ -123,7 +132,7 @@ def documents_find(spark, sf_dir):
 
 
 @add("suffix_array", f"WITH {X} SELECT text_id, rank, pos FROM sa")
-def suffix_array(spark, sf_dir):
+def suffix_array(spark, sf_dir, texts=texts):
     return index.suffix_table(texts(spark, sf_dir), ["pos"])
 
 
@@ -133,12 +142,12 @@ def suffix_array_declarative(spark, sf_dir):
 
 
 @add("inverse_suffix_array", f"WITH {X} SELECT text_id, pos, rank FROM sa")
-def inverse_suffix_array(spark, sf_dir):
+def inverse_suffix_array(spark, sf_dir, texts=texts):
     return index.suffix_table(texts(spark, sf_dir), ["pos"]).select("text_id", "pos", "rank")
 
 
 @add("bwt", f"WITH {X} SELECT text_id, rank, ch FROM sa")
-def bwt(spark, sf_dir):
+def bwt(spark, sf_dir, texts=texts):
     return index.suffix_table(texts(spark, sf_dir), ["ch"])
 
 
@@ -168,7 +177,7 @@ def char_histogram(spark, sf_dir):
 
 
 @add("recode_text", f"WITH {D}, {_ALPHABET} SELECT d.text_id, list(al.comp ORDER BY i.pos) AS comps FROM (SELECT text_id, t, unnest(range(1, length(t) + 1)) AS pos FROM d) i JOIN d ON d.text_id = i.text_id JOIN al ON al.text_id = i.text_id AND al.ch = substring(i.t, i.pos, 1) GROUP BY d.text_id")
-def recode_text(spark, sf_dir):
+def recode_text(spark, sf_dir, texts=texts):
     t = texts(spark, sf_dir)
     return index.recode(t, index.alphabet(t))
 
@@ -180,27 +189,27 @@ def reassign_alphabet(spark, sf_dir):
 
 
 @add("sa_samples", f"WITH {X} SELECT text_id, rank, pos FROM sa WHERE rank % 17 = 0")
-def sa_samples(spark, sf_dir):
+def sa_samples(spark, sf_dir, texts=texts):
     return index.sample_ranks(index.suffix_table(texts(spark, sf_dir), ["pos"]))
 
 
 @add("isa_samples", f"WITH {X} SELECT text_id, rank, pos FROM sa WHERE pos % 64 = 0")
-def isa_samples(spark, sf_dir):
+def isa_samples(spark, sf_dir, texts=texts):
     return index.sample_positions(index.suffix_table(texts(spark, sf_dir), ["pos"]))
 
 
 @add("lf_mapping", f"WITH {X} SELECT a.text_id, a.rank, b.rank AS lf FROM sa a JOIN sa b ON a.text_id = b.text_id AND b.pos = (a.pos - 1 + a.n) % a.n")
-def lf_mapping(spark, sf_dir):
+def lf_mapping(spark, sf_dir, texts=texts):
     return navigate.lf(index.suffix_table(texts(spark, sf_dir), ["lf"]))
 
 
 @add("psi_mapping", f"WITH {X} SELECT a.text_id, a.rank, b.rank AS psi FROM sa a JOIN sa b ON a.text_id = b.text_id AND b.pos = (a.pos + 1) % a.n")
-def psi_mapping(spark, sf_dir):
+def psi_mapping(spark, sf_dir, texts=texts):
     return navigate.psi(index.suffix_table(texts(spark, sf_dir), ["psi"]))
 
 
 @add("psi_k", f"WITH {X} SELECT a.text_id, a.rank, b.rank AS psi_k FROM sa a LEFT JOIN sa b ON a.text_id = b.text_id AND b.pos = a.pos + 5")
-def psi_k(spark, sf_dir):
+def psi_k(spark, sf_dir, texts=texts):
     return navigate.psi_steps(index.suffix_table(texts(spark, sf_dir), ["pos"]), 5)
 
 
@@ -212,22 +221,22 @@ def lf_psi_identity(spark, sf_dir):
 
 
 @add("bwt_rank", f"WITH {X} SELECT text_id, rank, ch, row_number() OVER (PARTITION BY text_id, ch ORDER BY rank) - 1 AS rank_before FROM sa")
-def bwt_rank(spark, sf_dir):
+def bwt_rank(spark, sf_dir, texts=texts):
     return navigate.rank_of(index.suffix_table(texts(spark, sf_dir), ["ch", "occ"]))
 
 
 @add("bwt_rank_window", f"WITH {X} SELECT text_id, rank, ch, row_number() OVER (PARTITION BY text_id, ch ORDER BY rank) - 1 AS rank_before FROM sa")
-def bwt_rank_window(spark, sf_dir):
+def bwt_rank_window(spark, sf_dir, texts=texts):
     return navigate.rank_of(index.suffix_table(texts(spark, sf_dir), ["ch"]))
 
 
 @add("bwt_select", f"WITH {X} SELECT text_id, ch, CAST(3 AS BIGINT) AS k, rank FROM (SELECT *, row_number() OVER (PARTITION BY text_id, ch ORDER BY rank) AS o FROM sa) WHERE o = 3")
-def bwt_select(spark, sf_dir):
+def bwt_select(spark, sf_dir, texts=texts):
     return navigate.select_of(index.suffix_table(texts(spark, sf_dir), ["ch", "occ"]), 3)
 
 
 @add("bwt_rank_at", f"WITH {X}, q AS (SELECT text_id, CAST(i AS BIGINT) AS i, c AS ch FROM d, unnest([10, 100]) a(i), unnest(['e', 'n', 'Q']) b(c)) SELECT q.text_id, q.i, q.ch, CAST(count_if(sa.rank < q.i AND sa.ch = q.ch) AS BIGINT) AS occurrences FROM q JOIN sa ON sa.text_id = q.text_id GROUP BY ALL")
-def bwt_rank_at(spark, sf_dir):
+def bwt_rank_at(spark, sf_dir, texts=texts):
     t = texts(spark, sf_dir)
     probes = t.select("text_id", F.explode(F.array(F.lit(10).cast("bigint"), F.lit(100).cast("bigint"))).alias("i")).withColumn("ch", F.explode(F.array(F.lit("e"), F.lit("n"), F.lit("Q"))))
     return navigate.rank_at(index.suffix_table(t, ["ch"]), probes)
@@ -240,7 +249,7 @@ def bwt_rank_at(spark, sf_dir):
     w AS (SELECT q.text_id, q.sp, q.ep, q.ch, min(CASE WHEN starts_with(suf, q.ch || 'e') THEN rank END) AS lo, max(CASE WHEN starts_with(suf, q.ch || 'e') THEN rank END) AS hi FROM q JOIN sa ON sa.text_id = q.text_id GROUP BY ALL)
     SELECT text_id, sp, ep, ch, CAST(coalesce(lo, 1) AS BIGINT) AS new_sp, CAST(coalesce(hi, 0) AS BIGINT) AS new_ep FROM w""",
 )
-def backward_step(spark, sf_dir):
+def backward_step(spark, sf_dir, texts=texts):
     t = texts(spark, sf_dir)
     idx = index.suffix_table(t, ["ch", "first_ch"])
     asked = navigate.char_ranges(idx).filter("ch = 'e'").select("text_id", "sp", "ep", F.explode(F.array(F.lit("h"), F.lit("Q"))).alias("ch"))
@@ -248,14 +257,14 @@ def backward_step(spark, sf_dir):
 
 
 @add("locate_ranks", f"WITH {X}, q AS (SELECT text_id, CAST(r AS BIGINT) AS rank FROM d, unnest([0, 7, 100000]) g(r)) SELECT q.text_id, q.rank, sa.pos FROM q LEFT JOIN sa USING (text_id, rank)")
-def locate_ranks(spark, sf_dir):
+def locate_ranks(spark, sf_dir, texts=texts):
     t = texts(spark, sf_dir)
     asked = t.select("text_id", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 7, 100000)])).alias("rank"))
     return navigate.locate(index.suffix_table(t, ["pos"]), asked)
 
 
 @add("inverse_positions", f"WITH {X}, q AS (SELECT text_id, CAST(r AS BIGINT) AS pos FROM d, unnest([0, 7, 100000]) g(r)) SELECT q.text_id, q.pos, sa.rank FROM q LEFT JOIN sa USING (text_id, pos)")
-def inverse_positions(spark, sf_dir):
+def inverse_positions(spark, sf_dir, texts=texts):
     t = texts(spark, sf_dir)
     asked = t.select("text_id", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 7, 100000)])).alias("pos"))
     return navigate.inverse(index.suffix_table(t, ["pos"]), asked)
@@ -267,12 +276,12 @@ def extract_text(spark, sf_dir):
 
 
 @add("extract_bwt", f"WITH {X} SELECT text_id, string_agg(ch, '' ORDER BY rank) AS part FROM sa WHERE rank BETWEEN 10 AND 40 GROUP BY text_id")
-def extract_bwt(spark, sf_dir):
+def extract_bwt(spark, sf_dir, texts=texts):
     return navigate.extract_bwt(index.suffix_table(texts(spark, sf_dir), ["ch"]), 10, 40)
 
 
 @add("char_range", f"WITH {X} SELECT text_id, substring(suf, 1, 1) AS ch, min(rank) AS sp, max(rank) AS ep FROM sa WHERE suf <> '' GROUP BY ALL")
-def char_range(spark, sf_dir):
+def char_range(spark, sf_dir, texts=texts):
     return navigate.char_ranges(index.suffix_table(texts(spark, sf_dir), ["first_ch"]))
 
 
@@ -285,17 +294,17 @@ def text_sizes(spark, sf_dir):
 
 
 @add("lcp_array", f"WITH {L} SELECT text_id, rank, lcp FROM l")
-def lcp_array(spark, sf_dir):
+def lcp_array(spark, sf_dir, texts=texts):
     return index.suffix_table(texts(spark, sf_dir), ["lcp"])
 
 
 @add("lcp_large_values", f"WITH {L} SELECT text_id, rank, lcp, row_number() OVER (PARTITION BY text_id ORDER BY rank) - 1 AS large_rank FROM l WHERE lcp >= 4")
-def lcp_large_values(spark, sf_dir):
+def lcp_large_values(spark, sf_dir, texts=texts):
     return ranges.large_values(index.suffix_table(texts(spark, sf_dir), ["lcp"]), least=4)
 
 
 @add("lcp_slice", f"WITH {L} SELECT text_id, list(lcp ORDER BY rank) AS values FROM l WHERE rank >= 5 AND rank < 25 GROUP BY text_id")
-def lcp_slice(spark, sf_dir):
+def lcp_slice(spark, sf_dir, texts=texts):
     return ranges.value_slice(index.suffix_table(texts(spark, sf_dir), ["lcp"]), 5, 25)
 
 
@@ -309,17 +318,17 @@ _DIFF = "CAST(lcp - coalesce(lag(lcp) OVER (PARTITION BY text_id ORDER BY rank),
 
 
 @add("lcp_diff_encoded", f"WITH {L}, e AS (SELECT text_id, rank, {_DIFF} AS x FROM l) SELECT text_id, rank, CASE WHEN x < 0 THEN -2 * x - 1 ELSE 2 * x END AS code FROM e")
-def lcp_diff_encoded(spark, sf_dir):
+def lcp_diff_encoded(spark, sf_dir, texts=texts):
     return ranges.differences(index.suffix_table(texts(spark, sf_dir), ["lcp"]))
 
 
 @add("lcp_diff_decoded", f"WITH {L} SELECT text_id, rank, CAST(lcp AS BIGINT) AS value FROM l")
-def lcp_diff_decoded(spark, sf_dir):
+def lcp_diff_decoded(spark, sf_dir, texts=texts):
     return ranges.from_differences(ranges.differences(index.suffix_table(texts(spark, sf_dir), ["lcp"])))
 
 
 @add("lcp_block_minima", f"WITH {L} SELECT text_id, CAST(k AS INTEGER) AS level, CAST(floor(rank / power(16, k)) AS BIGINT) AS block, min(lcp) AS low FROM l, range(1, 4) g(k) GROUP BY ALL")
-def lcp_block_minima(spark, sf_dir):
+def lcp_block_minima(spark, sf_dir, texts=texts):
     return ranges.block_minima(index.suffix_table(texts(spark, sf_dir), ["lcp"]), branching=16)
 
 
@@ -329,7 +338,7 @@ def lcp_block_minima(spark, sf_dir):
     m AS (SELECT q.text_id, q.sp, q.ep, l.rank AS pos, l.lcp, row_number() OVER (PARTITION BY q.text_id, q.sp, q.ep ORDER BY l.lcp, l.rank) AS k FROM q JOIN l ON l.text_id = q.text_id AND l.rank BETWEEN q.sp AND q.ep WHERE q.ep < q.n)
     SELECT q.text_id, q.sp, q.ep, m.pos, m.lcp FROM q LEFT JOIN m ON m.text_id = q.text_id AND m.sp = q.sp AND m.ep = q.ep AND m.k = 1""",
 )
-def rmq_leftmost(spark, sf_dir):
+def rmq_leftmost(spark, sf_dir, texts=texts):
     t = texts(spark, sf_dir)
     asked = t.select("text_id", F.explode(F.sequence(F.lit(0), F.lit(160), F.lit(40))).alias("sp")).select("text_id", F.col("sp").cast("bigint"), F.explode(F.array(*[F.lit(w) for w in (-1, 0, 3, 40, 100000)])).alias("w"))
     return ranges.range_minimum(index.suffix_table(t, ["lcp"]), asked.select("text_id", "sp", (F.col("sp") + F.col("w")).alias("ep")))
@@ -399,22 +408,22 @@ def bit_runs(spark, sf_dir):
 
 
 @add("lcp_intervals", f"WITH {IV} SELECT text_id, sp, ep, depth FROM iv")
-def lcp_intervals(spark, sf_dir):
+def lcp_intervals(spark, sf_dir, texts=texts):
     return tree.intervals(tree.tree_nodes(texts(spark, sf_dir)))
 
 
 @add("tree_node_count", f"WITH {IV} SELECT text_id, CAST(count(*) AS BIGINT) AS nodes, CAST(count_if(NOT leaf) AS BIGINT) AS inner, CAST(count_if(leaf) AS BIGINT) AS leaves, max(CASE WHEN NOT leaf THEN depth END) AS deepest FROM nodes GROUP BY text_id")
-def tree_node_count(spark, sf_dir):
+def tree_node_count(spark, sf_dir, texts=texts):
     return tree.counts(tree.tree_nodes(texts(spark, sf_dir)))
 
 
 @add("tree_depth_hist", f"WITH {IV} SELECT depth, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(ep - sp + 1) AS BIGINT) AS subtree_leaves FROM iv GROUP BY depth")
-def tree_depth_hist(spark, sf_dir):
+def tree_depth_hist(spark, sf_dir, texts=texts):
     return tree.intervals(tree.tree_nodes(texts(spark, sf_dir))).groupBy("depth").agg(F.count("*").alias("nodes"), F.sum(F.col("ep") - F.col("sp") + 1).alias("subtree_leaves"))
 
 
 @add("tree_parent", f"WITH {IV} SELECT n.text_id, n.sp, n.ep, coalesce(pa.psp, n.sp) AS parent_sp, coalesce(pa.pep, n.ep) AS parent_ep, coalesce(pa.pdepth, 0) AS parent_depth FROM nodes n LEFT JOIN pa ON n.text_id = pa.text_id AND n.sp = pa.sp AND n.ep = pa.ep")
-def tree_parent(spark, sf_dir):
+def tree_parent(spark, sf_dir, texts=texts):
     return tree.parents(tree.tree_nodes(texts(spark, sf_dir)))
 
 
@@ -423,7 +432,7 @@ _KIDS = f"""{IV}, kids AS (SELECT pa.text_id, psp AS parent_sp, pep AS parent_ep
 
 
 @add("tree_children", f"WITH {_KIDS} SELECT * FROM kids")
-def tree_children(spark, sf_dir):
+def tree_children(spark, sf_dir, texts=texts):
     return tree.children(tree.tree_nodes(texts(spark, sf_dir)))
 
 
@@ -432,22 +441,22 @@ def _child_sql(i):
 
 
 @add("tree_first_child", _child_sql(1))
-def tree_first_child(spark, sf_dir):
+def tree_first_child(spark, sf_dir, texts=texts):
     return tree.select_child(tree.tree_nodes(texts(spark, sf_dir)), 1)
 
 
 @add("tree_select_child", _child_sql(3))
-def tree_select_child(spark, sf_dir):
+def tree_select_child(spark, sf_dir, texts=texts):
     return tree.select_child(tree.tree_nodes(texts(spark, sf_dir)), 3)
 
 
 @add("tree_child_char", f"WITH {_KIDS} SELECT text_id, parent_sp AS sp, parent_ep AS ep, sp AS child_sp, ep AS child_ep FROM kids WHERE edge_ch = 'e'")
-def tree_child_char(spark, sf_dir):
+def tree_child_char(spark, sf_dir, texts=texts):
     return tree.child_by_char(tree.tree_nodes(texts(spark, sf_dir)), "e")
 
 
 @add("tree_sibling", f"WITH {_KIDS} SELECT text_id, sp, ep, lead(sp) OVER w AS sibling_sp, lead(ep) OVER w AS sibling_ep FROM kids WINDOW w AS (PARTITION BY text_id, parent_sp, parent_ep ORDER BY sp)")
-def tree_sibling(spark, sf_dir):
+def tree_sibling(spark, sf_dir, texts=texts):
     return tree.siblings(tree.tree_nodes(texts(spark, sf_dir)))
 
 
@@ -459,17 +468,17 @@ def tree_sibling(spark, sf_dir):
       FROM im JOIN nodes t ON t.text_id = im.text_id AND t.sp <= im.x AND im.y <= t.ep AND (t.leaf = im.leaf))
     SELECT text_id, sp, ep, link_sp, link_ep FROM s WHERE k = 1""",
 )
-def tree_suffix_link(spark, sf_dir):
+def tree_suffix_link(spark, sf_dir, texts=texts):
     return tree.suffix_links(tree.tree_nodes(texts(spark, sf_dir)))
 
 
 @add("tree_leaf", f"WITH {L} SELECT text_id, rank, CAST(lcp AS BIGINT) AS left_lcp, CAST(coalesce(lead(lcp) OVER (PARTITION BY text_id ORDER BY rank), 0) AS BIGINT) AS right_lcp, CAST(n - 1 - pos AS BIGINT) AS depth FROM l")
-def tree_leaf(spark, sf_dir):
+def tree_leaf(spark, sf_dir, texts=texts):
     return tree.leaves(tree.tree_nodes(texts(spark, sf_dir)))
 
 
 @add("tree_traversal_digest")
-def tree_traversal_digest(spark, sf_dir):
+def tree_traversal_digest(spark, sf_dir, texts=texts):
     return tree.traversal_digest(tree.tree_nodes(texts(spark, sf_dir)))
 
 
@@ -513,7 +522,7 @@ mg AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY substrin
 
 
 @add("mutual_suffix_order", f"WITH {_MERGED} SELECT pair_id, mutual_rank, from_seq, pos FROM mg")
-def mutual_suffix_order(spark, sf_dir):
+def mutual_suffix_order(spark, sf_dir, text_pairs=text_pairs):
     return align.merged_order(text_pairs(spark, sf_dir))
 
 
@@ -525,7 +534,7 @@ def mutual_suffix_order(spark, sf_dir):
     g AS (SELECT *, r - row_number() OVER (PARTITION BY pair_id, side, r - s ORDER BY r) AS island FROM h)
     SELECT pair_id, side, min(r) AS ref_start, min(s) AS seq_start, CAST(count(*) AS BIGINT) AS length FROM g GROUP BY pair_id, side, r - s, island""",
 )
-def left_right_matches(spark, sf_dir):
+def left_right_matches(spark, sf_dir, text_pairs=text_pairs):
     return align.neighbour_matches(align.merged_order(text_pairs(spark, sf_dir)))
 
 
@@ -597,7 +606,7 @@ def alignment_seeds(spark, sf_dir):
     f"""WITH {PAIRS}, a AS (SELECT pair_id, ch, count(*) AS n FROM (SELECT pair_id, unnest(string_split(ref, '')) AS ch FROM pr WHERE ref <> '') GROUP BY ALL), b AS (SELECT pair_id, ch, count(*) AS n FROM (SELECT pair_id, unnest(string_split(seq, '')) AS ch FROM pr WHERE seq <> '') GROUP BY ALL),
     c AS (SELECT pair_id, ch, least(a.n, b.n) AS copies, row_number() OVER (PARTITION BY pair_id ORDER BY least(a.n, b.n) DESC, ch) AS k FROM a JOIN b USING (pair_id, ch)) SELECT pair_id, ch, copies FROM c WHERE k = 1""",
 )
-def common_char_top1(spark, sf_dir):
+def common_char_top1(spark, sf_dir, text_pairs=text_pairs):
     return align.commonest_character(text_pairs(spark, sf_dir))
 
 
@@ -714,3 +723,18 @@ def log_sizes(spark, sf_dir):
     """Build-log lines made from the line items, then read again."""
     items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("log"), "l_suppkey").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"), F.format_string("Part %s:  %.3f MB (%.2f bpc)", F.col("l_returnflag"), F.col("l_extendedprice"), F.col("l_quantity")).alias("value"))
     return readers.log_sizes(items)
+
+
+# ---- the same queries over all documents -----------------------------------------------------------------------
+
+for _query in (
+    pattern_range, pattern_multi_summary, pattern_locate, pattern_strategy, pattern_violations, suffix_array,
+    inverse_suffix_array, bwt, recode_text, sa_samples, isa_samples, lf_mapping, psi_mapping, psi_k, bwt_rank,
+    bwt_rank_window, bwt_select, bwt_rank_at, backward_step, locate_ranks, inverse_positions, extract_bwt, char_range,
+    lcp_array, lcp_large_values, lcp_slice, lcp_diff_encoded, lcp_diff_decoded, lcp_block_minima, rmq_leftmost,
+    lcp_intervals, tree_node_count, tree_depth_hist, tree_parent, tree_children, tree_first_child, tree_select_child,
+    tree_child_char, tree_sibling, tree_suffix_link, tree_leaf, tree_traversal_digest,
+):
+    add(f"documents_{_query.__name__}")(partial(_query, texts=documents))
+for _query in (mutual_suffix_order, left_right_matches, common_char_top1):
+    add(f"documents_{_query.__name__}")(partial(_query, text_pairs=document_pairs))

@@ -155,3 +155,22 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["text_id"], r["cnt"]) for r in spark.sql("SELECT * FROM hits").collect()} == {(1, 2), (2, 0)}
+
+
+def test_core_queries_over_whole_documents(spark, tmp_path):
+    from stringloom.queries import REGISTRY
+
+    rng = random.Random(3)
+    texts = {0: "banana", 1: "mississippi", 2: "é" * 40 + "a", 3: "".join(rng.choice("abc ") for _ in range(700)), 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "x")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: REGISTRY.queries[name](spark, str(tmp_path)).collect()
+    order = {i: sorted(range(len(t) + 1), key=lambda k: t[k:]) for i, t in texts.items() if t is not None}
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert sorted((r["text_id"], r["rank"], r["pos"]) for r in run("documents_suffix_array")) == [(i, k, p) for i, own in order.items() for k, p in enumerate(own)]
+    assert sorted((r["text_id"], r["rank"], r["ch"]) for r in run("documents_bwt")) == [(i, k, texts[i][p - 1] if p else "") for i, own in order.items() for k, p in enumerate(own)]
+    lcp = [(i, k, common(texts[i][own[k - 1] :], texts[i][p:]) if k else 0) for i, own in order.items() for k, p in enumerate(own)]
+    assert sorted((r["text_id"], r["rank"], r["lcp"]) for r in run("documents_lcp_array")) == lcp
+    found = {(r["text_id"], r["pattern"]): r["cnt"] for r in run("documents_pattern_range")}
+    assert all(n == sum(texts[i].startswith(p, k) for k in range(len(texts[i]) + 1)) for (i, p), n in found.items())
+    assert {i for i, _ in found} == set(order)
