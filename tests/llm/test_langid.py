@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stringloom.llm import langid
@@ -42,11 +43,36 @@ def test_held_out_rows_teach_nothing(spark):
     assert a == b
 
 
-def test_chunks_do_not_change_scores(monkeypatch):
-    import numpy as np
+def _direct(text, matrix):
+    """Sum and n-grams of one text, n-gram by n-gram."""
+    text = " " + text.lower() + " "
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    total, count = np.zeros(matrix.shape[1], np.int64), 0
+    for i in range(len(codes)):
+        value = 0
+        for n in range(1, min(3, len(codes) - i) + 1):
+            value = (value * 0x01000193 + (int(codes[i + n - 1]) + n) * 0x9E3779B1) & 0xFFFFFFFF
+            total += matrix[(((value ^ (value >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF) >> 17]
+            count += 1
+    return total, count
 
-    matrix = np.log(np.random.default_rng(1).random((langid.BUCKETS, 3))).astype(np.float32)
-    texts = ["abc def", "x" * 50, "", "é ü ß"]
-    whole, n = langid.score_texts(texts, matrix)
-    assert n.tolist() == [3 * (len(t) + 2) for t in texts]
-    assert whole.shape == (4, 3)
+
+def test_a_text_has_one_score_in_any_batch_and_chunk(monkeypatch):
+    rng = random.Random(3)
+    matrix = np.random.default_rng(1).integers(-(1 << 24), 0, (langid.BUCKETS, 3)).astype(np.int32)
+    texts = ["abc def", "x" * 50, "", "é ü ß", "ab cd", "zebra"] + ["".join(rng.choice("abcß м") for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    expected = [_direct(t, matrix) for t in texts]
+    for limit in (1, 2, 3, 7, 50, 1 << 18):
+        monkeypatch.setattr(langid.chunks, "__defaults__", (limit,))
+        for start in (0, 3):
+            sums, counts = langid.score_texts(texts[start:], matrix)
+            assert [(s.tolist(), n) for s, n in zip(sums, counts)] == [(s.tolist(), n) for s, n in expected[start:]]
+        assert all(langid.score_texts([t], matrix)[0][0].tolist() == s.tolist() for t, (s, _) in zip(texts, expected))
+
+
+def test_partitions_do_not_change_scores(spark):
+    rows = corpus(200) + [(5000, "über straße " * 30000, "bb"), (5001, "x", "aa"), (5002, "ß", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    results = [sorted(map(tuple, langid.identify(df.repartition(n, "doc_id")).collect())) for n in (1, 7, 200)]
+    assert results[0] == results[1] == results[2]
+    assert len(rows[200][1]) > 300_000 and [r for r in results[0] if r[0] == 5000][0][2] == "bb"
