@@ -1,10 +1,14 @@
 """Toxicity: noisy-channel restoration of disguised words, then cue scoring of the restored text.
 
 Disguised spellings (digits and signs for letters, also at the edges of words, doubled and drawn-out letters, words
-parted by white space or signs) form a lattice of possible letters. A Viterbi search picks the path that is likeliest under a character trigram model of all words
-outside the held-out fold, weighted by the cost of each disguise. Original and restored words are then looked up among
-cues: words and word beginnings whose presence, by a lower confidence bound on the training rows, makes the
-toxic label likely. Beginnings let a cue catch endings that training never saw.
+parted by white space or signs) form a lattice of possible letters. A Viterbi search picks the path that is likeliest
+under a character trigram model of all words outside the held-out fold, weighted by the cost of each disguise. Original
+and restored words are then looked up among cues: words, word beginnings, and beginnings that two different words of a
+text share, whose presence, by a lower confidence bound on the training rows, makes the toxic label likely. Beginnings let
+a cue catch endings that training never saw.
+
+A batch of texts is split into words by Arrow, and each distinct word is looked at once; only texts that hold a
+cue, or neighbouring words that could spell one together, are visited one by one.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +30,11 @@ TOXIC_ROWS, CLEAN_ROWS = 4000, 16_000  # of the training sample
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCUMENTS = 6  # different toxic documents behind a cue
 CAUTION = 12.0  # squared width of the confidence bound
-LEAST_CUE = 0.5
+LEAST_CUE, LEAST_HINT = 0.5, 0.2  # bounds of cues, and of the hints that grade texts without a cue
 THRESHOLD = 0.3
 BASE_SCORE = 0.02
 CACHE_WORDS = 150_000
+CHUNK_BYTES = 4 << 20
 
 # The letters that a sign can stand for.
 SIGNS = {
@@ -40,11 +46,50 @@ SIGN_COST, REPEAT_COST, DROP_COST, DROP_SIGN_COST, SPACE_COST = 0.3, 0.5, 1.0, 4
 _SIGN = regex.escape("".join(x for x in SIGNS if not x.isdigit()), special_only=False)
 # Without a letter drawn out or a sign, a word's lattice holds one path; digits alone are numbers.
 _SUSPECT = regex.compile(r"^(?=.*\p{L}).*?(?:(\p{L})\1|[^\p{L}'’])", regex.DOTALL)
+_DOUBLE = regex.compile(r"(\p{L})\1")
 _SPACED = regex.compile(rf"(?<!\S)[\w{_SIGN}](?:\s+[\w{_SIGN}]){{2,}}(?=[^\w\s]*(?!\S))")
 _OUTER = regex.compile(rf"^[^\p{{L}}\p{{N}}{_SIGN}]+|[^\p{{L}}\p{{N}}{_SIGN}]+$")
+_SINGLE = regex.compile(rf"[\w{_SIGN}]")
+_LAST = regex.compile(rf"[\w{_SIGN}][^\w\s]*")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$|^([@$])\1{2,}|([@$])\2{2,}$")
 
 
+def plain_word(token: str) -> str:
+    """A lower-case token without the signs around it."""
+    return _EDGES.sub("", token).strip("@$")
+
+
+class Tokens:
+    """The words of some texts: distinct ones in lower case, and for each text and place the number of its word."""
+
+    def __init__(self, column: pa.Array):
+        lists = pc.utf8_split_whitespace(pc.fill_null(column, ""))
+        self.bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        self.bounds -= self.bounds[0]
+        raw = coded.indices.to_numpy(zero_copy_only=False)
+        distinct: dict[str, int] = {}
+        lower = np.array([distinct.setdefault(t.lower(), len(distinct)) for t in coded.dictionary.to_pylist()], np.int64)
+        self.distinct = list(distinct)
+        self.ids = lower[raw] if len(raw) else np.zeros(0, np.int64)
+        self.text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+    def texts_with(self) -> np.ndarray:
+        """For each distinct word the number of texts that hold it."""
+        pairs = np.unique(self.text * max(1, len(self.distinct)) + self.ids)
+        return np.bincount(pairs % max(1, len(self.distinct)), minlength=len(self.distinct))
+
+
+def token_chunks(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
+    """(first row, words) of runs of texts of about CHUNK_BYTES."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK_BYTES, side="right")))
+        yield a, Tokens(column.slice(a, b - a))
+        a = b
+
+
 def trigrams(word: str) -> list[str]:
     """The trigrams of a word with its borders."""
     padded = "^^" + word + "$"
@@ -57,17 +102,24 @@ def corpus_trigrams(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        words: Counter = Counter()
+
+        def settle() -> None:
+            for word, n in words.items():
+                total[""] += n
+                for gram in trigrams(word):
+                    total[gram] += n
+            words.clear()
+
         for batch in batches:
-            tokens: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    tokens.update(set(text.lower().split()))
-            for token, n in tokens.items():
-                word = _EDGES.sub("", token).strip("@$")
-                if len(word) >= 3 and word.isalpha():
-                    total[""] += n
-                    for gram in trigrams(word):
-                        total[gram] += n
+            for _, tokens in token_chunks(batch.column(0)):
+                for word, n in zip(tokens.distinct, tokens.texts_with()):
+                    word = plain_word(word)
+                    if len(word) >= 3 and word.isalpha():
+                        words[word] += int(n)
+            if len(words) >= CACHE_WORDS:
+                settle()
+        settle()
         if total:
             yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
@@ -139,37 +191,78 @@ class CharModel:
         return min(ends) if ends else (math.inf, seen)
 
 
+class Found:
+    """What a token says: its strongest cue, the shared beginnings it counts for and the word behind it, its hint, and
+    the beginnings of cues that it spells from its start to its end."""
+
+    __slots__ = ("begun", "cue", "hint", "shared", "value", "word")
+
+    def __init__(self, value: float, cue: str, shared: tuple[str, ...], hint: float, word: str, begun: dict[str, float]):
+        self.value, self.cue, self.shared, self.hint, self.word, self.begun = value, cue, shared, hint, word, begun
+
+
 class Scorer:
-    """Cues and character model of one training run."""
+    """Cues, hints and character model of one training run. A cue is '=' and a word, '^' and a word's beginning, or '2' and
+    a beginning that two different words of a text share."""
 
-    def __init__(self, cues: dict[str, float], model: CharModel):
-        self.cues, self.model, self.known = cues, model, {}
+    def __init__(self, cues: dict[str, float], model: CharModel, hints: dict[str, float] | None = None):
+        self.cues, self.model, self.hints = cues, model, hints or {}
+        self.known: dict[str, Found | None] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.lengths = sorted({len(w) - 1 for w in cues if w[0] == "="})
         self.starts = {w[1 : 1 + n] for w in cues if w[0] == "=" and len(w) > PREFIXES[0] for n in range(1, len(w))}
-        self.stems = {w[1:] for w in cues if w[0] == "^"}
+        self.heads = {w[1:5] for w in (*cues, *self.hints)}
+        self.stems = {w[1:] for w in cues if w[0] != "="}
         self.paths = {""} | {w[1 : 1 + n] for w in cues for n in range(1, len(w))}
-        self.begun: dict[str, dict[str, float]] = {}
 
     def word_cue(self, word: str) -> float:
         """The strongest cue of a clean word."""
-        best = self.cues.get("=" + word, 0.0)
-        for n in PREFIXES:
-            if len(word) >= n:
-                best = max(best, self.cues.get("^" + word[:n], 0.0))
-        return best
+        return self.named_cue(word)[0]
+
+    def named_cue(self, word: str) -> tuple[float, str]:
+        names = ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
+        return max((self.cues.get(name, 0.0), name) for name in names)
+
+    def shared_cues(self, word: str) -> tuple[str, ...]:
+        return tuple(name for n in PREFIXES if len(word) >= n and (name := "2" + word[:n]) in self.cues)
+
+    def look(self, token: str) -> Found | None:
+        """What a lower-case token says as written or, if that is nothing, as restored; None for nothing."""
+        bare = token.strip(".,;:?")
+        if bare.isalpha() and bare[:4] not in self.heads and not _DOUBLE.search(bare):  # one path, and no cue or hint begins so
+            return Found(0.0, "", (), 0.0, bare, {bare: 0.0}) if bare in self.starts else None
+        word, seen = plain_word(token), _OUTER.sub("", token)
+        value, cue = self.named_cue(word)
+        shared = self.shared_cues(word)
+        if not value and not shared and _SUSPECT.search(seen) and self.may_spell(seen):
+            word = self.model.restore(seen)
+            value, cue = self.named_cue(word)
+            shared = self.shared_cues(word)
+        hint = max((self.hints.get(name, 0.0) for name in ("=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n))), default=0.0)
+        begun = {at: spent for at, spent in self.walk({"": 0.0}, seen).items() if at}
+        return Found(value, cue, shared, hint, word, begun) if value or shared or hint or begun else None
+
+    def token(self, token: str) -> Found | None:
+        found = self.known.get(token, self)
+        if found is self:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            found = self.known[token] = self.look(token)
+        return found
 
     def token_cue(self, token: str) -> float:
         """The strongest cue of a token as written or restored."""
-        found = self.known.get(token)
+        found = self.token(token)
+        return found.value if found else 0.0
+
+    def goes_on(self, first: str, second: str) -> bool:
+        """Whether two neighbouring tokens spell the beginning of a cue together, or the second is nothing but signs."""
+        found = self.pairs.get((first, second))
         if found is None:
-            word = _EDGES.sub("", token)
-            found = self.word_cue(word.strip("@$"))
-            seen = _OUTER.sub("", token)
-            if found == 0.0 and _SUSPECT.search(seen) and self.may_spell(seen):
-                found = self.word_cue(self.model.restore(seen))
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[token] = found
+            if len(self.pairs) >= CACHE_WORDS:
+                self.pairs.clear()
+            bare, own = _OUTER.sub("", second), self.token(first)
+            found = self.pairs[first, second] = bool(own and own.begun) and (not bare or bool(self.walk({at: spent + SPACE_COST for at, spent in own.begun.items()}, bare)))
         return found
 
     def may_spell(self, seen: str) -> bool:
@@ -204,18 +297,12 @@ class Scorer:
                 break
         return states
 
-    def parted_cues(self, tokens: list[str]) -> list[float]:
+    def parted_cues(self, tokens: list[str], starts: Iterable[int] | None = None) -> dict[str, float]:
         """The cues that neighbouring tokens spell together, where that is likelier than the tokens one by one."""
-        begun, out = self.begun, {}
-        for i, token in enumerate(tokens):
-            states = begun.get(token)
-            if states is None:
-                if len(begun) >= CACHE_WORDS:
-                    begun.clear()
-                states = self.walk({"": 0.0}, _OUTER.sub("", token))
-                states = begun[token] = {at: spent for at, spent in states.items() if at}
-            if not states:
-                continue
+        out: dict[str, float] = {}
+        for i in range(len(tokens)) if starts is None else starts:
+            found = self.token(tokens[i])
+            states = found.begun if found else {}
             j = i + 1
             while states and j < len(tokens):
                 bare = _OUTER.sub("", tokens[j])
@@ -224,9 +311,9 @@ class Scorer:
                 whole = {at: spent for at, spent in states.items() if bare and "=" + at in self.cues}
                 if whole:
                     apart = sum(self.model.read(_OUTER.sub("", t))[0] for t in tokens[i : j + 1])
-                    out.update((at, self.cues["=" + at]) for at, spent in whole.items() if spent + self.model.spell(at) < apart)
+                    out.update(("=" + at, self.cues["=" + at]) for at, spent in whole.items() if spent + self.model.spell(at) < apart)
                 j += 1
-        return list(out.values())
+        return out
 
     def joined_cue(self, letters: str) -> float:
         """The strongest whole-word cue anywhere in letters written apart."""
@@ -244,43 +331,65 @@ class Scorer:
         return " ".join(self.model.restore(_OUTER.sub("", w)) if _SUSPECT.search(_OUTER.sub("", w)) else w for w in text.split())
 
     def score(self, text: str | None) -> float:
-        """1 - the product of what the three strongest different cues leave; a low base without any."""
-        if not text:
-            return BASE_SCORE
-        lower = text.lower()
-        known, cue = self.known, self.token_cue
-        values = []
-        tokens = lower.split()
-        for token in set(tokens):
-            v = known.get(token)
-            if v is None:
-                v = cue(token)
-            if v:
-                values.append(v)
-        values += self.parted_cues(tokens)
-        for m in _SPACED.finditer(lower):
-            parts = m.group(0).split()
-            if len(set(parts)) > 2:
-                v = self.joined_cue("".join(parts))
-                if v:
-                    values.append(v)
-        if not values:
-            return BASE_SCORE
-        left = 1.0
-        for v in sorted(values)[-3:]:
-            left *= 1 - v
-        return max(BASE_SCORE, 1 - left)
+        """The score of one text; see ``score_column``."""
+        return float(self.score_column(pa.array([text], pa.string()))[0])
+
+    def score_column(self, column: pa.Array) -> np.ndarray:
+        """1 - the product of what the different cues of each text leave. Without a cue the strongest hint grades the
+        text below the threshold; without a hint, a word or a text it has the base score."""
+        out = np.full(len(column), BASE_SCORE)
+        for first, tokens in token_chunks(column):
+            if len(tokens.ids):
+                self._score_chunk(column, first, tokens, out)
+        return out
+
+    def _score_chunk(self, column: pa.Array, first: int, tokens: Tokens, out: np.ndarray) -> None:
+        ids, text, bounds, names = tokens.ids, tokens.text, tokens.bounds, tokens.distinct
+        found = [self.token(t) for t in names]
+        says = np.array([f is not None and bool(f.value or f.shared or f.hint) for f in found])
+        opens = np.array([f is not None and bool(f.begun) for f in found])
+        inner = text[1:] == text[:-1]
+        at = np.flatnonzero(opens[ids[:-1]] & inner)
+        if len(at):
+            pairs, back = np.unique(ids[at] * len(names) + ids[at + 1], return_inverse=True)
+            at = at[np.array([self.goes_on(names[p // len(names)], names[p % len(names)]) for p in pairs.tolist()])[back]]
+        single, last = (np.array([bool(p.fullmatch(t)) for t in names]) for p in (_SINGLE, _LAST))
+        spaced = np.flatnonzero(single[ids[:-2]] & single[ids[1:-1]] & last[ids[2:]] & inner[1:] & inner[:-1]) if len(ids) > 2 else ids[:0]
+        held = np.flatnonzero(says[ids])
+        for row in np.unique(np.concatenate([text[held], text[at], text[spaced]])).tolist():
+            a, b = bounds[row], bounds[row + 1]
+            cues: dict[str, float] = {}
+            shared: dict[str, set[str]] = {}
+            hint = 0.0
+            for i in np.unique(ids[held[np.searchsorted(held, a) : np.searchsorted(held, b)]]).tolist():
+                own = found[i]
+                if own.value:
+                    cues[own.cue] = own.value
+                for name in own.shared:
+                    shared.setdefault(name, set()).add(own.word)
+                hint = max(hint, own.hint)
+            twice = [(self.cues[name], name) for name, words in shared.items() if len(words) > 1]
+            if twice:
+                value, name = max(twice)  # the beginnings of one word are one cue
+                cues[name] = value
+            starts = at[np.searchsorted(at, a) : np.searchsorted(at, b)]
+            if len(starts):
+                cues |= self.parted_cues([names[i] for i in ids[a:b].tolist()], (starts - a).tolist())
+            if np.searchsorted(spaced, a) < np.searchsorted(spaced, b):
+                for m in _SPACED.finditer(column[first + row].as_py().lower()):
+                    parts = m.group(0).split()
+                    if len(set(parts)) > 2 and (value := self.joined_cue("".join(parts))):
+                        cues["".join(parts)] = value
+            left = math.prod(1 - v for v in cues.values())
+            graded = BASE_SCORE + (0.9 * THRESHOLD - BASE_SCORE) * min(1.0, hint / LEAST_CUE)
+            out[first + row] = max(BASE_SCORE, 1 - left) if cues else graded
 
 
 def features(text: str) -> set[str]:
-    """Whole words and word beginnings of a text."""
-    made = set()
-    for token in set(text.lower().split()):
-        word = _EDGES.sub("", token).strip("@$")
-        if len(word) >= 3 and word.isalpha():
-            made.add("=" + word)
-            made.update("^" + word[:n] for n in PREFIXES if len(word) >= n)
-    return made
+    """Whole words of a text, their beginnings, and the beginnings that two different words share."""
+    words = {w for token in set(text.lower().split()) if len(w := plain_word(token)) >= 3 and w.isalpha()}
+    starts = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n)
+    return {"=" + w for w in words} | {"^" + p for p in starts} | {"2" + p for p, n in starts.items() if n > 1}
 
 
 def _signature(texts: pa.Array) -> np.ndarray:
@@ -335,35 +444,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     partial = sample.filter("_label = 0").select(text_col).mapInArrow(clean_counts, "feature string, n bigint")
     clean = {r["feature"]: r["n"] for r in partial.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     weight = min(1.0, TOXIC_ROWS / max(1, toxic_n)) / min(1.0, CLEAN_ROWS / max(1, clean_n))
-    cues = {}
+    cues, hints = {}, {}
     for feature, t in support.items():
         n = t + clean.get(feature, 0) * weight
         p = t / n
         bound = (p + CAUTION / (2 * n) - math.sqrt(CAUTION * (p * (1 - p) / n + CAUTION / (4 * n * n)))) / (1 + CAUTION / n)
-        if bound >= LEAST_CUE:
-            cues[feature] = round(bound, 6)
+        if bound >= LEAST_HINT:
+            (cues if bound >= LEAST_CUE else hints)[feature] = round(bound, 6)
     grams = {r["gram"]: r["n"] for r in corpus_trigrams(docs.select(text_col)).collect()}  # as many as the alphabet makes
     mass = max(1.0, grams.pop("", 0))
     strong = [f[1:] for f in sorted(cues) if f[0] == "="]
     # Disguised words are mostly cues: these get as much of the model's mass as all words of the corpus.
     model = CharModel((w, mass / max(1, len(strong))) for w in strong)
     model.add(grams.items())
-    return Scorer(cues, model)
+    return Scorer(cues, model, hints)
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[Column], text_col: str = "text") -> DataFrame:
     """``keep`` columns, score, predicted: every whole text; null and empty texts get the base score. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.cues, dict(scorer.model.three), dict(scorer.model.two), scorer.model.letters))
+    shared = docs.sparkSession.sparkContext.broadcast((scorer.cues, scorer.hints, dict(scorer.model.three), dict(scorer.model.two), scorer.model.letters))
     chosen = docs.select(F.col(text_col).alias("_text"), *keep)
     fields = chosen.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cues, three, two, letters = shared.value
+        cues, hints, three, two, letters = shared.value
         model = CharModel([])
         model.three, model.two, model.letters, model.size = three, two, letters, len(letters) + 2
-        own = Scorer(cues, model)
+        own = Scorer(cues, model, hints)
         for batch in batches:
-            made = np.array([own.score(t.as_py()) for t in batch.column(0)], dtype=np.float64)
+            made = own.score_column(batch.column(0))
             yield pa.record_batch([*batch.columns[1:], pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*(f.name for f in fields), "score", "predicted"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int"])
