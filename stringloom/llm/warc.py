@@ -4,7 +4,8 @@
 membership and prefix predicates on the record type and on header columns are pushed into the reader, which
 parses a record's header block first and passes over the payload of a record that isn't wanted. The writer
 makes one gzip member for each record, with the member's length in an extra field, so that a reader can step
-over a member after inflating its header block only. Files go through Arrow's file systems (local or by URI).
+over a member after inflating its header block only. Archives of other writers may pack many records into a member, or
+a record into many. Files go through Arrow's file systems (local or by URI).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from stringloom.llm.common import pick
-from stringloom.session import shared_dir
+from stringloom.session import cut, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length bigint, content_length bigint, payload binary"
 ARROW = pa.schema([
@@ -80,83 +81,95 @@ def parse_header(block: bytes) -> dict[str, str]:
 
 
 class RecordStream:
-    """Records of one file. ``next_header`` parses a header; then ``payload`` or ``skip`` moves past the block."""
+    """Records of one file. ``next_header`` parses a header; then ``block`` or ``skip`` moves past the block.
+
+    A packed file is read as the bytes of its gzip members, one after the other, wherever records begin in them: a member
+    may hold one record, many, or part of one. Only a member that says its own length (see ``gzip_member``) holds
+    exactly one record, and is stepped over unread when the record isn't wanted.
+    """
 
     def __init__(self, source, packed: bool):
-        self.source, self.packed, self.buffer, self.at_end = source, packed, b"", False
-        self.inflater, self.rest, self.member_end = None, b"", None
+        self.source, self.packed, self.buffer = source, packed, b""
+        self.inflater, self.fed = None, b""  # the open member, and bytes read from the file but not inflated yet
+        self.member_end: int | None = None
         self.bytes_inflated = 0
 
-    # plain files
-    def _plain_header(self) -> dict[str, str] | None:
+    def _open_member(self) -> bool:
+        """Start the next member, if there is one."""
+        head = self.fed + self.source.read(HEAD_BYTES - len(self.fed)) if len(self.fed) < 24 else self.fed
+        head = head.lstrip(b"\0") if head[:1] == b"\0" else head  # padding between members
+        self.fed = head
+        if not head:
+            return False
+        if head[:2] != b"\x1f\x8b":
+            raise ValueError("no gzip member here")
+        own = head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"SL"
+        self.member_end = self.source.tell() - len(head) + int.from_bytes(head[16:24], "little") if own else None
+        self.inflater = zlib.decompressobj(31)
+        return True
+
+    def _more(self) -> bytes:
+        """Some more bytes of the records; none at the end of the file."""
+        if not self.packed:
+            return self.source.read(HEAD_BYTES)
+        while True:
+            if self.inflater is None and not self._open_member():
+                return b""
+            fed = self.fed or self.source.read(HEAD_BYTES)
+            if not fed:
+                raise ValueError("the file ends inside a gzip member")
+            out = self.inflater.decompress(fed, 2 * HEAD_BYTES)
+            self.fed = self.inflater.unconsumed_tail
+            if self.inflater.eof:
+                self.fed, self.inflater = self.inflater.unused_data, None
+            if out:
+                self.bytes_inflated += len(out)
+                return out
+
+    def next_header(self) -> dict[str, str] | None:
         while True:
             text = self.buffer.lstrip(b"\r\n")
             end = text.find(b"\r\n\r\n")
             if end >= 0:
                 self.buffer = text[end + 4 :]
                 return parse_header(text[:end])
-            more = self.source.read(HEAD_BYTES)
+            if not text:
+                self.member_end = None  # set anew if a member opens here, at a record's start
+            more = self._more()
             if not more:
                 if text.strip():
                     raise ValueError("the file ends inside a header")
                 return None
-            self.buffer += more
-
-    def _plain_take(self, n: int, wanted: bool) -> bytes | None:
-        if n <= len(self.buffer):
-            out, self.buffer = self.buffer[:n], self.buffer[n:]
-            return out if wanted else None
-        held, left = self.buffer, n - len(self.buffer)
-        self.buffer = b""
-        if wanted:
-            return held + self.source.read(left)
-        self.source.seek(self.source.tell() + left)
-        return None
-
-    # gzip members, one for each record
-    def _member(self) -> dict[str, str] | None:
-        start = self.source.tell()
-        head = self.source.read(HEAD_BYTES)
-        if not head:
-            return None
-        self.member_end = None
-        if head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"SL":
-            self.member_end = start + int.from_bytes(head[16:24], "little")
-        self.inflater = zlib.decompressobj(31)
-        text, fed = self.inflater.decompress(head, 2 * HEAD_BYTES), len(head)
-        while b"\r\n\r\n" not in text:
-            more = self.inflater.unconsumed_tail or self.source.read(HEAD_BYTES)
-            if not more:
-                raise ValueError("the file ends inside a header")
-            text += self.inflater.decompress(more, 2 * HEAD_BYTES)
-        block, self.rest = text.split(b"\r\n\r\n", 1)
-        self.bytes_inflated += len(text)
-        return parse_header(block)
-
-    def _finish_member(self, keep: bool, n: int) -> bytes | None:
-        if not keep and self.member_end is not None:
-            self.source.seek(self.member_end)
-            return None
-        parts = [self.rest]
-        while not self.inflater.eof:
-            more = self.inflater.unconsumed_tail or self.source.read(1 << 16)
-            parts.append(self.inflater.decompress(more, 1 << 20))
-            if not more and not parts[-1]:
-                raise ValueError("the file ends inside a record")
-            self.bytes_inflated += len(parts[-1])
-            if not keep:
-                parts = []
-        self.source.seek(self.source.tell() - len(self.inflater.unused_data))
-        return b"".join(parts)[:n] if keep else None
-
-    def next_header(self) -> dict[str, str] | None:
-        return self._member() if self.packed else self._plain_header()
+            self.buffer = text + more
 
     def block(self, length: int) -> bytes:
-        return self._finish_member(True, length) if self.packed else self._plain_take(length, True)
+        parts, left = [self.buffer[:length]], length - len(self.buffer)
+        self.buffer = self.buffer[length:]
+        while left > 0:
+            more = self.source.read(left) if not self.packed else self._more()
+            if not more:
+                raise ValueError("the file ends inside a record")
+            parts.append(more[:left])
+            self.buffer = more[left:]
+            left -= len(more)
+        return b"".join(parts)
 
     def skip(self, length: int) -> None:
-        self._finish_member(False, length) if self.packed else self._plain_take(length, False)
+        if self.packed and self.member_end is not None:
+            self.source.seek(self.member_end)
+            self.buffer, self.fed, self.inflater, self.member_end = b"", b"", None, None
+            return
+        left = length - len(self.buffer)
+        self.buffer = self.buffer[length:]
+        if left > 0 and not self.packed:
+            self.source.seek(self.source.tell() + left)
+            return
+        while left > 0:
+            more = self._more()
+            if not more:
+                raise ValueError("the file ends inside a record")
+            self.buffer = more[left:]
+            left -= len(more)
 
 
 def http_body(block: bytes) -> bytes:
@@ -303,12 +316,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         files, root = open_path(self.path)
         files.create_dir(root, recursive=True)
-        if self.overwrite:
-            for name, _ in list_files(self.path):
-                files.delete_file(name)
+        old = [name for name, _ in list_files(self.path)] if self.overwrite else []
         for message in messages:
             for hidden, final in message.files if message else []:
                 files.move(hidden, final)
+        for name in old:  # only once the new files have their names
+            files.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = open_path(self.path)
@@ -374,17 +387,24 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the pages' archives to ``path`` (by default a new folder of the shared one) and read them back:
-    (page_id, payload_bytes, payload_digest, record_type, refers_to), length and digest of a response from what was read."""
+    """Write the pages' archives to ``path`` and read them back: (page_id, payload_bytes, payload_digest, record_type,
+    refers_to), length and digest of a response from what was read. Only the wanted record types are parsed beyond
+    their headers. Without a path the archives stand in a folder of the shared one until they have been read, then go."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(page_records(pages), path)
-    back = read_warc(spark, path)
+    folder = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    write_warc(page_records(pages), folder)
+    back = read_warc(spark, folder).filter(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     whole = F.col("record_type") == "response"
-    return back.select(
+    found = back.select(
         F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)").alias("page_id"),
         F.when(whole, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
         "record_type", F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to")).cast("bigint")).alias("refers_to"),
     )
+    if path:
+        return found
+    found = cut(found)  # a few columns for each page
+    files, root = open_path(folder)
+    files.delete_dir(root)
+    return found

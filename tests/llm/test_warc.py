@@ -52,3 +52,41 @@ def test_foreign_files_parse(spark, tmp_path):
     (tmp_path / "two.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(second))
     got = sorted((r["record_id"], r["record_type"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect())
     assert got == [("<a>", "response", b"<html>")] * 2 + [("<b>", "warcinfo", b"abc")] * 2
+
+
+def test_records_need_not_follow_gzip_members(spark, tmp_path):
+    """One member for a whole file, members that end inside records, and members of this library among foreign ones."""
+    rows = [{"record_id": f"<{i}>", "record_type": "response" if i % 2 else "metadata", "payload": bytes([65 + i]) * (i * 3000)} for i in range(7)]
+    data = [warc.record_bytes(r) for r in rows]
+    flat = b"".join(data)
+    forms = {
+        "whole": gzip.compress(flat), "split": b"".join(gzip.compress(flat[i : i + 1009]) for i in range(0, len(flat), 1009)),
+        "mixed": warc.gzip_member(data[0]) + gzip.compress(b"".join(data[1:4])) + warc.gzip_member(data[4]) + warc.gzip_member(data[5]) + gzip.compress(data[6]),
+    }
+    for name, packed in forms.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(packed)
+        got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path / name)).collect()}
+        assert got == {r["record_id"]: r["payload"] for r in rows}, name
+        some = warc.read_warc(spark, str(tmp_path / name)).filter("record_type = 'metadata'").collect()
+        assert {r["record_id"]: bytes(r["payload"]) for r in some} == {r["record_id"]: r["payload"] for r in rows if r["record_type"] == "metadata"}, name
+    (tmp_path / "cut").mkdir()
+    for form in (gzip.compress(flat)[:-20], gzip.compress(flat[:-900])):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.WarcReader({"path": "x"}).records("x.gz", pa.BufferReader(form)))
+
+
+def test_repeated_page_ids_and_temporary_archives(spark, tmp_path):
+    long = ["a" * 200, "b" * 200]
+    rows = [(1, "u", long[0]), (1, "u", long[1]), (2, "u", long[1]), (2, "u", long[1]), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect())
+    mark = [hashlib.sha256(x.encode()).hexdigest() for x in (*long, "")]
+    assert got == sorted([(1, mark[0], "response", None), (1, mark[1], "response", None), (2, mark[1], "revisit", 1), (2, mark[1], "revisit", 1), (3, mark[2], "response", None)], key=lambda r: r[:3])
+
+
+def test_overwrite_replaces_old_archives(spark, tmp_path):
+    path = str(tmp_path / "x")
+    for n in (3, 2):
+        warc.write_warc(spark.createDataFrame([(f"<{n}-{i}>", "metadata") for i in range(n)], "record_id string, record_type string"), path, mode="overwrite")
+    assert {r["record_id"] for r in warc.read_warc(spark, path).collect()} == {"<2-0>", "<2-1>"}
