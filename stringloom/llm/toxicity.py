@@ -56,7 +56,8 @@ _EDGES = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$|^([@$])\1{2,}|([@$]
 
 def plain_word(token: str) -> str:
     """A lower-case token without the signs around it."""
-    return _EDGES.sub("", token).strip("@$")
+    bare = token.strip(".,;:?")
+    return bare if bare.isalpha() else _EDGES.sub("", token).strip("@$")
 
 
 class Tokens:
@@ -96,30 +97,35 @@ def trigrams(word: str) -> list[str]:
     return [padded[i - 2 : i + 1] for i in range(2, len(padded))]
 
 
+def count_trigrams(words: dict[str, int]) -> dict[str, int]:
+    """The trigrams of many words at once; each word counts as often as it says."""
+    if not words:
+        return {}
+    codes = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 3 for w in words])
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place >= 2)
+    keys, back = np.unique((codes[at - 2] << np.uint64(42)) | (codes[at - 1] << np.uint64(21)) | codes[at], return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, back, np.repeat(np.fromiter(words.values(), np.int64), sizes - 2))
+    return {chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF): n for k, n in zip(keys.tolist(), counts.tolist())}
+
+
 def corpus_trigrams(texts: DataFrame) -> DataFrame:
     """(gram, n) over every text of a single-column table: each text counts its distinct plain words once, and the
     empty gram counts the words. Each task adds up its own counts first, so a gram takes one row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        words: Counter = Counter()
-
-        def settle() -> None:
-            for word, n in words.items():
-                total[""] += n
-                for gram in trigrams(word):
-                    total[gram] += n
-            words.clear()
-
         for batch in batches:
             for _, tokens in token_chunks(batch.column(0)):
-                for word, n in zip(tokens.distinct, tokens.texts_with()):
-                    word = plain_word(word)
+                words: Counter = Counter()
+                for token, n in zip(tokens.distinct, tokens.texts_with().tolist()):
+                    word = plain_word(token)
                     if len(word) >= 3 and word.isalpha():
-                        words[word] += int(n)
-            if len(words) >= CACHE_WORDS:
-                settle()
-        settle()
+                        words[word] += n
+                total[""] += words.total()
+                total.update(count_trigrams(words))
         if total:
             yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 

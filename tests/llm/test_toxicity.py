@@ -1,6 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +102,73 @@ def test_words_without_a_path_to_a_cue_are_passed_over_losslessly():
     for _ in range(4000):
         seen = "".join(rng.choice("sstooopbille10!8.-3$") for _ in range(rng.randint(1, 8)))
         assert scorer.may_spell(seen) or scorer.word_cue(scorer.model.restore(seen)) == 0.0, seen
+
+
+def test_trigrams_of_many_words_at_once():
+    words = {"quokka": 3, "aaa": 2, "\U0001d54f\U0001d54f\U0001d54f": 4, "straße": 1}
+    expected = Counter()
+    for w, n in words.items():
+        for g in toxicity.trigrams(w):
+            expected[g] += n
+    assert toxicity.count_trigrams(words) == expected
+    assert toxicity.count_trigrams({}) == {}
+
+
+def plain_score(scorer, text):
+    """One text, token by token, pair by pair, without caches and batches."""
+    if not text:
+        return toxicity.BASE_SCORE
+    own = toxicity.Scorer(scorer.cues, scorer.model, scorer.hints)
+    cues, shared, hint, tokens = {}, {}, 0.0, text.lower().split()
+    for token in tokens:
+        found = own.look(token)
+        if found:
+            if found.value:
+                cues[found.cue] = found.value
+            for name in found.shared:
+                shared.setdefault(name, set()).add(found.word)
+            hint = max(hint, found.hint)
+    twice = [(own.cues[name], name) for name, words in shared.items() if len(words) > 1]
+    if twice:
+        cues[max(twice)[1]] = max(twice)[0]
+    cues |= own.parted_cues(tokens)
+    for m in toxicity._SPACED.finditer(text.lower()):
+        parts = m.group(0).split()
+        if len(set(parts)) > 2 and own.joined_cue("".join(parts)):
+            cues["".join(parts)] = own.joined_cue("".join(parts))
+    if cues:
+        return max(toxicity.BASE_SCORE, 1 - math.prod(1 - v for v in cues.values()))
+    return toxicity.BASE_SCORE + (0.9 * toxicity.THRESHOLD - toxicity.BASE_SCORE) * min(1.0, hint / toxicity.LEAST_CUE)
+
+
+def test_batches_equal_plain_scores(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 300)
+    rng = random.Random(4)
+    cues = {"=stupid": 0.9, "=idiot": 0.9, "^moro": 0.6, "2vequ": 0.7, "=scum": 0.8}
+    model = toxicity.CharModel([("stupid", 9), ("idiot", 9), ("the", 50), ("press", 9), ("vequan", 3)])
+    scorer = toxicity.Scorer(cues, model, {"=press": 0.3, "^thea": 0.45})
+    parts = ["the", "thea", "press", "stu", "pid", "stuupid", "!diot", "vequan", "vequer", "vequer.", "s c u m", "s", "c", "u", "m!", "moroso", "12", "--", "id", "iot", "v3quan", "\n", "\x1f", "İdiot", "é"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, "", "  \n ", "the " * 3000 + "stu pid"]
+    for column in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+        assert scorer.score_column(column).tolist() == [plain_score(scorer, t) for t in texts]
+
+
+def test_beginnings_that_two_words_share():
+    scorer = toxicity.Scorer({"2achlich": 0.7}, toxicity.CharModel([("achlich", 2)]))
+    assert scorer.score("der achlichst und") == toxicity.BASE_SCORE
+    assert scorer.score("der achlichst und achlichst") == toxicity.BASE_SCORE
+    assert scorer.score("der achlichst und achlichau.") == pytest.approx(0.7)
+    assert {"2achl", "2achlich", "^achlich", "=achlichst"} <= toxicity.features("achlichst achlichau")
+
+
+TABLES = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="needs the driver's tables")
+def test_held_out_rows_of_the_tables(spark):
+    docs, marks = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, marks).collect()}
+    held = [(got[r["doc_id"]]["score"], r["toxic"]) for r in marks.collect() if r["doc_id"] in got and got[r["doc_id"]]["held_out"]]
+    toxic, clean = (np.array([s for s, y in held if y == want]) for want in (1, 0))
+    assert (toxic >= 0.3).mean() >= 0.9 and (clean >= 0.3).mean() <= 0.03
+    assert (toxic[:, None] > clean).mean() + (toxic[:, None] == clean).mean() / 2 >= 0.95
