@@ -47,6 +47,39 @@ def test_equals_brute_force(spark):
     assert substring.removal_digest(df.limit(0)).count() == 0
 
 
+def test_each_level_asks_and_windows_meet_under_an_anchor():
+    """The passes over two batches by hand: dead texts ask nothing more, and repeats share anchor and fingerprint."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(30)]
+    texts[3] = " ".join([*texts[3].split()[:60], *passage])
+    texts[20] = " ".join([*passage, *texts[20].split()[:60]])
+    tables = [pa.table({"_text": texts[a:b], "_mark": list(range(a, b)), "batch": [n] * (b - a)}) for n, (a, b) in enumerate(((0, 15), (15, 30)))]
+    plan, came, asked = substring.Removal(3, 35, 5), [None, None], []
+    for level in range(6):
+        sent = pa.concat_tables([substring._table(plan.ask(t, own, level)) for t, own in zip(tables, came)])
+        asked.append(sum(len(n) for n, k in zip(sent.column("names").to_pylist(), sent.column("kind").to_pylist()) if k >= 0) // (16 if level == 5 else 8))
+        parts = [sent.filter(pa.array([x == b for x in sent.column("bucket").to_pylist()])) for b in range(3)]
+        back = pa.Table.from_batches([r for part in parts if part.num_rows for r in substring.answer(part)])
+        came = [back.filter(pa.array([x == n for x in back.column("batch").to_pylist()])) for n in (0, 1)]
+    assert asked[1] < asked[0] / 3 and asked[5] <= 2 * 40
+    assert [set(plan.kept(t, own)) for t, own in zip(tables, came)] == [{3}, {5}]
+    assert [[int((~v).sum()) for v in plan.kept(t, own).values()] for t, own in zip(tables, came)] == [[50], [50]]
+
+
+def test_long_texts_null_ids_and_repeated_rows(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(260_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long), (2, "x " + " ".join(long.split()[1000:1050]) + " y"), (None, "q " * 100), (None, "q " * 100), (5, None), (5, "a b"), (6, " ".join(words[:40])), (6, " ".join(words[:40]))]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.removal_digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == sorted((i or 0, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 35)))
+
+
 def test_text_form(spark):
     long = " ".join(f"t{i}" for i in range(60))
     rows = [(1, f"head  kept\n{long} tail", "a", 3, "x"), (2, f"{long}", "b", 4, "y"), (3, "un  touched ", None, 5, "z"), (4, None, "c", None, None)]
