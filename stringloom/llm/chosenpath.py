@@ -1,16 +1,17 @@
 """Jaccard self-join of word-shingle sets by chosen paths.
 
-Copies (equal shingle sets) become one class first. Every run splits the classes along a path of sampled
-tokens: two classes stay together as long as they agree on the next minhash, a token that both sets share.
-A bucket that is small is compared all against all by sketches; a large one is split by the next token. What
-still shares a large bucket at the end of its path agrees on all its tokens and counts as a candidate
-cluster as it stands. ``RUNS`` runs bring the recall of a pair at the threshold to 1 - (1 - 0.8) ** RUNS in
-small buckets.
+Copies (equal shingle sets) become one class first. A run is a tree of nodes: a node that holds many classes samples
+BRANCH tokens (minhash positions, the same for all its classes), and every class goes to a child for each of them; two
+classes meet in a child if they share its token. Nodes are split on, level by level, until they hold few classes, which are
+then compared all against all by sketches. A pair whose sets agree in a share t of the tokens stays together on some path
+with a chance of at least x = 1 - (1 - t * x) ** BRANCH at any depth, and runs are repeated until that makes RECALL of the
+pairs at the threshold. A node that sampled tokens no longer split (near copies share them all) or that is still large at the
+last level is compared by brute force: its classes form one candidate cluster.
 
 Candidate pairs only decide which classes meet: connected candidates form clusters, and within a cluster
-all pairs get their exact similarity, in blocks of bounded size, each pair once. So links are counted
-exactly and without emitting pairs. How large a bucket is gets asked and answered by batch, as in a census:
-one row for each batch and distinct key, however many rows share the key.
+all pairs get their exact similarity, in blocks of bounded size, each pair once; block pairs whose set sizes rule out the
+similarity are left out. So links are counted exactly and without emitting pairs. How large a node is gets asked
+and answered by batch, as in a census: one row for each batch and distinct node, however many rows share it.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ from stringloom.session import cut
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity asked for, as a fraction
-RUNS, DEPTH = 12, 4
+RECALL = 0.9999  # of the pairs at the threshold, by the sampled tokens
+BRANCH, LEVELS = 2, 6
+SPLIT = 0.6  # a child that holds more of its parent than this was not split
 SKETCH = 64
 SKETCH_SHARE = 0.55  # equal sketch bytes of a candidate pair: five deviations below the threshold
 SMALL_BUCKET = 256
-BLOCK_ROWS = 1024
+BLOCK_ROWS, CLUSTER_BLOCKS = 1024, 20  # the largest block, and the blocks that a smaller cluster is cut into
+LEAST_BLOCK, WHOLE_ROWS = 64, 256  # the smallest block, and clusters that are compared in one piece
+MOST_PARTITIONS = 1 << 16  # beyond that, partitions hold more batches; a task holds one batch at a time
 BATCH_ROWS = 2048  # classes that ask together
 PARTITION_BATCHES = 4  # several batches share a partition, which evens the partitions out
 MEMBER_SALTS = 256
@@ -42,6 +47,17 @@ _SEEDS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xB5297
 _XOR, _TIMES = _SEEDS[:SKETCH], _SEEDS[SKETCH:] | np.uint64(1)
 
 
+def runs_needed(recall: float = RECALL, share: float = NUMERATOR / DENOMINATOR, branch: int = BRANCH) -> int:
+    """Runs after which a pair that shares ``share`` of its tokens has met with a chance of ``recall``."""
+    meets = 1.0
+    for _ in range(1000):
+        meets = 1 - (1 - share * meets) ** branch
+    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+
+
+RUNS = runs_needed()
+
+
 def shingle_sets(data: np.ndarray, borders: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingles of each text of a chunk; a text of fewer words is one shingle, without words none."""
     starts, ends, bounds = word_spans(data, borders)
@@ -74,15 +90,20 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def path_keys(hashes: np.ndarray) -> np.ndarray:
-    """rows x RUNS x DEPTH keys of the paths' nodes; a run's path takes its own minhashes in turn."""
-    keys = np.empty((len(hashes), RUNS, DEPTH), np.uint64)
-    for run in range(RUNS):
-        key = np.full(len(hashes), np.uint64(run * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        for level in range(DEPTH):
-            key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + hashes[:, (run + level * RUNS) % SKETCH])
-            keys[:, run, level] = key
-    return keys
+def child_keys(keys: np.ndarray, rows: np.ndarray, hashes: np.ndarray, level: int) -> np.ndarray:
+    """The children of nodes: for each (node, class) BRANCH keys, by tokens that the node samples from the level's
+    share of the positions, so that no path samples a position twice."""
+    if level == 0:
+        first, width = 0, BRANCH * RUNS
+        place = (keys.astype(np.int64) * BRANCH)[:, None] + np.arange(BRANCH)
+    else:
+        width = (SKETCH - BRANCH * RUNS) // (LEVELS - 1)
+        first = BRANCH * RUNS + (level - 1) * width
+        drawn = mix64(keys ^ np.uint64(0xC2B2AE3D27D4EB4F))
+        start, step = (drawn % np.uint64(width)).astype(np.int64), (drawn >> np.uint64(32)) % np.uint64(width - 1)
+        place = (start[:, None] + np.arange(BRANCH) * (1 + step.astype(np.int64))[:, None]) % width
+    own = hashes[rows[:, None], first + place]
+    return mix64(keys[:, None] * np.uint64(0x2545F4914F6CDD1D) + mix64(own + (first + place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,71 +137,118 @@ def _hash_rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH)
 
 
-def _ask(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A batch's distinct path keys and how many of its classes hold each."""
-    names, counts = np.unique(path_keys(_hash_rows(table.column("hashes"))), return_counts=True)
-    order, of, parts = _by_bucket(names, buckets)
-    names, counts = names[order], counts[order].astype(np.int32)
-    batch = table.column("batch")[0].as_py()
-    yield pa.record_batch([
-        pa.array([of[a] for a, _ in parts], pa.int64()), pa.array([batch] * len(parts), pa.int64()),
-        pa.array([names[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary()),
-    ], names=["bucket", "batch", "names", "counts"])
+class Paths:
+    """The classes of one batch on their paths: open nodes, small ones, and those that cannot be split."""
+
+    def __init__(self, classes: pa.Table, answers: pa.Table | None, buckets: int, levels: int):
+        self.ids, self.hashes = classes.column("id").to_numpy(), _hash_rows(classes.column("hashes"))
+        self.buckets, self.notes, self.of, self.level = buckets, {}, {}, 0
+        for kind, bucket, sizes in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "sizes"))) if answers is not None else ():
+            if kind < 0:
+                self.notes[kind] = sizes
+            else:
+                self.of[bucket] = np.frombuffer(sizes, np.int32)
+        self.rows = np.repeat(np.arange(len(self.ids)), RUNS)
+        self.keys = np.tile(np.arange(RUNS, dtype=np.uint64), len(self.ids))
+        self.held = np.full(len(self.rows), np.inf)  # classes of each open node
+        self.small: list[tuple[np.ndarray, np.ndarray]] = []
+        self.whole: list[tuple[np.ndarray, np.ndarray]] = []
+        for _ in range(levels):
+            self.hear(self.ask())
+
+    def ask(self) -> np.ndarray:
+        """Go down a level: the keys of all children."""
+        keys = child_keys(self.keys, self.rows, self.hashes, self.level)
+        self.rows, self.held, self.keys = np.repeat(self.rows, BRANCH), np.repeat(self.held, BRANCH), keys.ravel()
+        return self.keys
+
+    def hear(self, keys: np.ndarray) -> None:
+        """Take in how many classes each child holds."""
+        names, back = np.unique(keys, return_inverse=True)
+        kind = -1 - self.level
+        if kind in self.notes:
+            sizes = np.frombuffer(self.notes[kind], np.int32) if self.notes[kind] else np.zeros(0, np.int32)
+        else:
+            order, of, parts = _by_bucket(names, self.buckets)
+            sizes = np.zeros(len(names), np.int32)
+            for a, b in parts:
+                sizes[order[a:b]] = self.of[int(of[a])]
+            self.notes[kind] = sizes.tobytes()
+        size = sizes[back]
+        small = (size > 1) & (size <= SMALL_BUCKET)
+        large = size > SMALL_BUCKET
+        whole = large & ((size > SPLIT * self.held) | (self.level == LEVELS - 1))
+        self.small.append((self.rows[small], keys[small]))
+        self.whole.append((self.rows[whole], keys[whole]))
+        on = large & ~whole
+        self.rows, self.keys, self.held = self.rows[on], keys[on], size[on].astype(np.float64)
+        self.level += 1
+
+
+ASKED = "bucket bigint, batch bigint, kind int, names binary, counts binary"
+ANSWERED = "batch bigint, kind int, bucket bigint, sizes binary"
+
+
+def _ask(classes: pa.Table, answers: pa.Table | None, buckets: int, level: int) -> pa.Table:
+    """A batch's distinct nodes of one level with the number of its classes in each, and notes of what it has heard."""
+    rows: list[tuple[int, int, bytes, bytes]] = []
+    batch = classes.column("batch")[0].as_py() if classes.num_rows else 0
+    if classes.num_rows:
+        paths = Paths(classes, answers, buckets, level)
+        names, counts = np.unique(paths.ask(), return_counts=True)
+        order, of, parts = _by_bucket(names, buckets)
+        names, counts = names[order], counts[order].astype(np.int32)
+        rows = [(int(of[a]), level, names[a:b].tobytes(), counts[a:b].tobytes()) for a, b in parts]
+        rows += [(batch % buckets, kind, b"", sizes) for kind, sizes in paths.notes.items()]
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.table({"bucket": pa.array(columns[0], pa.int64()), "batch": pa.array([batch] * len(rows), pa.int64()), "kind": pa.array(columns[1], pa.int32()), "names": pa.array(columns[2], pa.binary()), "counts": pa.array(columns[3], pa.binary())})
 
 
 def _answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """For every key asked: 0 for a single holder, 1 for a small bucket, 2 for a large one."""
-    names = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("counts")])
-    _, back = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(back, weights=counts)[back]
-    kind = ((total > 1).astype(np.uint8) + (total > SMALL_BUCKET)).astype(np.uint8)
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-    yield pa.record_batch([table.column("batch").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([kind[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["batch", "bucket", "kinds"])
+    """For every node asked for the classes in it over all batches. Notes go back as they are."""
+    table = table.combine_chunks()
+    kinds, rows = table.column("kind").to_numpy(), table.column("counts").to_pylist()
+    asking = np.flatnonzero(kinds >= 0)
+    if len(asking):
+        raw = table.column("names").to_pylist()
+        names = [np.frombuffer(raw[r], np.uint64) for r in asking]
+        _, back = np.unique(np.concatenate(names), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(rows[r], np.int32) for r in asking])
+        total = np.minimum(np.bincount(back, weights=counts), 2**31 - 1).astype(np.int32)[back]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        for r, a, b in zip(asking, edges[:-1], edges[1:]):
+            rows[r] = total[a:b].tobytes()
+    yield pa.record_batch([table.column("batch").combine_chunks(), table.column("kind").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(rows, pa.binary())], names=["batch", "kind", "bucket", "sizes"])
 
 
 def _deal(classes: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Rows for the first small bucket on each path; at the end of a path that stays large, its smallest id alone,
-    and edges from that id to the batch's others."""
+    """Rows for the small nodes; of a node that stays whole its smallest id alone, and edges from that id to the
+    batch's others."""
     empty = pa.table({"bucket": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "sketches": pa.array([], pa.binary())})
     if not classes.num_rows:
         return empty
-    ids = classes.column("id").to_numpy()
-    hashes = _hash_rows(classes.column("hashes"))
-    keys = path_keys(hashes)
-    names, back = np.unique(keys, return_inverse=True)
-    order, of, parts = _by_bucket(names, buckets)
-    kind_of = dict(zip(answers.column("bucket").to_pylist(), answers.column("kinds").to_pylist()))
-    kinds = np.zeros(len(names), np.uint8)
-    for a, b in parts:
-        kinds[order[a:b]] = np.frombuffer(kind_of[int(of[a])], np.uint8)
-    kinds = kinds[back].reshape(keys.shape)
-    settled = kinds < 2
-    level = np.where(settled.any(axis=2), settled.argmax(axis=2), DEPTH - 1)
-    chosen = np.take_along_axis(keys, level[:, :, None], axis=2)[:, :, 0]
-    kind = np.take_along_axis(kinds, level[:, :, None], axis=2)[:, :, 0]
-    sketches = (mix64(hashes) & np.uint64(255)).astype(np.uint8)
+    paths = Paths(classes, answers, buckets, LEVELS)
+    ids, sketches = paths.ids, (mix64(paths.hashes) & np.uint64(255)).astype(np.uint8)
     made: dict[str, list] = {name: [] for name in empty.column_names}
-    small_row, small_run = np.nonzero(kind == 1)
-    order, of, parts = _by_bucket(chosen[small_row, small_run], buckets)
-    small_keys = chosen[small_row, small_run][order]
+    rows, keys = (np.concatenate(x) for x in zip(*paths.small))
+    order, of, parts = _by_bucket(keys, buckets)
     for a, b in parts:
-        at = small_row[order[a:b]]
-        for name, value in zip(made, (int(of[a]), 1, small_keys[a:b].tobytes(), ids[at].tobytes(), sketches[at].tobytes())):
+        at = rows[order[a:b]]
+        for name, value in zip(made, (int(of[a]), 1, keys[order[a:b]].tobytes(), ids[at].tobytes(), sketches[at].tobytes())):
             made[name].append(value)
-    large_row, large_run = np.nonzero(kind == 2)
-    if len(large_row):
-        keys_2, ids_2 = chosen[large_row, large_run], ids[large_row]
-        by = np.lexsort((ids_2, keys_2))
-        keys_2, ids_2 = keys_2[by], ids_2[by]
+    rows, keys = (np.concatenate(x) for x in zip(*paths.whole))
+    if len(rows):
+        own = ids[rows]
+        by = np.lexsort((own, keys))
+        keys, own = keys[by], own[by]
         new = np.ones(len(by), bool)
-        new[1:] = keys_2[1:] != keys_2[:-1]
-        heads = ids_2[np.flatnonzero(new)][np.cumsum(new) - 1]
-        local = np.unique(np.stack([heads[~new], ids_2[~new]], axis=1), axis=0)
-        keys_2, ids_2 = keys_2[new], ids_2[new]
-        order, of, parts = _by_bucket(keys_2, buckets)
+        new[1:] = keys[1:] != keys[:-1]
+        heads = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        local = np.unique(np.stack([heads[~new], own[~new]], axis=1), axis=0)
+        keys, own = keys[new], own[new]
+        order, of, parts = _by_bucket(keys, buckets)
         for a, b in parts:
-            for name, value in zip(made, (int(of[a]), 2, keys_2[order[a:b]].tobytes(), ids_2[order[a:b]].tobytes(), b"")):
+            for name, value in zip(made, (int(of[a]), 2, keys[order[a:b]].tobytes(), own[order[a:b]].tobytes(), b"")):
                 made[name].append(value)
         if len(local):
             for name, value in zip(made, (int(ids.min()) % buckets, 3, b"", local.tobytes(), b"")):
@@ -342,29 +410,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = pick(docs, id_col, text_col)
     described = cut(_describe(docs, id_col, text_col))
     shape = Window.partitionBy("fp1", "fp2")
-    packed = described.groupBy("fp1", "fp2", F.pmod(F.xxhash64("id"), F.lit(MEMBER_SALTS)).alias("salt")).agg(F.collect_list("id").alias("ids"), F.min("id").alias("least"), F.count("*").alias("held"))
-    members = cut(packed.withColumn("rep", F.min("least").over(shape)).withColumn("copies", F.sum("held").over(shape)).select("fp1", "rep", "copies", "ids", "least"))
-    heads = members.filter("least = rep").select("rep", "fp1", "copies").distinct()
+    packed = described.groupBy("fp1", "fp2", F.pmod(F.xxhash64("id"), F.lit(MEMBER_SALTS)).alias("salt")).agg(F.collect_list("id").alias("ids"), F.min("id").alias("least"), F.count("*").alias("held"), F.min("n").alias("n"))
+    members = cut(packed.withColumn("rep", F.min("least").over(shape)).withColumn("copies", F.sum("held").over(shape)).select("fp1", "rep", "copies", "n", "ids", "least"))
+    heads = members.filter("least = rep").select("rep", "fp1", "copies", "n").distinct()
 
     classes = described.select("id", F.col("fp1").alias("_f"), "hashes").join(heads, (F.col("id") == F.col("rep")) & (F.col("_f") == F.col("fp1"))).dropDuplicates(["id"])
     count = heads.count()
     batches = max(1, math.ceil(count / BATCH_ROWS))
-    partitions = max(1, math.ceil(batches / PARTITION_BATCHES))
+    partitions = min(MOST_PARTITIONS, max(1, math.ceil(batches / PARTITION_BATCHES)))
     buckets = max(12, partitions)
     dealt = classes.select("id", "hashes", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")).repartition(partitions, "batch")
-    asked = map_groups(dealt, "batch", lambda t: _ask(t, buckets), "bucket bigint, batch bigint, names binary, counts binary", partitions=partitions)
-    answered = map_groups(asked, "bucket", _answer, "batch bigint, bucket bigint, kinds binary")
-    rows = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(lambda c, a: _deal(c, a, buckets), "bucket bigint, kind int, keys binary, ids binary, sketches binary")
+
+    def asked(level: int, answers: DataFrame | None) -> DataFrame:
+        if answers is None:
+            return map_groups(dealt, "batch", lambda t: iter(_ask(t, None, buckets, level).to_batches()), ASKED, partitions=partitions)
+        return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda c, a: _ask(c, a, buckets, level), ASKED)
+
+    answers = None
+    for level in range(LEVELS):
+        answers = map_groups(asked(level, answers), "bucket", _answer, ANSWERED)
+    rows = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda c, a: _deal(c, a, buckets), "bucket bigint, kind int, keys binary, ids binary, sketches binary")
     candidates = map_groups(rows, "bucket", _compare, "a bigint, b bigint")
 
-    clusters = components(candidates)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("_group"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    numbered = positions(clusters, "component", [F.col("node")], facts=sizes)
-    block = F.floor((F.col("position") - 1) / BLOCK_ROWS).cast("int")
-    placed = numbered.join(heads, F.col("node") == F.col("rep")).select(F.col("node").alias("id"), "component", "blocks", block.alias("block"), "fp1", "copies")
+    sized = components(candidates).join(heads.select(F.col("rep").alias("node"), "n"), "node")
+    step = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(min(LEAST_BLOCK, BLOCK_ROWS)), F.ceil(F.col("size") / CLUSTER_BLOCKS))).cast("int")
+    steps = sized.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("_group"), F.when(F.col("size") <= WHOLE_ROWS, F.col("size").cast("int")).otherwise(step).alias("step"))
+    numbered = positions(cut(sized), "component", [F.col("n"), F.col("node")], facts=steps)
+    blocked = cut(numbered.select("node", "component", "n", F.floor((F.col("position") - 1) / F.col("step")).cast("int").alias("block")))
+    # Classes stand by set size, so the blocks that one can hold links to lie side by side.
+    spans = blocked.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    every = spans.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
+    before = F.size(F.filter("all", lambda x: x["high"] * DENOMINATOR < F.col("low") * NUMERATOR))
+    after = F.size(F.filter("all", lambda x: x["low"] * NUMERATOR <= F.col("high") * DENOMINATOR)) - 1
+    near = spans.join(every, "component").select(F.col("component").alias("_c"), F.col("block").alias("_b"), before.alias("first"), after.alias("last"), (F.size("all") == 1).alias("whole"))
+    placed = blocked.join(near, (F.col("component") == F.col("_c")) & (F.col("block") == F.col("_b"))).join(heads.drop("n"), F.col("node") == F.col("rep"))
+    placed = placed.select(F.col("node").alias("id"), "component", "block", "first", "last", "whole", "fp1", "copies")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")).join(placed, "id")
-    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("id", "_text", "component", "fp1", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("blocks") == 1).alias("whole"))
+    paired = texts.withColumn("other", F.explode(F.sequence("first", "last")))
+    paired = paired.select("id", "_text", "component", "fp1", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "whole")
     paired = paired.withColumn("key", F.xxhash64("component", "i", "j"))
     verified = cut(map_groups(paired, "key", _each_cluster, "id bigint, links bigint, root bigint, whole boolean"))
 

@@ -1,11 +1,14 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stringloom.llm import chosenpath
+from stringloom.llm.common import text_chunks
 from stringloom.llm.components import components
 
 
@@ -43,10 +46,11 @@ def corpus(rng):
     return rows
 
 
-@pytest.mark.parametrize(("small", "block"), [(256, 1024), (3, 4)])
+@pytest.mark.parametrize(("small", "block"), [(256, 256), (3, 4)])
 def test_equals_brute_force(spark, monkeypatch, small, block):
     monkeypatch.setattr(chosenpath, "SMALL_BUCKET", small)
     monkeypatch.setattr(chosenpath, "BLOCK_ROWS", block)
+    monkeypatch.setattr(chosenpath, "WHOLE_ROWS", block)
     rows = corpus(random.Random(small))
     rows += [rows[20], rows[20]]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("id", F.lit("q")).withColumn("batch", F.lit(0)).withColumn("n_links", F.lit(0))
@@ -58,6 +62,7 @@ def test_equals_brute_force(spark, monkeypatch, small, block):
 def test_hot_near_copies_keep_every_link(spark, monkeypatch):
     monkeypatch.setattr(chosenpath, "SMALL_BUCKET", 16)
     monkeypatch.setattr(chosenpath, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(chosenpath, "WHOLE_ROWS", 50)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -102,3 +107,74 @@ def test_keep_one_keeps_one_row_of_repeats(spark):
     assert kept.columns == df.columns
     assert sorted(r["mark"] for r in kept.collect()) == ["a", "c", "d", "g", "h", "h"]
     assert sorted(r["mark"] for r in chosenpath.keep_one(df).collect()) == ["a", "c", "d", "e", "f", "g", "g", "h", "h"]
+
+
+def test_a_pair_stays_on_some_path():
+    """The chance that two sets which share 80 % of the tokens meet, at every depth, by simulation and by the formula."""
+    rng = np.random.default_rng(2)
+    assert chosenpath.RUNS == chosenpath.runs_needed() == 4
+    assert chosenpath.runs_needed(0.9) < chosenpath.runs_needed(0.99999)
+    met = [0] * chosenpath.LEVELS
+    for _ in range(2000):
+        a = rng.integers(0, 2**63, (1, chosenpath.SKETCH)).astype(np.uint64)
+        b = np.where(rng.random((1, chosenpath.SKETCH)) < 0.8, a, a + np.uint64(1))
+        keys = np.arange(1, dtype=np.uint64)
+        for level in range(chosenpath.LEVELS):
+            at = np.zeros(len(keys), np.int64)
+            one, two = (chosenpath.child_keys(keys, at, h, level).ravel() for h in (a, b))
+            keys = one[one == two]
+            met[level] += len(keys) > 0
+    assert all(m / 2000 >= 0.9 for m in met)
+
+
+def test_large_nodes_are_split(monkeypatch):
+    """Sets that share one passage part on the way down; near copies stay whole."""
+    monkeypatch.setattr(chosenpath, "SMALL_BUCKET", 20)
+    rng = np.random.default_rng(4)
+    passage, sets = rng.integers(0, 2**63, 60).astype(np.uint64), []
+    for i in range(400):
+        own = rng.integers(0, 2**63, 140).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([passage, own]) if i < 300 else np.concatenate([passage[:50], own[:1]])))
+    classes = pa.table({"id": list(range(400)), "hashes": pa.array([h.tobytes() for h in chosenpath.minhashes(sets)], pa.binary()), "batch": [0] * 400})
+    answers = None
+    for level in range(chosenpath.LEVELS):
+        sent = chosenpath._ask(classes, answers, 1, level)
+        answers = pa.Table.from_batches(list(chosenpath._answer(sent)))
+    paths = chosenpath.Paths(classes, answers, 1, chosenpath.LEVELS)
+    copies = [rows[rows >= 300] for rows, _ in paths.whole]
+    assert set(np.concatenate(copies).tolist()) == set(range(300, 400))
+    sizes = [sum(len(rows[rows < 300]) for rows, _ in paths.whole), sum(len(rows[rows < 300]) for rows, _ in paths.small)]
+    assert sizes[0] < 300 * chosenpath.RUNS
+
+
+TABLE = Path("/root/testdata/sf0.1/documents.parquet")
+
+
+@pytest.mark.skipif(not TABLE.exists(), reason="needs the driver's tables")
+def test_recall_on_a_whole_table(spark):
+    """Links of all 10,000 documents against those counted over an index of all shingles."""
+    docs = spark.read.parquet(str(TABLE)).select("doc_id", "text")
+    rows = {r[0]: r[1] for r in docs.collect()}
+    column = pa.array(list(rows.values()), pa.string())
+    sets = [s for _, _, data, borders in text_chunks(column) for s in chosenpath.shingle_sets(data, borders)]
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    edges = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]])
+    shared = Counter()
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a > 1:
+            own = np.sort(of[a:b]).tolist()
+            for k, i in enumerate(own):
+                for j in own[k + 1 :]:
+                    shared[i, j] += 1
+    links = Counter()
+    for (i, j), n in shared.items():
+        if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+            links[i] += 1
+            links[j] += 1
+    ids = list(rows)
+    got = {r["doc_id"]: r["n_links"] for r in chosenpath.near_duplicates(docs).collect()}
+    assert sum(links.values()) > 1000
+    assert all(got[i] <= links[k] for k, i in enumerate(ids))
+    assert sum(got.values()) >= 0.999 * sum(links.values())
