@@ -1,21 +1,22 @@
 """Licence scans: Dice coefficients over word bigrams between stretches of a text and licence templates.
 
 Texts and templates are normalised (ASCII letters in lower case, other ASCII signs but letters and digits to
-spaces). A stretch is a run of whole lines or sentences. With threshold t and template size m (in bigrams), a stretch of a
+spaces). A stretch begins and ends at any word. With threshold t and template size m (in bigrams), a stretch of a
 bigrams can only match if t / (2 - t) * m <= a <= (2 - t) / t * m, and must share at least
 t / (2 - t) * m bigrams with the template; so one of any m - that + 1 chosen bigrams must occur. Whole buffers are tested
-for those chosen (rarest) bigrams first, and only texts that hold one are looked at by stretch.
+for those chosen (rarest) bigrams first, and only texts that hold one are looked at, near these places. A stretch
+never gains by beginning or ending with a bigram that the template lacks, so only shared bigrams are tried as ends.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ THRESHOLD = 0.8
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _LUT = np.frombuffer(_TABLE, np.uint8)
-_UNITS = regex.compile(rb"[^\n]*?(?:\n|[.!?](?=[ \t\r\n])|$)", regex.DOTALL)
 
 # The texts of the licences and of the notices that stand for them.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -73,6 +73,23 @@ by the Free Software Foundation, either version {version} of the License, or (at
 is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of
 the GNU {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public
+License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details. You
+should have received a copy of the GNU {kind} General Public License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE,
+TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES
+OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
@@ -81,10 +98,13 @@ commercial or non-commercial, and by any means."""
 
 
 def default_templates() -> list[tuple[str, str]]:
-    """(licence, text): whole texts of short licences, standard headers, and one-line notices made by rule."""
+    """(licence, text): whole texts of short licences, standard headers, and one-line notices made by rule. The whole
+    legal texts of long licences (GPL, LGPL, AGPL, Apache, MPL, CC) are not among them; pass templates for these."""
     found = [
         ("MIT", _MIT), ("ISC", _ISC), ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"), ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
         ("Zlib", _ZLIB), ("Apache-2.0", _APACHE), ("MPL-2.0", _MPL), ("Unlicense", _UNLICENSE),
+        ("BSL-1.0", _BOOST), ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
+        ("LGPL-2.1", _LGPL.format(kind="Lesser", version="2.1")), ("LGPL-2.0", _LGPL.format(kind="Library", version="2")),
     ]
     for kind, short in (("General Public License", "GPL"), ("Lesser General Public License", "LGPL"), ("Affero General Public License", "AGPL")):
         for version in ("2", "3") if short == "GPL" else ("3",):
@@ -135,7 +155,7 @@ class Scanner:
                 held += grams[gram]
             chosen |= probes
             self.templates.append((name, grams, size, probes))
-        self.chosen = chosen
+        self.grams = {g for _, grams, _, _ in self.templates for g in grams}
         raw = [b" ".join(g) for g in sorted(chosen)]
         self.probes = np.unique([self._hash(x)[0] for x in raw]).astype(np.uint64)
         self.coarse = np.zeros(1 << 16, bool)
@@ -158,49 +178,49 @@ class Scanner:
         return np.unique(rows[at + 1 < bounds[rows + 1]])
 
     def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """(licence, Dice, first word, words) of the best matches that don't overlap, in order of place."""
-        units, words = [], []
-        for m in _UNITS.finditer(text):
-            own = words_of(m.group(0))
-            if own:
-                units.append((len(words), len(words) + len(own)))
-                words += own
-        pairs = list(zip(words, words[1:]))
+        """(licence, Dice, first word, words) of the best matches that don't overlap, in order of place.
+
+        Every template and first word has its best end (the nearest of equal ones); of these stretches the one with the
+        highest Dice comes first (ties: the earlier, the shorter, then by name), and the others where they overlap none.
+        """
+        words = words_of(text)
         place: dict[tuple[bytes, bytes], list[int]] = {}
-        for i, pair in enumerate(pairs):
-            if pair in self.chosen:
+        for i, pair in enumerate(zip(words, words[1:])):
+            if pair in self.grams:
                 place.setdefault(pair, []).append(i)
-        unit_of = np.repeat(np.arange(len(units)), [b - a for a, b in units])
         found = []
         for name, grams, size, probes in self.templates:
-            least, most = self.low * size - 1e-9, size / self.low + 1e-9
-            starts: set[int] = set()
-            for pair in probes:
-                for i in place.get(pair, ()):
-                    u = int(unit_of[i])
-                    while u >= 0 and units[int(unit_of[i])][1] - units[u][0] - 1 <= most + units[int(unit_of[i])][1] - i:
-                        starts.add(u)
-                        u -= 1
-            for u in sorted(starts):
-                first = units[u][0]
-                shared, own = 0, Counter()
-                done = first
-                for v in range(u, len(units)):
-                    last = units[v][1]
-                    if last - first - 1 > most:
-                        break
-                    for pair in pairs[done : last - 1]:
-                        own[pair] += 1
-                        shared += own[pair] <= grams.get(pair, 0)
-                    done = last - 1
-                    n = last - first - 1
-                    if n >= least and 2 * shared >= self.threshold * (n + size):
-                        found.append((-2 * shared / (n + size), first, last - first, name))
-        kept: list[tuple[str, float, int, int]] = []
+            hits = sorted(i for pair in probes for i in place.get(pair, ()))
+            if hits:
+                found += [(-dice_, first, n, name) for dice_, first, n in self._stretches(place, grams, size, np.array(hits))]
+        kept: list[tuple[int, int, str, float]] = []  # by place; they don't overlap
         for score, first, n, name in sorted(found):
-            if all(first + n <= a or first >= a + k for _, _, a, k in kept):
-                kept.append((name, -score, first, n))
-        return sorted(kept, key=lambda x: x[2])
+            at = bisect_left(kept, (first,))
+            if (at == len(kept) or first + n <= kept[at][0]) and (at == 0 or kept[at - 1][0] + kept[at - 1][1] <= first):
+                insort(kept, (first, n, name, -score))
+        return [(name, score, first, n) for first, n, name, score in kept]
+
+    def _stretches(self, place: dict[tuple[bytes, bytes], list[int]], grams: Counter, size: int, hits: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """(Dice, first word, words) of the best stretch from each place that can begin a match of one template."""
+        most, least = int(size / self.low + 1e-9), self.low * size - 1e-9
+        own = [(i, g, k, cap) for g, (pair, cap) in enumerate(grams.items()) for k, i in enumerate(place.get(pair, ()))]
+        at, gram, nth, cap = (np.array(x) for x in zip(*sorted(own)))
+        near = np.searchsorted(hits, at - most), np.searchsorted(hits, at + most, side="right")
+        near = near[0] < near[1]  # a match holds a chosen bigram
+        at, gram, nth, cap = at[near], gram[near], nth[near], cap[near]
+        ahead = np.searchsorted(at, at + most)
+        for s in np.flatnonzero(ahead - np.arange(len(at)) >= least).tolist():
+            e = ahead[s]
+            before = np.full(len(grams), -1)
+            window, number = gram[s:e], nth[s:e]
+            before[window[::-1]] = number[::-1]  # the first copy of each bigram from here on
+            shared = np.cumsum(number - before[window] < cap[s:e])
+            n = at[s:e] - at[s] + 1
+            ok = (n >= least) & (2 * shared >= self.threshold * (n + size))
+            if ok.any():
+                score = np.where(ok, 2 * shared / (n + size), 0)
+                best = int(score.argmax())
+                yield float(score[best]), int(at[s]), int(n[best]) + 1
 
 
 MATCHES = "matches array<struct<license:string,dice:double,first_word:int,words:int>>"
@@ -209,8 +229,8 @@ MATCHES = "matches array<struct<license:string,dice:double,first_word:int,words:
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, matches) of every document: the licence stretches of its whole text, possibly none.
 
-    Of overlapping stretches the one with the highest Dice stays (ties: the earlier, shorter, then by name).
-    Null and empty texts have none; repeated rows stay; no shuffle; other columns are not read.
+    Stretches begin and end at any word. Every template and first word has its best end; of overlapping stretches the one
+    with the highest Dice stays (ties: the earlier, the shorter, then by name). Null and empty texts have none; repeated rows stay; no shuffle; other columns are not read.
     """
     chosen = list(templates or default_templates())
     kinds = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_word", pa.int32()), ("words", pa.int32())]))
@@ -231,7 +251,12 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] | None =
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """One row for each document: (doc_id, n_matches, licenses, best_license, best_dice)."""
+    """One row for each document: (doc_id, n_matches, licenses, best_license, best_dice).
+
+    ``licenses`` holds the different names in order, joined by commas; the best match is the one with the highest
+    Dice (ties: the earlier). Texts without a match, null ones among them, have 0 matches, '' and nulls. Repeated rows stay;
+    an empty table gives no rows.
+    """
     found = scan_licenses(docs)
     ranked = F.array_sort(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["first_word"].alias("w"), m["license"].alias("l"))))
     best = F.try_element_at(ranked, F.lit(1))

@@ -6,38 +6,60 @@ from stringloom.llm import licenses
 
 
 def brute(text, templates, threshold=0.8):
-    """The best Dice of any run of units with any template."""
-    units = [licenses.words_of(m.group(0)) for m in licenses._UNITS.finditer(text.encode())]
-    units = [u for u in units if u]
-    best = (0.0, None)
+    """All stretches of words and all templates: of each template and first word the best end, then the best of what overlaps."""
+    words = licenses.words_of(text.encode())
+    found = []
     for name, t in templates:
         grams = licenses.bigrams(licenses.words_of(t.encode()))
-        for i in range(len(units)):
-            words = []
-            for unit in units[i:]:
-                words += unit
-                d = licenses.dice(licenses.bigrams(words), grams)
-                if d >= threshold and d > best[0]:
-                    best = (d, name)
-    return best
+        for i in range(len(words)):
+            ends = [(-licenses.dice(licenses.bigrams(words[i:j]), grams), j - i) for j in range(i + 2, min(len(words), i + 2 * grams.total() + 3) + 1)]
+            good = min((e for e in ends if -e[0] >= threshold), default=None)
+            if good:
+                found.append((good[0], i, good[1], name))
+    kept = []
+    for score, i, n, name in sorted(found):
+        if all(i + n <= a or i >= a + k for a, k, _, _ in kept):
+            kept.append((i, n, name, -score))
+    return [(name, score, i, n) for i, n, name, score in sorted(kept)]
 
 
-def test_best_match_equals_brute_force():
+def test_matches_equal_brute_force():
     rng = random.Random(3)
-    templates = licenses.default_templates()
+    templates = [t for t in licenses.default_templates() if len(t[1].split()) < 14] + [("X", "a a a b a a"), ("Y", "a b"), ("X", "a b a b a b")]
     scanner = licenses.Scanner(templates)
-    for _ in range(60):
-        lines = [" ".join(rng.choice("the of any software license is provided as with under".split()) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 4))]
-        for _ in range(rng.randint(0, 2)):
-            words = rng.choice(templates[8:])[1].split()
+    some = 0
+    for n in range(150):
+        words = [rng.choice(["a", "b", "c"] if n % 3 else "the of any software license is provided as with under".split()) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(templates)[1].split()
             for _ in range(rng.choice([0, 0, 1, 2])):
-                words[rng.randrange(len(words))] = "changed"
-            lines.insert(rng.randint(0, len(lines)), " ".join(words))
-        text = "\n".join(lines)
+                own[rng.randrange(len(own))] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        text = rng.choice([" ", "\n", ", "]).join(words)
         found = scanner.scan(text.encode())
-        score, name = brute(text, templates)
-        assert max((m[1] for m in found), default=0.0) == score
-        assert bool(found) == (name is not None)
+        assert found == brute(text, templates)
+        some += len(found)
+    assert some > 100
+
+
+def test_notices_inside_sentences_and_lines():
+    scanner = licenses.Scanner(licenses.default_templates())
+    text = "Note that this code is licensed under the MIT License and may be copied by anyone who likes it, see above"
+    assert [m[0] for m in scanner.scan(text.encode())] == ["MIT"]
+    line = "words before " * 40 + licenses._MIT.replace("\n", " ") + " words after" * 40
+    (found,) = scanner.scan(line.encode())
+    assert found == ("MIT", 1.0, 80, len(licenses.words_of(licenses._MIT.encode())))
+    (found,) = scanner.scan(licenses._LGPL.format(kind="Lesser", version="2.1").encode())
+    assert found[:2] == ("LGPL-2.1", 1.0)
+
+
+def test_dense_texts_and_ties():
+    scanner = licenses.Scanner(licenses.default_templates())
+    many = scanner.scan(b"Released under the MIT License.\n" * 3000)
+    assert len(many) == 3000 and {m[:2] for m in many} == {("MIT", 1.0)}
+    tied = licenses.Scanner([("B", "one two three"), ("A", "one two three")]).scan(b"zero one two three four")
+    assert tied == [("A", 1.0, 1, 3)]
 
 
 def test_long_licence_in_a_file():
