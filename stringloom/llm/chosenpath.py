@@ -32,12 +32,12 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity asked for, as a fraction
 RECALL = 0.9999  # of the pairs at the threshold, by the sampled tokens
 BRANCH, LEVELS = 2, 6
-SPLIT = 0.6  # a child that holds more of its parent than this was not split
+UNSPLIT = 6  # steps of 2 ** -0.125: a child that holds more than 2 ** -0.75 of its parent was not split
 SKETCH = 64
 SKETCH_SHARE = 0.55  # equal sketch bytes of a candidate pair: five deviations below the threshold
 SMALL_BUCKET = 256
-BLOCK_ROWS, CLUSTER_BLOCKS = 1024, 20  # the largest block, and the blocks that a smaller cluster is cut into
-LEAST_BLOCK, WHOLE_ROWS = 64, 256  # the smallest block, and clusters that are compared in one piece
+BLOCK_ROWS, CLUSTER_BLOCKS = 1024, 20  # the largest block, and the blocks that a middling cluster is cut into
+WHOLE_ROWS = 1024  # clusters that are compared in one piece
 MOST_PARTITIONS = 1 << 16  # beyond that, partitions hold more batches; a task holds one batch at a time
 BATCH_ROWS = 2048  # classes that ask together
 PARTITION_BATCHES = 4  # several batches share a partition, which evens the partitions out
@@ -147,10 +147,10 @@ class Paths:
             if kind < 0:
                 self.notes[kind] = sizes
             else:
-                self.of[bucket] = np.frombuffer(sizes, np.int32)
+                self.of[bucket] = np.frombuffer(sizes, np.uint8)
         self.rows = np.repeat(np.arange(len(self.ids)), RUNS)
         self.keys = np.tile(np.arange(RUNS, dtype=np.uint64), len(self.ids))
-        self.held = np.full(len(self.rows), np.inf)  # classes of each open node
+        self.held = np.full(len(self.rows), 1 << 20)  # how large each open node is
         self.small: list[tuple[np.ndarray, np.ndarray]] = []
         self.whole: list[tuple[np.ndarray, np.ndarray]] = []
         for _ in range(levels):
@@ -167,21 +167,20 @@ class Paths:
         names, back = np.unique(keys, return_inverse=True)
         kind = -1 - self.level
         if kind in self.notes:
-            sizes = np.frombuffer(self.notes[kind], np.int32) if self.notes[kind] else np.zeros(0, np.int32)
+            codes = np.frombuffer(self.notes[kind], np.uint8) if self.notes[kind] else np.zeros(0, np.uint8)
         else:
             order, of, parts = _by_bucket(names, self.buckets)
-            sizes = np.zeros(len(names), np.int32)
+            codes = np.zeros(len(names), np.uint8)
             for a, b in parts:
-                sizes[order[a:b]] = self.of[int(of[a])]
-            self.notes[kind] = sizes.tobytes()
-        size = sizes[back]
-        small = (size > 1) & (size <= SMALL_BUCKET)
-        large = size > SMALL_BUCKET
-        whole = large & ((size > SPLIT * self.held) | (self.level == LEVELS - 1))
+                codes[order[a:b]] = self.of[int(of[a])]
+            self.notes[kind] = codes.tobytes()
+        size = codes[back].astype(np.int64)
+        small, large = size == 1, size > 1
+        whole = large & ((size > self.held - UNSPLIT) | (self.level == LEVELS - 1))
         self.small.append((self.rows[small], keys[small]))
         self.whole.append((self.rows[whole], keys[whole]))
         on = large & ~whole
-        self.rows, self.keys, self.held = self.rows[on], keys[on], size[on].astype(np.float64)
+        self.rows, self.keys, self.held = self.rows[on], keys[on], size[on]
         self.level += 1
 
 
@@ -204,8 +203,14 @@ def _ask(classes: pa.Table, answers: pa.Table | None, buckets: int, level: int)
     return pa.table({"bucket": pa.array(columns[0], pa.int64()), "batch": pa.array([batch] * len(rows), pa.int64()), "kind": pa.array(columns[1], pa.int32()), "names": pa.array(columns[2], pa.binary()), "counts": pa.array(columns[3], pa.binary())})
 
 
+def size_codes(classes: np.ndarray) -> np.ndarray:
+    """0 for a single class, 1 for a small node, and from 2 on the size of a large one in steps of 2 ** 0.125."""
+    steps = np.floor(8 * np.log2(np.maximum(classes / SMALL_BUCKET, 1)))
+    return np.where(classes > SMALL_BUCKET, np.minimum(2 + steps, 255), classes > 1).astype(np.uint8)
+
+
 def _answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """For every node asked for the classes in it over all batches. Notes go back as they are."""
+    """For every node asked for how large it is over all batches. Notes go back as they are."""
     table = table.combine_chunks()
     kinds, rows = table.column("kind").to_numpy(), table.column("counts").to_pylist()
     asking = np.flatnonzero(kinds >= 0)
@@ -214,7 +219,7 @@ def _answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = [np.frombuffer(raw[r], np.uint64) for r in asking]
         _, back = np.unique(np.concatenate(names), return_inverse=True)
         counts = np.concatenate([np.frombuffer(rows[r], np.int32) for r in asking])
-        total = np.minimum(np.bincount(back, weights=counts), 2**31 - 1).astype(np.int32)[back]
+        total = size_codes(np.bincount(back, weights=counts))[back]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in names])])
         for r, a, b in zip(asking, edges[:-1], edges[1:]):
             rows[r] = total[a:b].tobytes()
@@ -433,7 +438,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = map_groups(rows, "bucket", _compare, "a bigint, b bigint")
 
     sized = components(candidates).join(heads.select(F.col("rep").alias("node"), "n"), "node")
-    step = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(min(LEAST_BLOCK, BLOCK_ROWS)), F.ceil(F.col("size") / CLUSTER_BLOCKS))).cast("int")
+    step = F.least(F.lit(BLOCK_ROWS), F.ceil(F.col("size") / CLUSTER_BLOCKS)).cast("int")
     steps = sized.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("_group"), F.when(F.col("size") <= WHOLE_ROWS, F.col("size").cast("int")).otherwise(step).alias("step"))
     numbered = positions(cut(sized), "component", [F.col("n"), F.col("node")], facts=steps)
     blocked = cut(numbered.select("node", "component", "n", F.floor((F.col("position") - 1) / F.col("step")).cast("int").alias("block")))
