@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import map_groups, mix64, pick, positions, shield, shingles, text_chunks, word_hashes, word_spans
+from stringloom.llm.common import grouped, map_groups, mix64, pick, positions, shield, shingles, text_chunks, word_hashes, word_spans
 from stringloom.llm.components import components
 from stringloom.session import cut
 
@@ -424,11 +424,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     batches = max(1, math.ceil(count / BATCH_ROWS))
     partitions = min(MOST_PARTITIONS, max(1, math.ceil(batches / PARTITION_BATCHES)))
     buckets = max(12, partitions)
-    dealt = classes.select("id", "hashes", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")).repartition(partitions, "batch")
+    # Cut before they are dealt, so that all levels share one shuffle of a plain scan.
+    dealt = cut(classes.select("id", "hashes", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch"))).repartition(partitions, "batch")
 
     def asked(level: int, answers: DataFrame | None) -> DataFrame:
         if answers is None:
-            return map_groups(dealt, "batch", lambda t: iter(_ask(t, None, buckets, level).to_batches()), ASKED, partitions=partitions)
+            return dealt.sortWithinPartitions("batch").mapInArrow(lambda batches: (b for t in grouped(batches, "batch") for b in _ask(t, None, buckets, level).to_batches()), ASKED)
         return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda c, a: _ask(c, a, buckets, level), ASKED)
 
     answers = None
