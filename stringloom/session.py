@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,14 +21,18 @@ def get_session(app: str = "stringloom", cores: int | str = "*") -> SparkSession
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("STRINGLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where none is set, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``. Where none is set a local session, as in tests, takes a temporary
+    one; on a cluster that is an error, as other machines would not see the folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="stringloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_folder(path: str) -> None:
+    """Remove a folder of the shared one that nothing reads any more."""
+    files, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if ":" in path else (fs.LocalFileSystem(), path)
+    files.delete_dir(root)
