@@ -149,7 +149,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def decode_tokens(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, data binary) from ``encode_documents``."""
+    """(id, data binary) from ``encode_documents``; a null list of tokens gives no bytes. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
@@ -157,8 +157,9 @@ def decode_tokens(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             data = [own.decode(t or []) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=[id_col, "data"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, "tokens").mapInArrow(run, f"`{id_col}` {kind}, data binary")
+    named = pick(df, id_col, "tokens")
+    kind = named.schema[id_col].dataType.simpleString()
+    return named.mapInArrow(run, f"`{id_col}` {kind}, data binary")
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 
-import corpus_pipeline
 from stringloom.llm import ann, bpe, chosenpath, langid, licenses, mixing, substring, topk, toxicity, warc
 from stringloom.registry import Registry, table
 
@@ -85,6 +84,8 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.add("pipeline", corpus_pipeline.ORACLE_SQL)
+@REGISTRY.add("pipeline")  # its stages hold a trained model, which SQL cannot express
 def pipeline(spark, sf_dir):
+    import corpus_pipeline  # the script stands beside the package, which also works installed alone
+
     return corpus_pipeline.run(spark, sf_dir)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from stringloom.llm.common import pick
-from stringloom.session import cut, shared_dir
+from stringloom.session import cut, drop_folder, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length bigint, content_length bigint, payload binary"
 ARROW = pa.schema([
@@ -405,6 +405,5 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     if path:
         return found
     found = cut(found)  # a few columns for each page
-    files, root = open_path(folder)
-    files.delete_dir(root)
+    drop_folder(folder)
     return found
