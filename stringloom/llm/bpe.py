@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from stringloom.llm.common import pick
 
 LEAF_BYTES = 32
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -33,8 +33,8 @@ CAUTION = 12.0  # squared width of the confidence bound
 LEAST_CUE, LEAST_HINT = 0.5, 0.2  # bounds of cues, and of the hints that grade texts without a cue
 THRESHOLD = 0.3
 BASE_SCORE = 0.02
-CACHE_WORDS = 150_000
-CHUNK_BYTES = 4 << 20
+CACHE_WORDS = 60_000
+CHUNK_BYTES = 1 << 20
 
 # The letters that a sign can stand for.
 SIGNS = {
@@ -466,11 +466,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Scorer(cues, model, hints)
 
 
-def score(docs: DataFrame, scorer: Scorer, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """``keep`` columns, score, predicted: every whole text; null and empty texts get the base score. No shuffle."""
+def score(docs: DataFrame, scorer: Scorer, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns of ``keep``, score, predicted: every whole text; null and empty texts get the base score. No shuffle; the
+    text crosses to Python once, whether it is kept or not."""
     shared = docs.sparkSession.sparkContext.broadcast((scorer.cues, scorer.hints, dict(scorer.model.three), dict(scorer.model.two), scorer.model.letters))
-    chosen = docs.select(F.col(text_col).alias("_text"), *keep)
-    fields = chosen.schema.fields[1:]
+    chosen = docs.select(*dict.fromkeys([text_col, *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cues, hints, three, two, letters = shared.value
@@ -479,9 +479,9 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[Column], text_col: str = "
         own = Scorer(cues, model, hints)
         for batch in batches:
             made = own.score_column(batch.column(0))
-            yield pa.record_batch([*batch.columns[1:], pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*(f.name for f in fields), "score", "predicted"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int"])
+    schema = ", ".join([f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "predicted int"])
     return chosen.mapInArrow(run, schema)
 
 
@@ -490,11 +490,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -
     docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
     out = F.coalesce(crc_fold("doc_id", fold) == held, F.lit(False))
     scorer = train(docs.filter(~out), labels.filter(crc_fold("doc_id", fold) != held))
-    return score(docs, scorer, [F.col("doc_id"), out.alias("held_out")])
+    return score(docs.withColumn("held_out", out), scorer, ["doc_id", "held_out"])
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model trained on all labels does not reject."""
     plain, at = shield(docs)
-    scored = score(plain, train(docs, labels), [F.col(c) for c in plain.columns], text_col=at["text"])
+    scored = score(plain, train(docs, labels), plain.columns, text_col=at["text"])
     return scored.filter("predicted = 0").select(*plain.columns).toDF(*docs.columns)
