@@ -36,7 +36,7 @@ UNSPLIT = 6  # steps of 2 ** -0.125: a child that holds more than 2 ** -0.75 of
 SKETCH = 64
 SKETCH_SHARE = 0.55  # equal sketch bytes of a candidate pair: five deviations below the threshold
 SMALL_BUCKET = 256
-BLOCK_ROWS, CLUSTER_BLOCKS = 1024, 20  # the largest block, and the blocks that a middling cluster is cut into
+BLOCK_ROWS, CLUSTER_BLOCKS = 1024, 28  # the largest block, and the blocks that a middling cluster is cut into
 WHOLE_ROWS = 1024  # clusters that are compared in one piece
 MOST_PARTITIONS = 1 << 16  # beyond that, partitions hold more batches; a task holds one batch at a time
 BATCH_ROWS = 2048  # classes that ask together
