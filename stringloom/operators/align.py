@@ -149,6 +149,77 @@ def block_alignment(pairs: DataFrame, block: int = BLOCK, depth: int = DEPTH, mo
     return _by_pair(pairs, ["block_no", "ref_rank", "seq_rank"], kernel)
 
 
+def partitions(pairs: DataFrame, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """(pair_id, block_no, ref_sp, ref_ep, seq_sp, seq_ep): the rank ranges that ``block_alignment`` works on, in order."""
+
+    def kernel(ref: str, seq: str) -> list[np.ndarray]:
+        a, b = (kernels.suffix_order([kernels.codes(t)], with_lcp=False) for t in (ref, seq))
+        flat = np.array(sorted(_blocks(a, b, block, depth)), np.int64).reshape(-1, 4)
+        return [np.arange(len(flat)), flat[:, 0], flat[:, 1] - 1, flat[:, 2], flat[:, 3] - 1]
+
+    return _by_pair(pairs, ["block_no", "ref_sp", "ref_ep", "seq_sp", "seq_ep"], kernel)
+
+
+def partition_statistics(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(pair_id, ranges, intersection, ref_missed, seq_missed, ref_lost, seq_lost, ref_overlaps, seq_overlaps): ranks outside all
+    blocks, ranks that a block of the other side is too short for, and blocks that begin inside their predecessor.
+    ``sizes`` is (pair_id, ref_size, seq_size)."""
+    own = Window.partitionBy("pair_id").orderBy("block_no")
+    length = lambda s: F.col(f"{s}_ep") - F.col(f"{s}_sp") + 1
+    steps = blocks
+    for s in ("ref", "seq"):
+        expected = F.coalesce(F.lag(f"{s}_ep").over(own) + 1, F.lit(0))
+        steps = steps.withColumn(f"{s}_gap", F.col(f"{s}_sp") - expected).withColumn(f"{s}_over", (F.col(f"{s}_sp") < expected).cast("int"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+    summed = steps.groupBy("pair_id").agg(
+        F.count("*").alias("ranges"), total(F.least(length("ref"), length("seq"))).alias("intersection"),
+        *[x for s in ("ref", "seq") for x in (total(f"{s}_gap").alias(f"{s}_gaps"), total(f"{s}_over").alias(f"{s}_overlaps"), F.max_by(f"{s}_ep", "block_no").alias(f"{s}_last"))],
+    )
+    joined = sizes.join(summed, "pair_id", "left")
+    for s in ("ref", "seq"):
+        joined = joined.withColumn(f"{s}_missed", F.coalesce(f"{s}_gaps", F.lit(0)) + F.col(f"{s}_size") - F.coalesce(F.col(f"{s}_last") + 1, F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    lost = lambda s: (F.col(f"{s}_size") - F.coalesce("intersection", F.lit(0)) - F.col(f"{s}_missed")).cast("bigint").alias(f"{s}_lost")
+    missed = lambda s: F.col(f"{s}_missed").cast("bigint").alias(f"{s}_missed")
+    return joined.select("pair_id", zero("ranges"), zero("intersection"), missed("ref"), missed("seq"), lost("ref"), lost("seq"), zero("ref_overlaps"), zero("seq_overlaps"))
+
+
+def run_alignment(pairs: DataFrame) -> DataFrame:
+    """(pair_id, k, ref_rank, seq_rank): the two Burrows-Wheeler columns aligned run by run, the rule for blocks of end markers."""
+
+    def kernel(ref: str, seq: str) -> list[np.ndarray]:
+        orders = (kernels.suffix_order([kernels.codes(t)], with_lcp=False) for t in (ref, seq))
+        found = kernels.match_runs(*(o.symbols[(o.sa - 1) % len(o.sa)].tolist() for o in orders))
+        flat = np.array(found, np.int64).reshape(-1, 2)
+        return [np.arange(1, len(flat) + 1), flat[:, 0], flat[:, 1]]
+
+    return _by_pair(pairs, ["k", "ref_rank", "seq_rank"], kernel)
+
+
+def alignment_faults(alignment: DataFrame, ref_index: DataFrame, seq_index: DataFrame) -> DataFrame:
+    """(pair_id, aligned, faults): aligned pairs of Burrows-Wheeler rows, and those that don't increase on both sides or whose
+    characters differ; any alignment of two columns must have none."""
+    own = Window.partitionBy("pair_id").orderBy("ref_rank")
+    rows = alignment.select("pair_id", "ref_rank", "seq_rank", F.lag("ref_rank").over(own).alias("_r"), F.lag("seq_rank").over(own).alias("_s"))
+    a = ref_index.select("pair_id", F.col("rank").alias("ref_rank"), F.col("ch").alias("_a"))
+    b = seq_index.select("pair_id", F.col("rank").alias("seq_rank"), F.col("ch").alias("_b"))
+    joined = rows.join(a, ["pair_id", "ref_rank"], "left").join(b, ["pair_id", "seq_rank"], "left")
+    wrong = ~F.col("_a").eqNullSafe(F.col("_b")) | F.col("_a").isNull() | (F.coalesce("_r", F.lit(-1)) >= F.col("ref_rank")) | (F.coalesce("_s", F.lit(-1)) >= F.col("seq_rank"))
+    return joined.groupBy("pair_id").agg(F.count("*").alias("aligned"), F.count_if(wrong).alias("faults"))
+
+
+def relative_lf(ref_index: DataFrame, seq_rest: DataFrame, alignment: DataFrame) -> DataFrame:
+    """(pair_id, rank, ch, occ, lf) of seq without its own index: characters come through the alignment from ref's column or
+    from seq's rest, ranks from running counts of a character, and LF adds the smaller characters."""
+    column = rebuild_bwt(ref_index, seq_rest, alignment)
+    own = Window.partitionBy("pair_id", "ch").orderBy("rank")
+    counted = column.withColumn("occ", (F.row_number().over(own) - 1).cast("bigint"))
+    letters = column.groupBy("pair_id", "ch").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("pair_id").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = letters.select("pair_id", "ch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
+    return counted.join(starts, ["pair_id", "ch"]).select("pair_id", "rank", "ch", "occ", (F.col("_c") + F.col("occ")).alias("lf"))
+
+
 def complement(index: DataFrame, alignment: DataFrame, side: str) -> DataFrame:
     """(pair_id, rank, ch) of the Burrows-Wheeler rows of one side ('ref' or 'seq') that are not aligned."""
     used = alignment.select("pair_id", F.col(f"{side}_rank").alias("rank"))
@@ -188,10 +259,13 @@ def commonest_character(pairs: DataFrame) -> DataFrame:
     return shared.withColumn("_n", F.row_number().over(own)).filter("_n = 1").select("pair_id", "ch", "copies")
 
 
-def map_alphabet(ref: DataFrame, seq: DataFrame) -> DataFrame:
+def map_alphabet(ref: DataFrame, seq: DataFrame, is_sorted: bool = True) -> DataFrame:
     """(pair_id, ch, ref_ch, exact): for each seq character the smallest ref character that is not smaller, or null.
 
-    Both sides are (pair_id, ch) alphabets; a union and one backward-looking window instead of a range join."""
+    Both sides are (pair_id, ch) alphabets; a union and one backward-looking window instead of a range join. Alphabets that
+    are not in code point order map every character to itself."""
+    if not is_sorted:
+        return seq.select("pair_id", "ch", F.col("ch").alias("ref_ch"), F.lit(True).alias("exact"))
     both = ref.select("pair_id", "ch", F.col("ch").alias("r")).unionByName(seq.select("pair_id", "ch", F.lit(None).cast("string").alias("r")))
     ahead = Window.partitionBy("pair_id").orderBy(F.col("ch"), F.col("r").isNull().desc()).rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("ref_ch", F.first("r", ignorenulls=True).over(ahead)).filter(F.col("r").isNull())

@@ -19,6 +19,7 @@ from stringloom.operators import kernels
 from stringloom.session import cut
 
 CHUNK_SYMBOLS = 1 << 18
+DEFAULT_SYMBOLS = ["", *"ACGNT"]  # fixed values: the alphabet of texts without one of their own
 
 #: Column types of ``suffix_table``. ``ch`` is '' for the end marker; places that don't exist are null.
 COLUMNS = {
@@ -104,10 +105,31 @@ def suffix_table_sql(texts: DataFrame, id_col: str = "text_id", text_col: str =
     return positions.select(id_col, ranked.cast("bigint").alias("rank"), F.col("pos").cast("bigint").alias("pos"), ch.alias("ch"))
 
 
+def char_counts(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """(id, ch, cnt): one row for each text and different character, the end marker '' among them, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, held in text_batches(batch):
+                lengths = np.array([len(x) + 1 for x in held])
+                symbols = np.concatenate([np.append(x + 1, 0) for x in held])
+                keys, counts = np.unique(np.repeat(np.arange(len(held)), lengths) * (1 << 21) + symbols, return_counts=True)
+                yield pa.record_batch([batch.column(0).take(pa.array(np.array(rows)[keys >> 21])), _chars(keys & ((1 << 21) - 1)), pa.array(counts.astype(np.int64))], names=[id_col, "ch", "cnt"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ch string, cnt bigint")
+
+
+def default_alphabet(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """(id, ch, comp) for texts whose alphabet file is missing: '' and ACGNT in this order where a text has six symbols with
+    the end marker; other texts have no default and no rows."""
+    sizes = char_counts(texts, id_col, text_col).groupBy(id_col).agg(F.count_distinct("ch").alias("_n")).filter(F.col("_n") == len(DEFAULT_SYMBOLS))
+    return sizes.select(id_col, F.posexplode(F.array(*[F.lit(x) for x in DEFAULT_SYMBOLS])).alias("comp", "ch")).select(id_col, "ch", F.col("comp").cast("bigint").alias("comp"))
+
+
 def alphabet(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
     """(id, ch, comp, cnt, c): the end marker is '' with comp 0 and count 1; ``c`` counts smaller symbols."""
-    chars = texts.filter(F.col(text_col).isNotNull()).select(id_col, F.explode(F.concat(F.array(F.lit("")), F.filter(F.split(text_col, ""), lambda x: x != ""))).alias("ch"))
-    counts = chars.groupBy(id_col, "ch").agg(F.count("*").alias("cnt"))
+    counts = char_counts(texts, id_col, text_col).groupBy(id_col, "ch").agg(F.sum("cnt").alias("cnt"))
     own = Window.partitionBy(id_col).orderBy("ch")
     comp = (F.row_number().over(own) - 1).cast("bigint")
     below = F.coalesce(F.sum("cnt").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -23,25 +23,31 @@ def select_of(index: DataFrame, k: Column | int, id_col: str = "text_id") -> Dat
 
 
 def rank_at(index: DataFrame, probes: DataFrame, id_col: str = "text_id") -> DataFrame:
-    """(id, i, ch, occurrences) for probes (id, i, ch): copies of ch in the Burrows-Wheeler column before place i."""
-    probes = probes.select(id_col, "i", F.col("ch").alias("_ch"))
-    joined = probes.join(index.select(id_col, "rank", "ch"), id_col)
-    hits = F.count_if((F.col("rank") < F.col("i")) & (F.col("ch") == F.col("_ch")))
-    return joined.groupBy(id_col, "i", F.col("_ch").alias("ch")).agg(hits.alias("occurrences"))
+    """(id, i, ch, occurrences) for probes (id, i, ch): copies of ch in the Burrows-Wheeler column before place i.
+
+    Probes stand among the column's rows of their character, in one running count: no probe meets rows of other
+    characters, and each row is read once, however many probes there are."""
+    rows = index.select(id_col, "ch", F.col("rank").alias("i"), F.lit(1).alias("_row"))
+    asked = probes.select(id_col, "ch", F.col("i").cast("bigint").alias("i"), F.lit(0).alias("_row")).distinct()
+    before = Window.partitionBy(id_col, "ch").orderBy("i", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.unionByName(asked).withColumn("occurrences", F.sum("_row").over(before))
+    return counted.filter("_row = 0").select(id_col, "i", "ch", "occurrences")
 
 
 def backward_step(index: DataFrame, letters: DataFrame, ranges: DataFrame, id_col: str = "text_id") -> DataFrame:
     """One step of backward search: (id, sp, ep, ch, new_sp, new_ep) for ranges (id, sp, ep, ch).
 
     An unknown character and an empty range give (1, 0)."""
-    asked = ranges.select(id_col, "sp", "ep", F.col("ch").alias("_ch")).distinct()
-    joined = asked.join(index.select(id_col, "rank", "ch"), id_col)
-    same = F.col("ch") == F.col("_ch")
-    counted = joined.groupBy(id_col, "sp", "ep", "_ch").agg(F.count_if(same & (F.col("rank") < F.col("sp"))).alias("low"), F.count_if(same & (F.col("rank") <= F.col("ep"))).alias("high"))
+    asked = ranges.select(id_col, F.col("sp").cast("bigint").alias("sp"), F.col("ep").cast("bigint").alias("ep"), "ch").distinct()
+    borders = asked.select(id_col, F.explode(F.array("sp", F.col("ep") + 1)).alias("i"), "ch")
+    counted = rank_at(index, borders, id_col)
+    side = lambda name: counted.select(F.col(id_col).alias(f"_{name}"), F.col("ch").alias(f"_{name}_ch"), F.col("i").alias(f"_{name}_i"), F.col("occurrences").alias(name))
+    out = asked.join(side("low"), (F.col(id_col) == F.col("_low")) & (F.col("ch") == F.col("_low_ch")) & (F.col("sp") == F.col("_low_i")))
+    out = out.join(side("high"), (F.col(id_col) == F.col("_high")) & (F.col("ch") == F.col("_high_ch")) & (F.col("ep") + 1 == F.col("_high_i")))
     known = letters.select(F.col(id_col).alias("_id"), F.col("ch").alias("_c"), "c")
-    out = counted.join(known, (F.col(id_col) == F.col("_id")) & (F.col("_ch") == F.col("_c")), "left")
+    out = out.join(known, (F.col(id_col) == F.col("_id")) & (F.col("ch") == F.col("_c")), "left")
     some = F.col("c").isNotNull() & (F.col("high") > F.col("low"))
-    return out.select(id_col, "sp", "ep", F.col("_ch").alias("ch"), F.when(some, F.col("c") + F.col("low")).otherwise(1).alias("new_sp"), F.when(some, F.col("c") + F.col("high") - 1).otherwise(0).alias("new_ep"))
+    return out.select(id_col, "sp", "ep", "ch", F.when(some, F.col("c") + F.col("low")).otherwise(1).alias("new_sp"), F.when(some, F.col("c") + F.col("high") - 1).otherwise(0).alias("new_ep"))
 
 
 def lf(index: DataFrame, id_col: str = "text_id") -> DataFrame:
@@ -94,6 +100,11 @@ def text_sizes(texts: DataFrame, id_col: str = "text_id", text_col: str = "text"
     return texts.filter(F.col(text_col).isNotNull()).select(id_col, (F.char_length(text_col) + 1).cast("bigint").alias("size"))
 
 
+def sequence_counts(texts: DataFrame, id_col: str = "text_id", text_col: str = "text", mark: str = "\0") -> DataFrame:
+    """(id, sequences): the sequences of a text, each ended by a mark or by the text's end."""
+    return texts.filter(F.col(text_col).isNotNull()).select(id_col, F.size(F.split(F.regexp_replace(text_col, f"{mark}$", ""), mark)).cast("bigint").alias("sequences"))
+
+
 def clamp(value: Column, low: Column, high: Column) -> Column:
     """Bound a value to [low, high]."""
     return F.greatest(F.least(value, high), low)

@@ -108,6 +108,25 @@ def bit_runs(rows: DataFrame, group: str, rank: str, bit: str) -> DataFrame:
     return runs.groupBy(group, bit).agg(F.count("*").alias("runs"), F.max("_n").alias("longest"), F.sum("_n").alias("bits"), F.sum(F.length(F.bin("_n"))).cast("bigint").alias("length_bits"))
 
 
+def run_measures(rows: DataFrame, group: str, rank: str, bit: str) -> DataFrame:
+    """(group, runs, gap0, gap1, run): what different codes of a bit column take. ``runs`` counts runs of ones; ``gap0`` and
+    ``gap1`` are the bits of the distances between zeros and between ones, ``run`` those of the lengths of the runs, each
+    counted from the start of the column; zeros before the first one are part of the first run's distance."""
+    own = Window.partitionBy(group).orderBy(rank)
+    placed = rows.select(group, rank, F.col(bit).alias("_bit"), F.row_number().over(own).alias("_at"), F.coalesce(F.lag(bit).over(own), F.lit(False)).alias("_before"))
+    same = Window.partitionBy(group, "_bit").orderBy(rank)
+    gaps = placed.withColumn("_gap", F.col("_at") - F.coalesce(F.lag("_at").over(same), F.lit(0)))
+    bits = lambda x: F.length(F.bin(x))
+    border = F.when(F.col("_bit") != F.col("_before"), F.col("_at"))
+    last = F.last(border, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = gaps.withColumn("_border", border).withColumn("_length", F.when(border.isNotNull(), F.col("_at") - F.coalesce(last, F.lit(0))))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+    return marked.groupBy(group).agg(
+        F.count_if(F.col("_bit") & F.col("_border").isNotNull()).alias("runs"), total(F.when(~F.col("_bit"), bits(F.col("_gap")))).alias("gap0"),
+        total(F.when(F.col("_bit"), bits(F.col("_gap")))).alias("gap1"), total(bits(F.col("_length"))).alias("run"),
+    )
+
+
 def coverage(intervals: DataFrame, group: str, low: str, high: str) -> DataFrame:
     """(group, intervals, total, covered, islands) of half-open [low, high) intervals: length of their union."""
     real = intervals.filter(F.col(low) < F.col(high))

@@ -1,9 +1,9 @@
 """Searching an index that was built once: packed suffix arrays by text, kept as Parquet.
 
-``pack`` makes one row for each text: its symbols, suffix array and the set of its character pairs, as binary columns. A search
-reads these rows and nothing is built again. A text whose character pairs don't cover a pattern's is passed over
-without unpacking its suffix array. Patterns that fit a broadcast go to every task; beyond that they are dealt to the texts in
-parts of bounded size, each searched in one pass over the index, so there is no number of patterns that fails.
+``pack`` makes one row for each text: its symbols, suffix array and a bitmap of its character pairs, as binary columns. A
+search reads these rows and builds nothing. A text whose character pairs don't cover a pattern's is passed over without a
+look at its suffix array. A few patterns go to every task; a table of any number of patterns is dealt to the texts in
+parts of bounded size (``find_all``), so there is no number of patterns that fails.
 """
 
 from __future__ import annotations
@@ -12,24 +12,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.operators import kernels
 from stringloom.operators.index import text_batches
 from stringloom.operators.search import find_range, raw_symbols
+from stringloom.session import cut
 
-PART_CHARS = 16 << 20  # characters of patterns that one pass over the index sends to every task
+PART_CHARS = 16 << 20  # characters of the patterns that a task holds at once
+SHARE_BYTES = 64 << 20  # of the packed index that meets one part in one task
 PACKED = "n bigint, symbols binary, sa binary, pairs binary"
 MASK_BITS = 1 << 12
 
 
-def _pair_mask(symbols: np.ndarray) -> np.ndarray:
-    """A bitmap of the hashed pairs of neighbouring symbols."""
-    mask = np.zeros(MASK_BITS, bool)
-    if len(symbols) > 1:
-        mask[((symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> 20] = True
-    return mask
+def _pairs(symbols: np.ndarray) -> np.ndarray:
+    """Hashed pairs of neighbouring symbols, below MASK_BITS."""
+    return ((symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> 20
 
 
 def pack(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
@@ -39,13 +38,13 @@ def pack(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> D
         for batch in batches:
             for rows, held in text_batches(batch):
                 order = kernels.suffix_order(held, with_lcp=False)
-                made: dict[str, list] = {"n": [], "symbols": [], "sa": [], "pairs": []}
+                made: list[tuple] = []
                 for a, b in zip(order.bounds[:-1], order.bounds[1:]):
-                    symbols = order.symbols[a:b]
-                    values = (int(b - a), raw_symbols(symbols), order.sa[a:b].astype("<u4").tobytes(), np.packbits(_pair_mask(symbols)).tobytes())
-                    for name, value in zip(made, values):
-                        made[name].append(value)
-                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(made["n"], pa.int64()), *(pa.array(made[c], pa.binary()) for c in ("symbols", "sa", "pairs"))], names=[id_col, *made])
+                    symbols, mask = order.symbols[a:b], np.zeros(MASK_BITS, bool)
+                    mask[_pairs(symbols)] = True
+                    made.append((int(b - a), raw_symbols(symbols), order.sa[a:b].astype("<u4").tobytes(), np.packbits(mask).tobytes()))
+                n, *packed = zip(*made)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=[id_col, "n", "symbols", "sa", "pairs"])
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {PACKED}")
@@ -61,152 +60,139 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _search(index: DataFrame, patterns: list[str], places: bool, id_col: str) -> DataFrame:
-    coded = [(p, kernels.codes(p) + 1) for p in patterns]
-    asked = [(p, raw_symbols(c), np.flatnonzero(_pair_mask(c)), c[:1]) for p, c in coded]
-    names = [id_col, "pattern", "rank", "pos"] if places else [id_col, "pattern", "sp", "ep", "cnt"]
+class Patterns:
+    """Patterns ready to be looked for in packed texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, said, numbers = [], [], []
-            for row in range(batch.num_rows):
-                raw, packed, pairs = (batch.column(c)[row].as_py() for c in (1, 2, 3))
-                mask = np.unpackbits(np.frombuffer(pairs, np.uint8)).astype(bool)
-                sa: np.ndarray | None = None
-                for name, p, used, _ in asked:
-                    sp, ep = 1, 0
-                    if mask[used].all():
-                        if sa is None:
-                            sa = np.frombuffer(packed, "<u4")
-                        sp, ep = find_range(raw, sa, p)
-                    if places:
-                        if sp <= ep:
-                            at += [row] * (ep - sp + 1)
-                            said += [name] * (ep - sp + 1)
-                            numbers.append(np.stack([np.arange(sp, ep + 1), sa[sp : ep + 1]], axis=1))
-                    else:
-                        at.append(row)
-                        said.append(name)
-                        numbers.append((sp, ep, ep - sp + 1))
-            width = 2 if places else 3
-            columns = (np.concatenate(numbers) if places and numbers else np.array(numbers)).astype(np.int64).reshape(-1, width)
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(said, pa.string()), *(pa.array(columns[:, i]) for i in range(width))], names=names)
+    def __init__(self, patterns: list[str]):
+        coded = [kernels.codes(p) + 1 for p in patterns]
+        self.asked = [(p, raw_symbols(c), np.unique(_pairs(c))) for p, c in zip(patterns, coded)]
+
+    def ranges(self, symbols: bytes, sa: bytes, pairs: bytes) -> Iterator[tuple[str, int, int, np.ndarray]]:
+        """(pattern, sp, ep, suffix array) for every pattern."""
+        mask, places = np.unpackbits(np.frombuffer(pairs, np.uint8)).astype(bool), np.frombuffer(sa, "<u4")
+        for name, raw, used in self.asked:
+            sp, ep = find_range(symbols, places, raw) if mask[used].all() else (1, 0)
+            yield name, sp, ep, places
 
-    kind = index.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, pattern string, " + ("rank bigint, pos bigint" if places else "sp bigint, ep bigint, cnt bigint")
-    return index.select(id_col, "symbols", "sa", "pairs").mapInArrow(run, schema)
+
+def _found(ids: pa.Array, rows: list[tuple[int, str, int, int]], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    sp, ep = np.array(columns[2], np.int64), np.array(columns[3], np.int64)
+    return pa.record_batch([ids.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(sp), pa.array(ep), pa.array(ep - sp + 1)], names=names)
 
 
 def find(index: DataFrame, patterns: list[str], id_col: str = "text_id") -> DataFrame:
     """(id, pattern, sp, ep, cnt) for every text of a packed index and every pattern; an empty range is (1, 0)."""
-    return _search(index, patterns, False, id_col)
+    names = [id_col, "pattern", "sp", "ep", "cnt"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Patterns(patterns)
+        for batch in batches:
+            rows = [(r, name, sp, ep) for r in range(batch.num_rows) for name, sp, ep, _ in own.ranges(*(batch.column(c)[r].as_py() for c in (1, 2, 3)))]
+            yield _found(batch.column(0), rows, names)
+
+    kind = index.schema[id_col].dataType.simpleString()
+    return index.select(id_col, "symbols", "sa", "pairs").mapInArrow(run, f"`{id_col}` {kind}, pattern string, sp bigint, ep bigint, cnt bigint")
 
 
 def locate(index: DataFrame, patterns: list[str], id_col: str = "text_id") -> DataFrame:
     """(id, pattern, rank, pos): every occurrence in the texts of a packed index."""
-    return _search(index, patterns, True, id_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Patterns(patterns)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                for name, sp, ep, places in own.ranges(*(batch.column(c)[r].as_py() for c in (1, 2, 3))):
+                    if sp <= ep:
+                        n = ep - sp + 1
+                        yield pa.record_batch([batch.column(0).take(pa.array(np.full(n, r))), pa.array([name] * n, pa.string()), pa.array(np.arange(sp, ep + 1)), pa.array(places[sp : ep + 1].astype(np.int64))], names=[id_col, "pattern", "rank", "pos"])
 
-def find_all(index: DataFrame, patterns: DataFrame, column: str = "pattern", id_col: str = "text_id", part_chars: int = PART_CHARS) -> DataFrame:
-    """As ``find``, for a table of patterns of any size: only (id, pattern, sp, ep, cnt) with cnt > 0.
-
-    The distinct patterns are packed into parts of about ``part_chars`` characters by running sums over ranges; the
-    index meets every part, as a search of all patterns in all texts must, and one task holds one part at a time.
-    """
-    distinct = patterns.select(F.col(column).alias("pattern")).filter(F.col("pattern").isNotNull()).distinct()
-    total = distinct.agg(F.coalesce(F.sum(F.char_length("pattern") + 1), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // part_chars))
-    if parts == 1:
-        return find(index, sorted(r[0] for r in distinct.collect()), id_col).filter("cnt > 0")
-    packs = distinct.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(parts)).alias("part")).agg(F.collect_list("pattern").alias("asked"))
-    pairs = index.select(id_col, "symbols", "sa", "pairs", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"))
-    spread = F.pmod(F.xxhash64(id_col), F.lit(parts))
     kind = index.schema[id_col].dataType.simpleString()
+    return index.select(id_col, "symbols", "sa", "pairs").mapInArrow(run, f"`{id_col}` {kind}, pattern string, rank bigint, pos bigint")
 
-    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
-        empty = pa.table({id_col: pa.array([], texts.schema.field(id_col).type), "pattern": pa.array([], pa.string()), "sp": pa.array([], pa.int64()), "ep": pa.array([], pa.int64()), "cnt": pa.array([], pa.int64())})
-        if not own.num_rows or not texts.num_rows:
-            return empty
-        coded = [(p, c, raw_symbols(c), np.flatnonzero(_pair_mask(c))) for p in own.column("asked")[0].as_py() for c in [kernels.codes(p) + 1]]
-        at, said, numbers = [], [], []
-        for row in range(texts.num_rows):
-            raw, packed, mask = (texts.column(c)[row].as_py() for c in ("symbols", "sa", "pairs"))
-            mask, sa = np.unpackbits(np.frombuffer(mask, np.uint8)).astype(bool), np.frombuffer(packed, "<u4")
-            for name, _, p, used in coded:
-                if mask[used].all():
-                    sp, ep = find_range(raw, sa, p)
-                    if sp <= ep:
-                        at.append(row)
-                        said.append(name)
-                        numbers.append((sp, ep, ep - sp + 1))
-        columns = np.array(numbers, np.int64).reshape(-1, 3)
-        return pa.table([texts.column(id_col).combine_chunks().take(pa.array(at, pa.int64())), pa.array(said, pa.string()), *(pa.array(columns[:, i]) for i in range(3))], names=empty.column_names)
-
-    groups = pairs.withColumn("share", spread)
-    asked = packs.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    return groups.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(run, f"`{id_col}` {kind}, pattern string, sp bigint, ep bigint, cnt bigint")
-
-
-def order_violations(index: DataFrame, found: DataFrame, id_col: str = "text_id") -> DataFrame:
-    """(id, pattern, sp, ep, fault) of ranges that are wrong: ``first`` or ``last`` if the suffix there does not start with the
-    pattern, ``before`` if the suffix just before the range is not smaller, ``after`` if the one just after is not
-    greater, ``missing`` if the range is empty although the pattern occurs. No row if the search is right."""
-    held = found.groupBy(id_col).agg(F.collect_list(F.struct("pattern", "sp", "ep")).alias("asked"))
-    joined = index.select(id_col, "symbols", "sa").join(held, id_col)
-    kind = index.schema[id_col].dataType.simpleString()
+
+def find_all(index: DataFrame, patterns: DataFrame, column: str = "pattern", id_col: str = "text_id", part_chars: int = PART_CHARS, share_bytes: int = SHARE_BYTES) -> DataFrame:
+    """(id, pattern, sp, ep, cnt) with cnt > 0, for a table of patterns of any size; nulls and repeats don't count.
+
+    Patterns are dealt into parts of about ``part_chars`` characters and the index into shares of about
+    ``share_bytes``; every part meets every share, as a search of all patterns in all texts must. A task holds one part and
+    streams the share's texts past it.
+    """
+    distinct = cut(patterns.select(F.col(column).alias("asked")).filter(F.col(column).isNotNull()).distinct())
+    parts = max(1, -(-int(distinct.agg(F.coalesce(F.sum(F.char_length("asked") + 1), F.lit(0))).first()[0]) // part_chars))
+    shares = max(1, -(-int(index.agg(F.coalesce(F.sum(8 * F.col("n")), F.lit(0))).first()[0]) // share_bytes))
+    key = F.xxhash64("part", "share")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = distinct.withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(parts)).cast("int")).withColumn("share", each(shares))
+    held = index.withColumn("share", F.pmod(F.xxhash64(id_col), F.lit(shares)).cast("int")).withColumn("part", each(parts))
+    columns = [id_col, "symbols", "sa", "pairs"]
+    none = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in columns]
+    both = asked.select(key.alias("key"), "part", "share", F.lit(0).alias("kind"), "asked", *none).unionByName(held.select(key.alias("key"), "part", "share", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("asked"), *columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, said, own = None, [], None
         for batch in batches:
+            part, share, kind = (batch.column(c).to_numpy() for c in (1, 2, 3))
             rows = []
-            for row in range(batch.num_rows):
-                raw, sa = batch.column(1)[row].as_py(), np.frombuffer(batch.column(2)[row].as_py(), "<u4")
-                for ask in batch.column(3)[row].as_py():
-                    p, sp, ep = raw_symbols(kernels.codes(ask["pattern"]) + 1), ask["sp"], ask["ep"]
-                    head = lambda r: raw[4 * int(sa[r]) : 4 * int(sa[r]) + len(p)]  # noqa: B023, E731
-                    if sp > ep:
-                        faults = ["missing"] if raw.find(p) >= 0 and any(raw[4 * i : 4 * i + len(p)] == p for i in range(len(sa))) else []
-                    else:
-                        tests = {"first": head(sp) == p, "last": head(ep) == p, "before": sp == 0 or head(sp - 1) < p, "after": ep + 1 >= len(sa) or head(ep + 1) > p}
-                        faults = [name for name, ok in tests.items() if not ok]
-                    rows += [(row, ask["pattern"], sp, ep, fault) for fault in faults]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string())], names=[id_col, "pattern", "sp", "ep", "fault"])
-
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, pattern string, sp bigint, ep bigint, fault string")
-
-
-def forward_search(nodes: DataFrame, texts: DataFrame, pattern: str, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """(id, sp, ep) of a pattern found from the root of the suffix tree downwards, one edge in a join; no row without one.
-
-    A step goes to the child whose edge starts with the pattern's next character and compares the rest of the edge
-    with the text at one of the child's suffixes. ``nodes`` holds ``tree.tree_nodes`` columns and ``pos`` of rank sp.
-    """
-    inner = nodes.select(id_col, "sp", "ep", "depth", "leaf", "parent_sp", "parent_ep", "parent_depth", "edge_ch", "pos")
-    root = inner.filter(F.col("parent_sp").isNull())
-    here = root.select(id_col, "sp", "ep", F.lit(0).cast("bigint").alias("matched"))
-    done = here if pattern == "" else here.limit(0)
-    wanted = F.lit(pattern)
-    for _ in range(len(pattern)):
-        step = forward_step(here, inner, texts, wanted, id_col, text_col)
-        done = done.unionByName(step.filter(F.col("matched") >= len(pattern)))
-        here = step.filter(F.col("matched") < len(pattern))
-        if here.isEmpty():
-            break
-    return done.select(id_col, "sp", "ep")
+            for r in range(batch.num_rows):
+                if at != (part[r], share[r]):
+                    at, said, own = (part[r], share[r]), [], None
+                if kind[r] == 0:
+                    said.append(batch.column(4)[r].as_py())
+                else:
+                    own = own or Patterns(said)
+                    rows += [(r, name, sp, ep) for name, sp, ep, _ in own.ranges(*(batch.column(c)[r].as_py() for c in (6, 7, 8))) if sp <= ep]
+            yield _found(batch.column(5), rows, [id_col, "pattern", "sp", "ep", "cnt"])
 
+    kind = index.schema[id_col].dataType.simpleString()
+    return both.repartition("key").sortWithinPartitions("key", "part", "share", "kind").mapInArrow(run, f"`{id_col}` {kind}, pattern string, sp bigint, ep bigint, cnt bigint")
 
-def forward_step(here: DataFrame, nodes: DataFrame, texts: DataFrame, pattern, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """(id, sp, ep, matched): one step down from (id, sp, ep, matched) along the pattern; no row where it does not go on."""
-    kids = nodes.select(F.col(id_col).alias("_id"), "parent_sp", "parent_ep", "edge_ch", F.col("sp").alias("child_sp"), F.col("ep").alias("child_ep"), F.col("depth").alias("child_depth"), "pos")
-    next_ch = F.substr(pattern, (F.col("matched") + 1).cast("int"), F.lit(1))
-    joined = here.join(kids, (F.col(id_col) == F.col("_id")) & (F.col("sp") == F.col("parent_sp")) & (F.col("ep") == F.col("parent_ep")) & (F.col("edge_ch") == next_ch))
-    joined = joined.join(texts.select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text")), F.col("_id") == F.col("_text_id"))
-    length = F.least(F.col("child_depth"), F.char_length(pattern)).cast("int")
-    seen = F.substr("_text", F.col("pos").cast("int") + 1, length)
-    return joined.filter(seen == F.substr(pattern, F.lit(1), length)).select(id_col, F.col("child_sp").alias("sp"), F.col("child_ep").alias("ep"), length.cast("bigint").alias("matched"))
 
+def order_faults(index: DataFrame, found: DataFrame, id_col: str = "text_id") -> DataFrame:
+    """(id, pattern, cnt, faults) of ranges (id, pattern, sp, ep, cnt): how many of these tests a range fails. The first and the
+    last suffix start with the pattern, the one before is smaller, the one after greater, and an empty range means that the
+    text does not hold the pattern. No range of a right search has faults."""
+    joined = found.select(id_col, "pattern", "sp", "ep", "cnt").join(index.select(id_col, "symbols", "sa"), id_col)
+    kind = index.schema[id_col].dataType.simpleString()
 
-def partition_key(index: DataFrame, id_col: str, parts: int) -> DataFrame:
-    """The packed index dealt by id, for keeping it in ``parts`` files."""
-    own = Window.partitionBy(id_col)
-    return index.withColumn("_n", F.count("*").over(own)).drop("_n").repartition(parts, id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            faults = []
+            for pattern, sp, ep, raw, sa in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 5, 6))):
+                p, places = raw_symbols(kernels.codes(pattern) + 1), np.frombuffer(sa, "<u4")
+                start = lambda r: raw[4 * int(places[r]) : 4 * int(places[r]) + len(p)]  # noqa: B023, E731
+                if sp > ep:
+                    tests = [not any(raw.startswith(p, at) for at in range(0, len(raw), 4))]
+                else:
+                    tests = [start(sp) == p, start(ep) == p, sp == 0 or start(sp - 1) < p, ep + 1 >= len(places) or start(ep + 1) > p]
+                faults.append(tests.count(False))
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(4), pa.array(faults, pa.int64())], names=[id_col, "pattern", "cnt", "faults"])
+
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, pattern string, cnt bigint, faults bigint")
+
+
+def forward_step(here: DataFrame, nodes: DataFrame, texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """(id, pattern, sp, ep, matched): one step down the suffix tree from (id, pattern, sp, ep, matched); no row where it does
+    not go on. The child is found by its edge's first character, the rest of the edge is compared with the text."""
+    kids = nodes.filter(F.col("child_no").isNotNull()).select(F.col(id_col).alias("_id"), "parent_sp", "parent_ep", "edge_ch", F.col("sp").alias("_sp"), F.col("ep").alias("_ep"), F.col("depth").alias("_depth"), F.col("pos").alias("_pos"))
+    own = texts.select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text"))
+    asked = here.withColumn("_next", F.substr("pattern", (F.col("matched") + 1).cast("int"), F.lit(1)))
+    joined = asked.join(kids, (F.col(id_col) == F.col("_id")) & (F.col("sp") == F.col("parent_sp")) & (F.col("ep") == F.col("parent_ep")) & (F.col("_next") == F.col("edge_ch")))
+    length = F.least(F.col("_depth"), F.char_length("pattern")).cast("int")
+    same = F.substr("_text", F.col("_pos").cast("int") + 1, length) == F.substr("pattern", F.lit(1), length)
+    return joined.join(own, F.col("_id") == F.col("_text_id")).filter(same).select(id_col, "pattern", F.col("_sp").alias("sp"), F.col("_ep").alias("ep"), length.cast("bigint").alias("matched"))
+
+
+def forward_find(nodes: DataFrame, texts: DataFrame, patterns: list[str], id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """(id, pattern, sp, ep) of patterns found from the root of the suffix tree downwards, an edge at a time; no row for a
+    pattern that does not occur. A round of equi-joins takes all texts and patterns one edge on."""
+    names = F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern")
+    here = nodes.filter(F.col("child_no").isNull()).select(id_col, names, "sp", "ep", F.lit(0).cast("bigint").alias("matched"))
+    out = None
+    for _ in range(max(map(len, patterns), default=0) + 1):
+        done = here.filter(F.col("matched") >= F.char_length("pattern")).select(id_col, "pattern", "sp", "ep")
+        out = done if out is None else out.unionByName(done)
+        here = cut(forward_step(here.filter(F.col("matched") < F.char_length("pattern")), nodes, texts, id_col, text_col))
+        if here.isEmpty():
+            break
+    return out

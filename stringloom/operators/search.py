@@ -37,7 +37,7 @@ def collect_patterns(patterns: DataFrame, column: str = "pattern") -> list[str]:
     """The distinct patterns, if they are small enough to send to every task."""
     size = patterns.agg(F.coalesce(F.sum(F.char_length(column)), F.lit(0))).first()[0]
     if size > MOST_PATTERN_CHARS:
-        raise ValueError(f"{size} characters of patterns; search them in parts of at most {MOST_PATTERN_CHARS}")
+        raise ValueError(f"{size} characters of patterns are too many for every task; saved.find_all takes any number")
     return sorted(r[0] for r in patterns.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
@@ -126,3 +126,9 @@ def violations(texts: DataFrame, places: DataFrame, id_col: str = "text_id", tex
     """Occurrences at which the text does not hold the pattern; none if the search is right."""
     held = F.substr(F.col(text_col), F.col("pos").cast("int") + 1, F.char_length("pattern"))
     return places.join(texts.select(id_col, text_col), id_col).filter(held != F.col("pattern")).select(id_col, "pattern", "rank", "pos")
+
+
+def checked(texts: DataFrame, places: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """(pattern, hits, faults): occurrences found, and those at which the text does not hold the pattern."""
+    held = F.substr(F.col(text_col), F.col("pos").cast("int") + 1, F.char_length("pattern"))
+    return places.join(texts.select(id_col, text_col), id_col).groupBy("pattern").agg(F.count("*").alias("hits"), F.count_if(held != F.col("pattern")).alias("faults"))

@@ -7,7 +7,7 @@ suffix link of an inner node is the interval at the minimum between the Psi imag
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from stringloom.operators import kernels
 from stringloom.operators.index import text_batches
 
-NODE = "sp bigint, ep bigint, depth bigint, left_lcp bigint, right_lcp bigint, leaf boolean, parent_sp bigint, parent_ep bigint, parent_depth bigint, child_no bigint, edge_ch string, link_sp bigint, link_ep bigint"
+NODE = "sp bigint, ep bigint, depth bigint, left_lcp bigint, right_lcp bigint, leaf boolean, parent_sp bigint, parent_ep bigint, parent_depth bigint, child_no bigint, edge_ch string, link_sp bigint, link_ep bigint, pos bigint"
 _NAMES = [x.split()[0] for x in NODE.split(", ")]
 
 
-def tree_arrays(order: kernels.SuffixOrder, a: int, b: int) -> dict[str, np.ndarray]:
-    """All nodes of one text in preorder. Places that don't exist are -1; the root's parent is the root itself."""
+def tree_arrays(order: kernels.SuffixOrder, a: int, b: int, wanted: frozenset[str] = frozenset(_NAMES)) -> dict[str, np.ndarray]:
+    """All nodes of one text in preorder. Places that don't exist are -1; the root's parent is the root itself. Links and
+    children are only worked out where a wanted column asks for them."""
     sa, isa, lcp, n = order.sa[a:b], order.isa[a:b], order.lcp[a:b], b - a
     bounds = np.array([0, n])
     psv, psev, nsv = kernels.previous_smaller(lcp, bounds), kernels.previous_smaller(lcp, bounds, True), kernels.next_smaller(lcp, bounds)
@@ -36,6 +37,10 @@ def tree_arrays(order: kernels.SuffixOrder, a: int, b: int) -> dict[str, np.ndar
     sp, ep = np.concatenate([low[inner], np.arange(n)]), np.concatenate([high[inner], np.arange(n)])
     depth = np.concatenate([lcp[inner], n - 1 - sa])
     leaf = np.concatenate([np.zeros(len(inner), bool), np.ones(n, bool)])
+    if wanted <= {"sp", "ep", "depth", "leaf", "pos"}:
+        order_of = np.lexsort((-ep, sp))
+        out = {"sp": sp, "ep": ep, "depth": depth, "leaf": leaf, "pos": sa[sp]}
+        return {k: v[order_of] for k, v in out.items()} | {"child_no": np.ones(len(sp), np.int64)}
     padded = np.append(lcp, 0)
     left, right = padded[sp], padded[ep + 1]
     border = np.where(left >= right, sp, np.minimum(ep + 1, n - 1))  # the deeper border lies inside the parent
@@ -46,16 +51,17 @@ def tree_arrays(order: kernels.SuffixOrder, a: int, b: int) -> dict[str, np.ndar
         x = ep[at_left_edge] + 1
         parent_sp[at_left_edge], parent_ep[at_left_edge] = low[x], high[x]
     parent_depth = np.where(root, 0, np.where(sp == 0, right, np.maximum(left, right)))
-    psi = isa[(sa + 1) % n]
     link_sp, link_ep = np.full(len(sp), -1, np.int64), np.full(len(sp), -1, np.int64)
-    deep = leaf & (depth > 0)
-    link_sp[deep] = link_ep[deep] = psi[sp[deep]]
-    inside = np.flatnonzero(~leaf & (depth > 0))
-    x, y = psi[sp[inside]], psi[ep[inside]]
-    at = kernels.RangeMinimum(lcp).places(np.minimum(x, y) + 1, np.maximum(x, y))
-    link_sp[inside], link_ep[inside] = low[at], high[at]
+    if wanted & {"link_sp", "link_ep"}:
+        psi = isa[(sa + 1) % n]
+        deep = leaf & (depth > 0)
+        link_sp[deep] = link_ep[deep] = psi[sp[deep]]
+        inside = np.flatnonzero(~leaf & (depth > 0))
+        x, y = psi[sp[inside]], psi[ep[inside]]
+        at = kernels.RangeMinimum(lcp).places(np.minimum(x, y) + 1, np.maximum(x, y))
+        link_sp[inside], link_ep[inside] = low[at], high[at]
     order_of = np.lexsort((-ep, sp))
-    out = {"sp": sp, "ep": ep, "depth": depth, "left_lcp": left, "right_lcp": right, "leaf": leaf, "parent_sp": parent_sp, "parent_ep": parent_ep, "parent_depth": parent_depth, "link_sp": link_sp, "link_ep": link_ep}
+    out = {"sp": sp, "ep": ep, "depth": depth, "left_lcp": left, "right_lcp": right, "leaf": leaf, "parent_sp": parent_sp, "parent_ep": parent_ep, "parent_depth": parent_depth, "link_sp": link_sp, "link_ep": link_ep, "pos": sa[sp]}
     out = {k: v[order_of] for k, v in out.items()}
     siblings = np.lexsort((out["sp"], out["parent_ep"], out["parent_sp"]))
     siblings = siblings[~((out["sp"] == 0) & (out["ep"] == n - 1))[siblings]]
@@ -71,29 +77,41 @@ def tree_arrays(order: kernels.SuffixOrder, a: int, b: int) -> dict[str, np.ndar
     return out | {"child_no": child, "edge": symbol}
 
 
-def tree_nodes(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """One row for each node of each text's suffix tree (see ``NODE``), without a shuffle.
+def tree_nodes(texts: DataFrame, id_col: str = "text_id", text_col: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
+    """One row for each node of each text's suffix tree, without a shuffle: (id, *columns), by default all of ``NODE``.
 
     ``child_no`` counts from 1 among the siblings by range; the root has parent null, child_no null and no edge character;
     ``edge_ch`` is the first character of the edge from the parent, '' for the end marker; the suffix link of the
-    root and of the empty suffix is null (the root). The empty text has one node, a leaf.
+    root and of the empty suffix is null (the root); ``pos`` is the first suffix's place in the text. The empty text has one
+    node, a leaf. Only the columns asked for are worked out and cross to Spark.
     """
     kind = texts.schema[id_col].dataType.simpleString()
+    names = [c for c in _NAMES if columns is None or c in columns]
+    wanted = frozenset(names)
+
+    def column(name: str, flat: dict[str, np.ndarray], root: np.ndarray) -> pa.Array:
+        if name == "edge_ch":
+            distinct, back = np.unique(flat["edge"], return_inverse=True)
+            return pa.array([chr(int(c) - 1) if c else "" for c in distinct], pa.string()).take(pa.array(back, mask=root))
+        return pa.array(flat[name], mask=root if name in ("parent_sp", "parent_ep", "parent_depth", "child_no") else flat[name] < 0 if name in ("link_sp", "link_ep") else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, held in text_batches(batch, 1 << 16):
                 order = kernels.suffix_order(held)
-                parts = [tree_arrays(order, a, b) for a, b in zip(order.bounds[:-1], order.bounds[1:])]
+                parts = [tree_arrays(order, a, b, wanted) for a, b in zip(order.bounds[:-1], order.bounds[1:])]
                 flat = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                root = flat["child_no"] == 0
-                distinct, back = np.unique(flat["edge"], return_inverse=True)
-                edge = pa.array([chr(int(c) - 1) if c else "" for c in distinct], pa.string()).take(pa.array(back, mask=root))
-                made = {k: pa.array(flat[k], mask=root if k in ("parent_sp", "parent_ep", "parent_depth", "child_no") else flat[k] < 0 if k in ("link_sp", "link_ep") else None) for k in _NAMES if k != "edge_ch"}
                 ids = batch.column(0).take(pa.array(np.repeat(rows, [len(p["sp"]) for p in parts])))
-                yield pa.record_batch([ids, *(edge if k == "edge_ch" else made[k] for k in _NAMES)], names=[id_col, *_NAMES])
+                yield pa.record_batch([ids, *(column(c, flat, flat["child_no"] == 0) for c in names)], names=[id_col, *names])
+
+    kinds = dict(x.split() for x in NODE.split(", "))
+    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in names))
+
 
-    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {NODE}")
+def walk(nodes: DataFrame, id_col: str = "text_id") -> DataFrame:
+    """(id, visit, sp, ep, depth): the nodes in the order in which a depth-first walk first meets them, from 0."""
+    own = Window.partitionBy(id_col).orderBy("sp", F.desc("ep"))
+    return nodes.select(id_col, (F.row_number().over(own) - 1).cast("bigint").alias("visit"), "sp", "ep", "depth")
 
 
 def intervals(nodes: DataFrame, id_col: str = "text_id") -> DataFrame:

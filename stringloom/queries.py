@@ -6,15 +6,18 @@ The same operators over all ``documents`` stand beside them as ``documents_*`` w
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stringloom.functions import scalars
-from stringloom.operators import align, index, matches, navigate, ranges, relative, search, tree
+from stringloom.operators import align, index, matches, navigate, ranges, relative, saved, search, tree
 from stringloom.plans import strategies
 from stringloom.registry import Registry, table
+from stringloom.places import positions
+from stringloom.session import cut, shared_dir
 from stringloom.sources import generators, readers
 
 REGISTRY = Registry()
@@ -50,18 +53,37 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
+def _neighbours(rows):
+    """(pair_id, ref, seq) of each text with the next one by id, whatever gaps the ids have: places by counting, then an
+    equi-join on them. Only (id, place) rows are ordered; texts stay out of it."""
+    ids = rows.select("text_id").filter(F.col("text_id").isNotNull()).distinct()
+    placed = positions(cut(ids.withColumn("_all", F.lit(1))), "_all", [F.col("text_id")]).select("text_id", "position")
+    after = placed.select(F.col("text_id").alias("next_id"), (F.col("position") - 1).alias("position"))
+    links = placed.join(after, "position").select("text_id", "next_id")
+    seq = rows.select(F.col("text_id").alias("next_id"), F.col("text").alias("seq"))
+    joined = rows.join(links, "text_id").join(seq, "next_id")
+    return joined.select(F.col("text_id").alias("pair_id"), F.col("text").alias("ref"), "seq", "next_id").filter("ref IS NOT NULL AND seq IS NOT NULL")
+
+
 def text_pairs(spark, sf_dir):
-    """Every text with the next one by id; the ids are dense, so this is an equi-join."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("seq"))
-    return t.join(after, "item_id").select(F.col("item_id").alias("pair_id"), F.col("text").alias("ref"), "seq").filter("ref IS NOT NULL AND seq IS NOT NULL")
+    return _neighbours(texts(spark, sf_dir)).drop("next_id")
 
 
 def document_pairs(spark, sf_dir):
-    """Every document with the next one by id; the ids are dense, so this is an equi-join."""
-    d = documents(spark, sf_dir)
-    after = d.select((F.col("text_id") - 1).alias("text_id"), F.col("text").alias("seq"))
-    return d.join(after, "text_id").select(F.col("text_id").alias("pair_id"), F.col("text").alias("ref"), "seq").filter("ref IS NOT NULL AND seq IS NOT NULL")
+    return _neighbours(documents(spark, sf_dir)).drop("next_id")
+
+
+def saved_index(spark, sf_dir, texts):
+    """The packed index of a collection, built once for a session and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, texts.__name__)
+    if key not in _SAVED:
+        path = f"{shared_dir(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
+        saved.save(texts(spark, sf_dir), path)
+        _SAVED[key] = path
+    return saved.load(spark, _SAVED[key])
+
+
+_SAVED: dict[tuple, str] = {}
 
 
 def add(name, sql=None):
@@ -112,9 +134,49 @@ def pattern_strategy(spark, sf_dir, texts=texts):
     return strategies.pattern_counts(texts(spark, sf_dir), asked)
 
 
-@add("pattern_violations", f"WITH {X} SELECT text_id, CAST('' AS VARCHAR) AS pattern, rank, pos FROM sa WHERE false")
-def pattern_violations(spark, sf_dir, texts=texts):
-    return search.violations(texts(spark, sf_dir), search.locate(texts(spark, sf_dir), PATTERNS))
+@add("pattern_checked", f"WITH {_FIND} SELECT pattern, CAST(sum(cnt) AS BIGINT) AS hits, CAST(0 AS BIGINT) AS faults FROM fr GROUP BY pattern HAVING sum(cnt) > 0")
+def pattern_checked(spark, sf_dir, texts=texts):
+    t = texts(spark, sf_dir)
+    return search.checked(t, search.locate(t, PATTERNS))
+
+
+@add("saved_find", f"WITH {_FIND} SELECT * FROM fr")
+def saved_find(spark, sf_dir, texts=texts):
+    return saved.find(saved_index(spark, sf_dir, texts), PATTERNS)
+
+
+@add("saved_locate", f"WITH {X}, {_P} SELECT text_id, pattern, rank, pos FROM sa, p WHERE starts_with(suf, pattern)")
+def saved_locate(spark, sf_dir, texts=texts):
+    return saved.locate(saved_index(spark, sf_dir, texts), PATTERNS)
+
+
+@add("saved_order_faults", f"WITH {_FIND} SELECT text_id, pattern, cnt, CAST(0 AS BIGINT) AS faults FROM fr")
+def saved_order_faults(spark, sf_dir, texts=texts):
+    own = saved_index(spark, sf_dir, texts)
+    return saved.order_faults(own, saved.find(own, PATTERNS))
+
+
+@add("saved_find_all", f"""WITH {X}, p AS (SELECT DISTINCT substring(text, 1, 3) AS pattern FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT text_id, pattern, min(rank) AS sp, max(rank) AS ep, CAST(count(*) AS BIGINT) AS cnt FROM sa, p WHERE starts_with(suf, pattern) GROUP BY text_id, pattern) SELECT * FROM f""")
+def saved_find_all(spark, sf_dir):
+    """A table of patterns, the beginnings of all documents, in all texts of a saved index, in small parts and shares."""
+    starts = documents(spark, sf_dir).select(F.substring("text", 1, 3).alias("pattern"))
+    return saved.find_all(saved_index(spark, sf_dir, texts), starts, part_chars=500, share_bytes=1 << 16)
+
+
+@add("tree_find", f"WITH {_FIND} SELECT text_id, pattern, sp, ep FROM fr WHERE cnt > 0")
+def tree_find(spark, sf_dir, texts=texts):
+    t = texts(spark, sf_dir)
+    return saved.forward_find(cut(tree.tree_nodes(t)), t, PATTERNS)
+
+
+@add("tree_forward_step", f"WITH {X}, p AS (SELECT unnest(['e', 'th']) AS pattern), r AS (SELECT text_id, max(rank) AS n FROM sa GROUP BY text_id), g AS (SELECT sa.text_id, pattern, min(rank) AS sp, max(rank) AS ep, count(*) AS cnt, list(suf) AS sufs FROM sa, p WHERE starts_with(suf, substring(pattern, 1, 1)) GROUP BY ALL), w AS (SELECT *, CAST(CASE WHEN length(pattern) = 1 OR len(list_filter(sufs, lambda x: starts_with(x, pattern))) = cnt THEN length(pattern) ELSE 1 END AS BIGINT) AS matched FROM g) SELECT text_id, pattern, sp, ep, matched FROM w WHERE matched = length(pattern) OR len(list_distinct(list_transform(sufs, lambda x: substring(x, 2, 1)))) > 1 OR len(list_filter(sufs, lambda x: length(x) = 1)) > 0")
+def tree_forward_step(spark, sf_dir, texts=texts):
+    """One step from the root: to the node below the first character, as far as the pattern goes along its edge."""
+    t = texts(spark, sf_dir)
+    nodes = cut(tree.tree_nodes(t))
+    root = nodes.filter("child_no IS NULL").select("text_id", F.explode(F.array(F.lit("e"), F.lit("th"))).alias("pattern"), "sp", "ep", F.lit(0).cast("bigint").alias("matched"))
+    return saved.forward_step(root, nodes, t)
 
 
 @add("pattern_place_digest")
@@ -122,10 +184,24 @@ def pattern_place_digest(spark, sf_dir):
     return search.place_digest(search.locate(documents(spark, sf_dir), ["onon", "ing the"]))
 
 
-@add("documents_find")
+_PASSAGES = """WITH p AS (SELECT DISTINCT text AS pattern FROM benchmark WHERE text IS NOT NULL), t AS (SELECT text AS t FROM documents WHERE text IS NOT NULL),
+  h AS (SELECT pattern, (length(t) - length(replace(t, pattern, ''))) // length(pattern) AS cnt FROM t, p)
+  SELECT pattern, CAST(count_if(cnt > 0) AS BIGINT) AS found, CAST(sum(cnt) AS BIGINT) AS matches, CAST(length(pattern) AS BIGINT) AS chars FROM h GROUP BY pattern"""
+
+
+def _passages(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("text").alias("pattern"))
+
+
+@add("documents_find", _PASSAGES)
 def documents_find(spark, sf_dir):
-    passages = table(spark, sf_dir, "benchmark").select(F.col("text").alias("pattern"))
-    return search.summary(search.find(documents(spark, sf_dir), search.collect_patterns(passages)))
+    return search.summary(search.find(documents(spark, sf_dir), search.collect_patterns(_passages(spark, sf_dir))))
+
+
+@add("documents_saved_passages", _PASSAGES)
+def documents_saved_passages(spark, sf_dir):
+    """The passages in a saved index of all documents; a second call builds nothing."""
+    return search.summary(saved.find(saved_index(spark, sf_dir, documents), search.collect_patterns(_passages(spark, sf_dir))))
 
 
 # ---- construction and navigation -------------------------------------------------------------------------------
@@ -173,7 +249,7 @@ def alphabet_c_array(spark, sf_dir):
 
 @add("char_histogram", f"WITH {_DOCS} SELECT ch, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT unnest(string_split(t, '')) AS ch FROM d WHERE t <> '') GROUP BY ch")
 def char_histogram(spark, sf_dir):
-    return documents(spark, sf_dir).select(F.explode(F.filter(F.split("text", ""), lambda x: x != "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("cnt"))
+    return index.char_counts(documents(spark, sf_dir)).filter("ch <> ''").groupBy("ch").agg(F.sum("cnt").alias("cnt"))
 
 
 @add("recode_text", f"WITH {D}, {_ALPHABET} SELECT d.text_id, list(al.comp ORDER BY i.pos) AS comps FROM (SELECT text_id, t, unnest(range(1, length(t) + 1)) AS pos FROM d) i JOIN d ON d.text_id = i.text_id JOIN al ON al.text_id = i.text_id AND al.ch = substring(i.t, i.pos, 1) GROUP BY d.text_id")
@@ -213,11 +289,12 @@ def psi_k(spark, sf_dir, texts=texts):
     return navigate.psi_steps(index.suffix_table(texts(spark, sf_dir), ["pos"]), 5)
 
 
-@add("lf_psi_identity", f"WITH {X} SELECT text_id, rank FROM sa WHERE false")
+@add("lf_psi_identity", "SELECT doc_id AS text_id, CAST(length(text) + 1 AS BIGINT) AS suffixes, false AS broken FROM documents WHERE text IS NOT NULL")
 def lf_psi_identity(spark, sf_dir):
+    """Psi undoes LF: the pairs (rank, LF) and (Psi, rank) of a text are the same set. Checksums of both sets, no join."""
     t = index.suffix_table(documents(spark, sf_dir), ["lf", "psi"])
-    back = t.select("text_id", F.col("rank").alias("psi"), F.col("lf").alias("home"))
-    return t.join(back, ["text_id", "psi"]).filter("home <> rank").select("text_id", "rank")
+    there, back = F.bit_xor(F.xxhash64("rank", "lf")), F.bit_xor(F.xxhash64("psi", "rank"))
+    return t.groupBy("text_id").agg(F.count("*").alias("suffixes"), (there != back).alias("broken"))
 
 
 @add("bwt_rank", f"WITH {X} SELECT text_id, rank, ch, row_number() OVER (PARTITION BY text_id, ch ORDER BY rank) - 1 AS rank_before FROM sa")
@@ -285,6 +362,16 @@ def char_range(spark, sf_dir, texts=texts):
     return navigate.char_ranges(index.suffix_table(texts(spark, sf_dir), ["first_ch"]))
 
 
+@add("sequence_counts", "SELECT doc_id AS text_id, CAST(len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS BIGINT) AS sequences FROM documents WHERE text IS NOT NULL")
+def sequence_counts(spark, sf_dir):
+    return navigate.sequence_counts(documents(spark, sf_dir), mark="\n")
+
+
+@add("default_alphabet", f"WITH d AS (SELECT r_regionkey AS text_id, r_name AS t FROM region), {_ALPHABET}, n AS (SELECT text_id FROM al GROUP BY text_id HAVING count(*) = 6) SELECT text_id, c AS ch, CAST(i AS BIGINT) AS comp FROM n, (SELECT unnest(['', 'A', 'C', 'G', 'N', 'T']) AS c, unnest(range(0, 6)) AS i)")
+def default_alphabet(spark, sf_dir):
+    return index.default_alphabet(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("text_id"), F.col("r_name").alias("text")))
+
+
 @add("text_sizes", "SELECT doc_id AS text_id, CAST(length(text) + 1 AS BIGINT) AS size FROM documents WHERE text IS NOT NULL")
 def text_sizes(spark, sf_dir):
     return navigate.text_sizes(documents(spark, sf_dir))
@@ -386,7 +473,11 @@ def interval_coverage(spark, sf_dir):
     return ranges.coverage(spans, "event_type", "lo", "hi")
 
 
-@add("lis_length")
+@add(
+    "lis_length",
+    """WITH v AS (SELECT o_orderpriority, list([o_totalprice] ORDER BY o_orderkey) AS v, count(*) AS n FROM orders GROUP BY o_orderpriority)
+    SELECT o_orderpriority, CAST(n AS BIGINT) AS entries, CAST(len(list_reduce(v, lambda acc, x: list_concat(acc[1:len(list_filter(acc, lambda y: y < x[1]))], list_concat([x[1]], acc[len(list_filter(acc, lambda y: y < x[1])) + 2:])))) AS BIGINT) AS length FROM v""",
+)
 def lis_length(spark, sf_dir):
     return ranges.increasing_length(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_orderkey"], "o_totalprice")
 
@@ -404,6 +495,20 @@ def bit_runs(spark, sf_dir):
     return ranges.bit_runs(rows, "o_custkey", "o_orderkey", "bit")
 
 
+_RUNS = """WITH v AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS bit, row_number() OVER w AS i, coalesce(lag(o_orderstatus = 'F') OVER w, false) AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+  g AS (SELECT *, i - coalesce(lag(i) OVER (PARTITION BY o_custkey, bit ORDER BY o_orderkey), 0) AS gap FROM v),
+  b AS (SELECT o_custkey, bit, i - coalesce(lag(i) OVER (PARTITION BY o_custkey ORDER BY i), 0) AS n FROM v WHERE bit <> was),
+  r AS (SELECT o_custkey, count_if(bit) AS runs, sum(length(bin(n))) AS run FROM b GROUP BY o_custkey)
+  SELECT g.o_custkey, CAST(coalesce(any_value(r.runs), 0) AS BIGINT) AS runs, CAST(coalesce(sum(CASE WHEN NOT bit THEN length(bin(gap)) END), 0) AS BIGINT) AS gap0, CAST(coalesce(sum(CASE WHEN bit THEN length(bin(gap)) END), 0) AS BIGINT) AS gap1, CAST(coalesce(any_value(r.run), 0) AS BIGINT) AS run
+  FROM g LEFT JOIN r ON r.o_custkey = g.o_custkey GROUP BY g.o_custkey"""
+
+
+@add("run_measures", _RUNS)
+def run_measures(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("bit"))
+    return ranges.run_measures(rows, "o_custkey", "o_orderkey", "bit")
+
+
 # ---- suffix tree -----------------------------------------------------------------------------------------------
 
 
@@ -412,6 +517,11 @@ def lcp_intervals(spark, sf_dir, texts=texts):
     return tree.intervals(tree.tree_nodes(texts(spark, sf_dir)))
 
 
+@add("tree_walk", f"WITH {IV} SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY sp, ep DESC) - 1 AS visit, sp, ep, depth FROM nodes")
+def tree_walk(spark, sf_dir, texts=texts):
+    return tree.walk(tree.tree_nodes(texts(spark, sf_dir), columns=["sp", "ep", "depth", "leaf"]))
+
+
 @add("tree_node_count", f"WITH {IV} SELECT text_id, CAST(count(*) AS BIGINT) AS nodes, CAST(count_if(NOT leaf) AS BIGINT) AS inner, CAST(count_if(leaf) AS BIGINT) AS leaves, max(CASE WHEN NOT leaf THEN depth END) AS deepest FROM nodes GROUP BY text_id")
 def tree_node_count(spark, sf_dir, texts=texts):
     return tree.counts(tree.tree_nodes(texts(spark, sf_dir)))
@@ -484,7 +594,7 @@ def tree_traversal_digest(spark, sf_dir, texts=texts):
 
 @add("documents_tree_counts")
 def documents_tree_counts(spark, sf_dir):
-    return tree.counts(tree.tree_nodes(documents(spark, sf_dir)))
+    return tree.counts(tree.tree_nodes(documents(spark, sf_dir), columns=["depth", "leaf"]))
 
 
 # ---- matches ---------------------------------------------------------------------------------------------------
@@ -497,7 +607,7 @@ xo AS (SELECT text_id, substring(t, pos + 1) AS suf, row_number() OVER (PARTITIO
 
 
 def _match_pairs(spark, sf_dir):
-    return text_pairs(spark, sf_dir).select(F.col("pair_id").alias("query_id"), F.col("ref").alias("query"), (F.col("pair_id") + 1).alias("text_id"), F.col("seq").alias("text"))
+    return _neighbours(texts(spark, sf_dir)).select(F.col("pair_id").alias("query_id"), F.col("ref").alias("query"), F.col("next_id").alias("text_id"), F.col("seq").alias("text"))
 
 
 @add("matching_statistics", f"WITH {_MS} SELECT query_id, text_id, start, length FROM ms")
@@ -544,7 +654,15 @@ def invariant_alignment(spark, sf_dir):
     return align.invariant_alignment(pairs, align.neighbour_matches(align.merged_order(pairs)))
 
 
-@add("lcs_lengths")
+_TAILS = "lambda acc, x: list_concat(acc[1:len(list_filter(acc, lambda y: y < x[1]))], list_concat([x[1]], acc[len(list_filter(acc, lambda y: y < x[1])) + 2:]))"
+
+
+@add(
+    "lcs_lengths",
+    f"""WITH {PAIRS}, a AS (SELECT pair_id, unnest(range(1, length(ref) + 1)) AS i, ref, seq FROM pr), b AS (SELECT pair_id, unnest(range(1, length(seq) + 1)) AS j, seq FROM pr),
+    m AS (SELECT a.pair_id, list([j] ORDER BY i, j DESC) AS v FROM a JOIN b ON a.pair_id = b.pair_id AND substring(a.ref, i, 1) = substring(b.seq, j, 1) GROUP BY a.pair_id)
+    SELECT pair_id, CAST(len(list_reduce(list_prepend([v[1][1]], v), {_TAILS})) AS BIGINT) AS lcs FROM m""",
+)
 def lcs_lengths(spark, sf_dir):
     return align.lcs_lengths(align.lcs_alignment(text_pairs(spark, sf_dir)))
 
@@ -568,6 +686,68 @@ def block_alignment(spark, sf_dir):
     return align.block_alignment(text_pairs(spark, sf_dir), block=8, depth=8)
 
 
+_PARTS = f"""{PAIRS}, ra AS (SELECT pair_id, ref AS t, unnest(range(0, length(ref) + 1)) AS pos FROM pr), rb AS (SELECT pair_id, seq AS t, unnest(range(0, length(seq) + 1)) AS pos FROM pr),
+  oa AS (SELECT pair_id, substring(t, pos + 1, 4) AS seed, row_number() OVER (PARTITION BY pair_id ORDER BY substring(t, pos + 1)) - 1 AS rank FROM ra),
+  ob AS (SELECT pair_id, substring(t, pos + 1, 4) AS seed, row_number() OVER (PARTITION BY pair_id ORDER BY substring(t, pos + 1)) - 1 AS rank FROM rb),
+  ga AS (SELECT pair_id, seed, min(rank) AS ref_sp, max(rank) AS ref_ep FROM oa GROUP BY ALL), gb AS (SELECT pair_id, seed, min(rank) AS seq_sp, max(rank) AS seq_ep FROM ob GROUP BY ALL),
+  bl AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY ref_sp) - 1 AS block_no, ref_sp, ref_ep, seq_sp, seq_ep FROM ga JOIN gb USING (pair_id, seed))"""
+
+
+@add("alignment_partitions", f"WITH {_PARTS} SELECT * FROM bl")
+def alignment_partitions(spark, sf_dir):
+    return align.partitions(text_pairs(spark, sf_dir), block=1, depth=4)
+
+
+@add(
+    "partition_statistics",
+    f"""WITH {_PARTS}, e AS (SELECT *, coalesce(lag(ref_ep) OVER w + 1, 0) AS re, coalesce(lag(seq_ep) OVER w + 1, 0) AS se FROM bl WINDOW w AS (PARTITION BY pair_id ORDER BY block_no)),
+    s AS (SELECT pair_id, count(*) AS ranges, sum(least(ref_ep - ref_sp, seq_ep - seq_sp) + 1) AS x, sum(ref_sp - re) AS rg, sum(seq_sp - se) AS sg, max(ref_ep) AS rl, max(seq_ep) AS sl, count_if(ref_sp < re) AS ro, count_if(seq_sp < se) AS so FROM e GROUP BY pair_id),
+    z AS (SELECT s.*, length(ref) + 1 AS rn, length(seq) + 1 AS sn FROM s JOIN pr USING (pair_id)), m AS (SELECT *, rg + rn - rl - 1 AS rm, sg + sn - sl - 1 AS sm FROM z)
+    SELECT pair_id, CAST(ranges AS BIGINT) AS ranges, CAST(x AS BIGINT) AS intersection, CAST(rm AS BIGINT) AS ref_missed, CAST(sm AS BIGINT) AS seq_missed, CAST(rn - x - rm AS BIGINT) AS ref_lost,
+      CAST(sn - x - sm AS BIGINT) AS seq_lost, CAST(ro AS BIGINT) AS ref_overlaps, CAST(so AS BIGINT) AS seq_overlaps FROM m""",
+)
+def partition_statistics(spark, sf_dir):
+    pairs = text_pairs(spark, sf_dir)
+    sizes = pairs.select("pair_id", (F.char_length("ref") + 1).alias("ref_size"), (F.char_length("seq") + 1).alias("seq_size"))
+    return align.partition_statistics(align.partitions(pairs, block=1, depth=4), sizes)
+
+
+def _faults(spark, sf_dir, aligned):
+    pairs = text_pairs(spark, sf_dir)
+    return align.alignment_faults(aligned(pairs), *_pair_indexes(pairs)).select("pair_id", "faults")
+
+
+_NO_FAULTS = f"WITH {PAIRS} SELECT pair_id, CAST(0 AS BIGINT) AS faults FROM pr"
+
+
+@add("block_alignment_faults", _NO_FAULTS)
+def block_alignment_faults(spark, sf_dir):
+    return _faults(spark, sf_dir, lambda pairs: align.block_alignment(pairs, block=8, depth=8))
+
+
+@add("run_alignment_faults", _NO_FAULTS)
+def run_alignment_faults(spark, sf_dir):
+    return _faults(spark, sf_dir, align.run_alignment)
+
+
+@add("run_alignment")
+def run_alignment(spark, sf_dir):
+    return align.run_alignment(text_pairs(spark, sf_dir))
+
+
+@add("relative_lf", f"""WITH {PAIRS}, x AS (SELECT pair_id, seq, length(seq) + 1 AS n, unnest(range(0, length(seq) + 1)) AS pos FROM pr), o AS (SELECT pair_id, pos, n, row_number() OVER (PARTITION BY pair_id ORDER BY substring(seq, pos + 1)) - 1 AS rank, CASE WHEN pos = 0 THEN '' ELSE substring(seq, pos, 1) END AS ch FROM x)
+  SELECT a.pair_id, a.rank, a.ch, row_number() OVER (PARTITION BY a.pair_id, a.ch ORDER BY a.rank) - 1 AS occ, b.rank AS lf FROM o a JOIN o b ON a.pair_id = b.pair_id AND b.pos = (a.pos - 1 + a.n) % a.n""")
+def relative_lf(spark, sf_dir):
+    """LF of seq through a relative index that was written and read again."""
+    pairs = text_pairs(spark, sf_dir)
+    ref, seq = _pair_indexes(pairs)
+    aligned = cut(align.block_alignment(pairs))
+    path = f"{shared_dir(spark).rstrip('/')}/relative-{uuid.uuid4().hex}"
+    readers.save_relative({"aligned": aligned, "ref_rest": align.complement(ref, aligned, "ref"), "seq_rest": align.complement(seq, aligned, "seq")}, path)
+    kept = readers.load_relative(spark, path)
+    return align.relative_lf(ref, kept["seq_rest"], kept["aligned"])
+
+
 def _pair_indexes(pairs):
     return [index.suffix_table(pairs.select("pair_id", F.col(c).alias("text")), ["pos", "ch"], id_col="pair_id") for c in ("ref", "seq")]
 
@@ -669,7 +849,11 @@ def bit_lengths(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.bit_length(F.col("o_custkey")).cast("int").alias("bits"), scalars.zigzag(v).alias("code"), scalars.from_positive_code(scalars.positive_code(v)).alias("back"))
 
 
-@add("value_digest")
+@add(
+    "value_digest",
+    """WITH g AS (SELECT l_suppkey, list(CAST((l_orderkey >> (8 * b)) & 255 AS HUGEINT) ORDER BY n, b) AS v FROM (SELECT l_suppkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS n FROM lineitem), range(0, 8) r(b) GROUP BY l_suppkey)
+    SELECT l_suppkey, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), v), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616) AS VARCHAR) AS digest FROM g""",
+)
 def value_digest(spark, sf_dir):
     rows = F.array_sort(F.collect_list("l_orderkey"))
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(rows.alias("v")).select("l_suppkey", scalars.fnv1a("v").alias("digest"))
@@ -685,7 +869,7 @@ def value_digest(spark, sf_dir):
     SELECT text_id, CAST(sequences AS BIGINT) AS sequences, CAST(length(t) AS BIGINT) AS chars, t AS text FROM j""",
 )
 def fasta_parse(spark, sf_dir):
-    return readers.fasta(readers.lines_of(documents(spark, sf_dir)), collapse_n=True)
+    return readers.fasta_of(documents(spark, sf_dir), collapse_n=True)
 
 
 @add(
@@ -695,7 +879,7 @@ def fasta_parse(spark, sf_dir):
     SELECT text_id, string_agg(ch, '' ORDER BY i) AS text FROM k WHERE stop IS NULL OR i < stop GROUP BY text_id""",
 )
 def column_extract(spark, sf_dir):
-    return readers.column(readers.lines_of(documents(spark, sf_dir)), 3)
+    return readers.column_of(documents(spark, sf_dir), 3)
 
 
 @add("mutate")
@@ -718,7 +902,11 @@ def dedup_patterns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("text").alias("pattern")).distinct()
 
 
-@add("log_sizes")
+@add(
+    "log_sizes",
+    """WITH l AS (SELECT 'log' || l_suppkey AS file, 'Part ' || l_returnflag AS part, l_orderkey * 8 + l_linenumber AS n, CAST(printf('%.3f', l_extendedprice) AS DOUBLE) AS mb, CAST(printf('%.2f', l_quantity) AS DOUBLE) AS bpc FROM lineitem)
+    SELECT file, part, arg_max(mb, n) AS mb, arg_max(bpc, n) AS bpc, CAST(NULL AS DOUBLE) AS seconds FROM l GROUP BY file, part""",
+)
 def log_sizes(spark, sf_dir):
     """Build-log lines made from the line items, then read again."""
     items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("log"), "l_suppkey").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"), F.format_string("Part %s:  %.3f MB (%.2f bpc)", F.col("l_returnflag"), F.col("l_extendedprice"), F.col("l_quantity")).alias("value"))
@@ -728,7 +916,7 @@ def log_sizes(spark, sf_dir):
 # ---- the same queries over all documents -----------------------------------------------------------------------
 
 for _query in (
-    pattern_range, pattern_multi_summary, pattern_locate, pattern_strategy, pattern_violations, suffix_array,
+    pattern_range, pattern_multi_summary, pattern_locate, pattern_strategy, pattern_checked, saved_find, saved_locate, saved_order_faults, tree_find, suffix_array,
     inverse_suffix_array, bwt, recode_text, sa_samples, isa_samples, lf_mapping, psi_mapping, psi_k, bwt_rank,
     bwt_rank_window, bwt_select, bwt_rank_at, backward_step, locate_ranks, inverse_positions, extract_bwt, char_range,
     lcp_array, lcp_large_values, lcp_slice, lcp_diff_encoded, lcp_diff_decoded, lcp_block_minima, rmq_leftmost,

@@ -35,43 +35,44 @@ def mutate_text(text: str, rate: float, seed: int) -> tuple[str, dict[str, int]]
     Indels have length k with probability 0.2 * 0.8 ** (k - 1). In a run of N, insertions insert N and nothing is substituted.
     """
     rng = np.random.default_rng(seed)
-    draws, kinds = rng.random(len(text)), rng.random(len(text))
-    out, done, i = [], dict.fromkeys(("substitutions", "insertions", "deletions", "inserted", "deleted"), 0), 0
-    while i < len(text):
+    done = dict.fromkeys(("substitutions", "insertions", "deletions", "inserted", "deleted"), 0)
+    hits = np.flatnonzero(rng.random(len(text)) < rate)  # only these places are visited
+    kinds, lengths, picks = rng.random(len(hits)), rng.geometric(1 - EXTEND, len(hits)), rng.integers(0, 1 << 30, len(hits))
+    out, end = [], 0  # text up to ``end`` is copied or gone
+    for i, kind, k, pick in zip(hits.tolist(), kinds.tolist(), lengths.tolist(), picks.tolist()):
+        if i < end:
+            continue  # inside a deletion
         ch = text[i]
-        in_run = ch == "N" and i > 0 and text[i - 1] == "N"
-        if draws[i] >= rate:
-            out.append(ch)
-            i += 1
-        elif kinds[i] < INDEL_SHARE:
-            k = int(rng.geometric(1 - EXTEND))
-            if kinds[i] < INDEL_SHARE / 2:
-                out.append(("N" * k if in_run else "".join(rng.choice(list(BASES), k))) + ch)
-                done["insertions"] += 1
-                done["inserted"] += k
-                i += 1
-            else:
-                k = min(k, len(text) - i)
-                done["deletions"] += 1
-                done["deleted"] += k
-                i += k
+        if kind >= INDEL_SHARE and ch == "N":
+            continue
+        out.append(text[end:i])
+        if kind >= INDEL_SHARE:
+            others = BASES.replace(ch, "")
+            out.append(others[pick % len(others)])
+            done["substitutions"] += 1
+            end = i + 1
+        elif kind >= INDEL_SHARE / 2:
+            end = min(len(text), i + k)
+            done["deletions"] += 1
+            done["deleted"] += end - i
         else:
-            if ch != "N":
-                done["substitutions"] += 1
-                ch = str(rng.choice([b for b in BASES if b != ch]))
-            out.append(ch)
-            i += 1
-    return "".join(out), done
+            made = "N" * k if text[max(0, i - 1) : i + 1] == "NN" else "".join(BASES[x] for x in rng.integers(0, len(BASES), k))
+            out.append(made + ch)
+            done["insertions"] += 1
+            done["inserted"] += k
+            end = i + 1
+    return "".join([*out, text[end:]]), done
 
 
 def mutate(texts: DataFrame, rate: float, seed: int = SEED, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """(id, text, substitutions, insertions, deletions, inserted, deleted); each text's seed comes from the seed and its id."""
+    """(id, text, substitutions, insertions, deletions, inserted, deleted); each text's seed comes from the seed and its id.
+    A null text stays null, with no mutations."""
     counts = ("substitutions", "insertions", "deletions", "inserted", "deleted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [mutate_text(t or "", rate, kernels.fnv1a([int(i) & 0xFFFFFFFFFFFFFFFF], kernels.fnv1a([seed]))) for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array([m[0] for m in made], pa.string()), *(pa.array([m[1][c] for m in made], pa.int64()) for c in counts)], names=[id_col, "text", *counts])
+            yield pa.record_batch([batch.column(0), pa.array([None if t is None else m[0] for t, m in zip(batch.column(2).to_pylist(), made)], pa.string()), *(pa.array([m[1][c] for m in made], pa.int64()) for c in counts)], names=[id_col, "text", *counts])
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(F.col(id_col), F.xxhash64(id_col).alias("_seed"), text_col).mapInArrow(run, f"`{id_col}` {kind}, text string, " + ", ".join(f"{c} bigint" for c in counts))

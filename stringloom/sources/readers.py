@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,24 @@ def column(lines: DataFrame, col: int, id_col: str = "text_id") -> DataFrame:
     return kept.groupBy(id_col).agg(F.array_join(F.transform(rows, lambda r: r["ch"]), "").alias("text"))
 
 
+def fasta_of(texts: DataFrame, collapse_n: bool = False, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """As ``fasta``, for whole texts: the lines of a text stay together, so nothing is dealt."""
+    lines = F.split(text_col, "\n")
+    whole = texts.filter(F.col(text_col).isNotNull()).select(id_col, lines.alias("_lines"))
+    header = lambda x: x.startswith(">")
+    joined = F.translate(F.array_join(F.filter("_lines", lambda x: ~header(x)), ""), ascii_lowercase, ascii_uppercase)
+    text = F.regexp_replace(joined, "N+", "N") if collapse_n else joined
+    made = whole.select(id_col, F.size(F.filter("_lines", header)).cast("bigint").alias("sequences"), text.alias("text"))
+    return made.select(id_col, "sequences", F.char_length("text").cast("bigint").alias("chars"), "text")
+
+
+def column_of(texts: DataFrame, col: int, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """As ``column``, for whole texts, without a shuffle."""
+    long = F.filter(F.split(text_col, "\n"), lambda x: F.char_length(x) > col)
+    chars = texts.select(id_col, F.array_join(F.transform(long, lambda x: F.substring(x, col + 1, 1)), "").alias("_chars"))
+    return chars.select(id_col, F.regexp_extract("_chars", "^[^0-9]*", 0).alias("text")).filter("text <> ''")
+
+
 def log_sizes(lines: DataFrame) -> DataFrame:
     """(file, part, mb, bpc, seconds) from build logs' lines (file, line_no, value) such as
     ``Name:  12.5 MB (1.1 bpc)`` or ``Name: 3.2 seconds``; a part that stands twice in a file keeps its last line."""
@@ -76,8 +95,25 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_or_load(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at ``path``, built and kept there first if it isn't there yet. The path may be in any store that Spark reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    """The table at ``path``, built and kept there first if it isn't there yet. The path may be in any store that Spark
+    reads; files of a write that did not end are not seen, as Spark commits them together."""
+    try:
+        return load_index(spark, path)
+    except AnalysisException:
         save_index(build(), path)
-    return load_index(spark, path)
+        return load_index(spark, path)
+
+
+RELATIVE = ("aligned", "ref_rest", "seq_rest")
+
+
+def save_relative(parts: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """Keep a relative index: the alignment of two Burrows-Wheeler columns (pair_id, ref_rank, seq_rank) and what it leaves of both
+    sides (pair_id, rank, ch), a table each under ``path``."""
+    for name in RELATIVE:
+        parts[name].write.mode(mode).parquet(f"{path}/{name}")
+
+
+def load_relative(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of ``save_relative``; with ref's index ``align.relative_lf`` answers for seq."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in RELATIVE}
