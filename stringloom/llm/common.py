@@ -6,15 +6,15 @@ buffers: word borders and word fingerprints come from whole-buffer numpy passes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.session import cut
+from stringloom.places import positions  # noqa: F401  (for the operators beside this module)
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
@@ -174,26 +174,6 @@ def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*safe), at
 
 
-def positions(df: DataFrame, group: str, order: Sequence[Column], name: str = "position", facts: DataFrame | None = None) -> DataFrame:
-    """``df`` with each row's place, from 1, in its group: sorted ranges, then offsets from the ranges' counts.
-
-    ``df`` is read twice and should be narrow and cut. Only (range, group, count) rows of one group meet in one
-    place. ``facts`` are further columns by ``_group``; they reach the rows through the (range, group) offsets,
-    so that no join deals all rows of a group to one task.
-    """
-    ranged = df.repartitionByRange(F.col(group).asc_nulls_last(), *order).withColumn("_range", F.spark_partition_id())
-    ranged = cut(ranged)
-    counts = ranged.groupBy("_range", group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if facts is not None:
-        offsets = offsets.join(facts, F.col("_g").eqNullSafe(F.col("_group"))).drop("_group")
-    inside = Window.partitionBy("_range", group).orderBy(*order)
-    numbered = ranged.withColumn("_inside", F.row_number().over(inside))
-    joined = numbered.join(offsets, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_range", "_inside", "_r", "_g", "_offset")
-
-
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all values of a string column."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
