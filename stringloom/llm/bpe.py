@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from stringloom.llm.common import pick
 
 LEAF_BYTES = 32
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,25 +33,26 @@ class TreeCodec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_BYTES):
         self.ranks, self.leaf = ranks, leaf
+        self.none = max(ranks.values(), default=0) + 1
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.stable: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[str, int, bytes]] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """Lowest-rank-first merging of a short byte string."""
-        ranks = self.ranks
+        """Lowest-rank-first merging of a short byte string; only the two pairs beside a merge get a new rank."""
+        get, none = self.ranks.get, self.none
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        order = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while order and (best := min(order)) != none:
+            at = order.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del order[at]
+            if at < len(order):
+                order[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                order[at - 1] = get(parts[at - 1] + parts[at], none)
+        return [self.ranks[p] for p in parts]
 
     def is_stable(self, left: int, right: int) -> bool:
         """Whether the two tokens next to each other are the encoding of their bytes."""
