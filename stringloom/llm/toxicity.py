@@ -33,8 +33,8 @@ CAUTION = 12.0  # squared width of the confidence bound
 LEAST_CUE, LEAST_HINT = 0.5, 0.2  # bounds of cues, and of the hints that grade texts without a cue
 THRESHOLD = 0.3
 BASE_SCORE = 0.02
-CACHE_WORDS = 60_000
-CHUNK_BYTES = 1 << 20
+CACHE_WORDS, CACHE_PAIRS = 150_000, 30_000
+CHUNK_BYTES = 2 << 20
 
 # The letters that a sign can stand for.
 SIGNS = {
@@ -265,7 +265,7 @@ class Scorer:
         """Whether two neighbouring tokens spell the beginning of a cue together, or the second is nothing but signs."""
         found = self.pairs.get((first, second))
         if found is None:
-            if len(self.pairs) >= CACHE_WORDS:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             bare, own = _OUTER.sub("", second), self.token(first)
             found = self.pairs[first, second] = bool(own and own.begun) and (not bare or bool(self.walk({at: spent + SPACE_COST for at, spent in own.begun.items()}, bare)))
