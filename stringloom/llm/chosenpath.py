@@ -42,6 +42,7 @@ MOST_PARTITIONS = 1 << 16  # beyond that, partitions hold more batches; a task h
 BATCH_ROWS = 2048  # classes that ask together
 PARTITION_BATCHES = 4  # several batches share a partition, which evens the partitions out
 MEMBER_SALTS = 256
+SPOTS = 1 << 20
 
 _SEEDS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xB5297A4D3F84D5B5))
 _XOR, _TIMES = _SEEDS[:SKETCH], _SEEDS[SKETCH:] | np.uint64(1)
@@ -450,8 +451,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     after = F.size(F.filter("all", lambda x: x["low"] * NUMERATOR <= F.col("high") * DENOMINATOR)) - 1
     near = spans.join(every, "component").select(F.col("component").alias("_c"), F.col("block").alias("_b"), before.alias("first"), after.alias("last"), (F.size("all") == 1).alias("whole"))
     placed = blocked.join(near, (F.col("component") == F.col("_c")) & (F.col("block") == F.col("_b"))).join(heads.drop("n"), F.col("node") == F.col("rep"))
-    placed = placed.select(F.col("node").alias("id"), "component", "block", "first", "last", "whole", "fp1", "copies")
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")).join(placed, "id")
+    placed = cut(placed.select(F.col("node").alias("id"), "component", "block", "first", "last", "whole", "fp1", "copies"))
+    # Only texts of clusters are dealt: a broadcast of at most SPOTS hashes of their ids lets most others fall before that.
+    spot = F.pmod(F.xxhash64("id"), F.lit(SPOTS))
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text"))
+    near_ones = named.join(F.broadcast(placed.select(spot.alias("_spot")).distinct()), spot == F.col("_spot"), "left_semi")
+    texts = near_ones.join(placed, "id")
     paired = texts.withColumn("other", F.explode(F.sequence("first", "last")))
     paired = paired.select("id", "_text", "component", "fp1", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "whole")
     paired = paired.withColumn("key", F.xxhash64("component", "i", "j"))
