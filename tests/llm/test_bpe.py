@@ -58,3 +58,15 @@ def test_digest_query(spark, own, other):
     assert bpe.bpe_digest(df.limit(0), PATH, PATTERN).count() == 0
     tokens = bpe.encode_documents(df, PATH, PATTERN)
     assert {r["doc_id"]: bytes(r["data"]).decode() for r in bpe.decode_tokens(tokens, PATH, PATTERN).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_decoding_passes_over_clashing_columns(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["a b", "", None, "über \U0001d54f" * 40, "a b"]
+    df = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id bigint, text string").withColumn("tokens", F.lit(1))
+    tokens = bpe.encode_documents(df, ranks, public_tokenizers.PATTERN).withColumn("DATA", F.lit(2)).withColumn("data", F.lit(3))
+    back = bpe.decode_tokens(tokens, ranks, public_tokenizers.PATTERN).collect()
+    assert sorted(bytes(r["data"]) for r in back) == sorted((t or "").encode() for t in texts)

@@ -39,3 +39,28 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert encoded.count() == sum(copies.values())
     assert all(r["n_tokens"] == len(codec.encode(texts[r["doc_id"]] or "")) for r in encoded.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == encoded.count()
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """No rows at all, then rows that repeat, without ids, with a long text, ties in size and columns whose names clash."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, batch string, _text string, score int, class_id int"
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    twice, long = text(50), text(30_000)
+    rows = [(1, twice, "en", "a"), (1, twice, "en", "a"), (None, twice, None, None), (None, None, None, None), (2, "", "en", "a"), (3, long, "en", None), (4, text(20), "en", "b"), (4, text(20), "en", "b")]
+    tables = {"none": spark.createDataFrame([], schema), "odd": spark.createDataFrame([(*r, len(r[1] or ""), "x", "y", 1, 2) for r in rows], schema)}
+    for name, table in tables.items():
+        for stage, make in corpus_pipeline.STAGES:
+            columns = table.columns
+            make(spark, table, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{stage}"))
+            table = spark.read.parquet(str(tmp_path / f"{name}-{stage}"))
+            assert stage == "byte_bpe" or table.columns == columns
+            if name == "none":
+                assert table.count() == 0
+            elif stage == "ngram_jaccard_join":
+                kept = [r["text"] for r in table.collect()]
+                assert sorted(map(str, kept)) == sorted(map(str, [twice, None, "", long, rows[6][1], rows[7][1]]))
+            elif stage == "substring_dedup":
+                assert sorted(map(str, (r["text"] for r in table.collect()))) == sorted(map(str, kept))

@@ -81,3 +81,14 @@ def test_lists_are_taken_until_they_hold_enough():
     got = ann.enough_lists(sims, np.array([2, 3, 900, 0]), np.array([6, 6]), 1)
     assert [x.tolist() for x in got] == [[0, 1, 2], [1, 3, 2]]
     assert [len(x) for x in ann.enough_lists(sims, np.array([2, 3, 900, 0]), np.array([9999, 1]), 2)] == [4, 2]
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows that share an id are all candidates of others, never of each other; rows without an id take no part as queries."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)] + [(100, [1.0] + [0.0] * 7), (100, [0.0, 1.0] + [0.0] * 6), (7, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    top = topk.top_inner_products(df, k=70).filter("query_id = 100").collect()
+    assert len(top) > 0 and all(r["vec_id"] != 100 for r in top) and sum(r["vec_id"] == 7 for r in top) >= 2
+    near = ann.nearest(df, k=3).collect()
+    assert {r["query_id"] for r in near} == {0, 50, 100} and all(r["vec_id"] != r["query_id"] for r in near)
