@@ -65,20 +65,19 @@ class Patterns:
 
     def __init__(self, patterns: list[str]):
         coded = [kernels.codes(p) + 1 for p in patterns]
-        self.asked = [(p, raw_symbols(c), np.unique(_pairs(c))) for p, c in zip(patterns, coded)]
+        self.names, self.raw = patterns, [raw_symbols(c) for c in coded]
+        used = np.zeros((len(patterns), MASK_BITS), bool)
+        for row, c in zip(used, coded):
+            row[_pairs(c)] = True
+        self.used = np.packbits(used, axis=1).view(np.uint64)
 
-    def ranges(self, symbols: bytes, sa: bytes, pairs: bytes) -> Iterator[tuple[str, int, int, np.ndarray]]:
-        """(pattern, sp, ep, suffix array) for every pattern."""
-        mask, places = np.unpackbits(np.frombuffer(pairs, np.uint8)).astype(bool), np.frombuffer(sa, "<u4")
-        for name, raw, used in self.asked:
-            sp, ep = find_range(symbols, places, raw) if mask[used].all() else (1, 0)
-            yield name, sp, ep, places
-
-
-def _found(ids: pa.Array, rows: list[tuple[int, str, int, int]], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 4
-    sp, ep = np.array(columns[2], np.int64), np.array(columns[3], np.int64)
-    return pa.record_batch([ids.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(sp), pa.array(ep), pa.array(ep - sp + 1)], names=names)
+    def hits(self, symbols: bytes, sa: bytes, pairs: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(place of the pattern, sp, ep, suffix array) for every pattern that the text holds."""
+        lacks, places = ~np.frombuffer(pairs, np.uint64), np.frombuffer(sa, "<u4")
+        for i in np.flatnonzero(~(self.used & lacks).any(axis=1)).tolist():
+            sp, ep = find_range(symbols, places, self.raw[i])
+            if sp <= ep:
+                yield i, sp, ep, places
 
 
 def find(index: DataFrame, patterns: list[str], id_col: str = "text_id") -> DataFrame:
@@ -86,10 +85,15 @@ def find(index: DataFrame, patterns: list[str], id_col: str = "text_id") -> Data
     names = [id_col, "pattern", "sp", "ep", "cnt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Patterns(patterns)
+        own, said = Patterns(patterns), pa.array(patterns, pa.string())
         for batch in batches:
-            rows = [(r, name, sp, ep) for r in range(batch.num_rows) for name, sp, ep, _ in own.ranges(*(batch.column(c)[r].as_py() for c in (1, 2, 3)))]
-            yield _found(batch.column(0), rows, names)
+            n, m = batch.num_rows, len(patterns)
+            sp, ep = np.ones((n, m), np.int64), np.zeros((n, m), np.int64)
+            for r in range(n):
+                for i, low, high, _ in own.hits(*(batch.column(c)[r].as_py() for c in (1, 2, 3))):
+                    sp[r, i], ep[r, i] = low, high
+            sp, ep = sp.ravel(), ep.ravel()
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(n), m))), said.take(pa.array(np.tile(np.arange(m), n))), pa.array(sp), pa.array(ep), pa.array(ep - sp + 1)], names=names)
 
     kind = index.schema[id_col].dataType.simpleString()
     return index.select(id_col, "symbols", "sa", "pairs").mapInArrow(run, f"`{id_col}` {kind}, pattern string, sp bigint, ep bigint, cnt bigint")
@@ -102,10 +106,9 @@ def locate(index: DataFrame, patterns: list[str], id_col: str = "text_id") -> Da
         own = Patterns(patterns)
         for batch in batches:
             for r in range(batch.num_rows):
-                for name, sp, ep, places in own.ranges(*(batch.column(c)[r].as_py() for c in (1, 2, 3))):
-                    if sp <= ep:
-                        n = ep - sp + 1
-                        yield pa.record_batch([batch.column(0).take(pa.array(np.full(n, r))), pa.array([name] * n, pa.string()), pa.array(np.arange(sp, ep + 1)), pa.array(places[sp : ep + 1].astype(np.int64))], names=[id_col, "pattern", "rank", "pos"])
+                for i, sp, ep, places in own.hits(*(batch.column(c)[r].as_py() for c in (1, 2, 3))):
+                    n = ep - sp + 1
+                    yield pa.record_batch([batch.column(0).take(pa.array(np.full(n, r))), pa.array([patterns[i]] * n, pa.string()), pa.array(np.arange(sp, ep + 1)), pa.array(places[sp : ep + 1].astype(np.int64))], names=[id_col, "pattern", "rank", "pos"])
 
     kind = index.schema[id_col].dataType.simpleString()
     return index.select(id_col, "symbols", "sa", "pairs").mapInArrow(run, f"`{id_col}` {kind}, pattern string, rank bigint, pos bigint")
@@ -141,8 +144,10 @@ def find_all(index: DataFrame, patterns: DataFrame, column: str = "pattern", id_
                     said.append(batch.column(4)[r].as_py())
                 else:
                     own = own or Patterns(said)
-                    rows += [(r, name, sp, ep) for name, sp, ep, _ in own.ranges(*(batch.column(c)[r].as_py() for c in (6, 7, 8))) if sp <= ep]
-            yield _found(batch.column(5), rows, [id_col, "pattern", "sp", "ep", "cnt"])
+                    rows += [(r, said[i], sp, ep) for i, sp, ep, _ in own.hits(*(batch.column(c)[r].as_py() for c in (6, 7, 8)))]
+            at_row, names, sp, ep = (list(x) for x in zip(*rows)) if rows else ([],) * 4
+            low, high = np.array(sp, np.int64), np.array(ep, np.int64)
+            yield pa.record_batch([batch.column(5).take(pa.array(at_row, pa.int64())), pa.array(names, pa.string()), pa.array(low), pa.array(high), pa.array(high - low + 1)], names=[id_col, "pattern", "sp", "ep", "cnt"])
 
     kind = index.schema[id_col].dataType.simpleString()
     return both.repartition("key").sortWithinPartitions("key", "part", "share", "kind").mapInArrow(run, f"`{id_col}` {kind}, pattern string, sp bigint, ep bigint, cnt bigint")
