@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 from stringloom.operators import kernels
 
 KEYS = ("query_id", "text_id")
+PART_CHARS, SHARE_CHARS = 1 << 18, 1 << 22  # of queries that meet a text at once, of texts in a task's group
+BORDER = 0x110000  # stands between queries; no text holds it
 
 
-def _statistics(query: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(longest prefix of each query suffix in the text, first rank in the text that starts with it, last).
+def _statistics(query: np.ndarray, text: np.ndarray, ranges: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(longest prefix of each query suffix in the text, first rank in the text that starts with it, last); without
+    ``ranges`` the ranks are empty.
 
     Both texts are sorted as one, a separator below all symbols between them, which keeps the text's own order;
     the nearest text suffixes on both sides of a query suffix hold its longest match."""
@@ -37,6 +41,8 @@ def _statistics(query: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
     right = np.where(a >= 0, lcp[np.maximum(minima.places(at + 1, np.maximum(a, at + 1)), 0)], 0) if len(at) else at
     found = np.zeros(m, np.int64)
     found[sa[at] - n - 1] = np.maximum(left, right)
+    if not ranges:
+        return found, at[:0], at[:0]
     # Ranks among the text's own suffixes, the empty one at 0: widen to all neighbours that share the match.
     wide = np.maximum(left, right)
     text_rank = np.cumsum(is_text)
@@ -89,6 +95,45 @@ def maximal_matches(statistics: DataFrame) -> DataFrame:
     return statistics.withColumn("_before", before).filter((F.col("length") > 0) & (F.col("length") > F.col("_before"))).drop("_before")
 
 
+def against_all(texts: DataFrame, queries: DataFrame, part_chars: int = PART_CHARS, share_chars: int = SHARE_CHARS) -> DataFrame:
+    """(query_id, text_id, start, length, chars): maximal matches of every query (query_id, query) in every text
+    (text_id, text), and how long the query is.
+
+    Queries are dealt to parts and texts to shares, both of bounded size by their total; each share meets each part in one
+    group, where a text is sorted once with all queries of the part. So a text is sent once for each part, and neither
+    side goes to the driver or to every task. Null texts and null or empty queries give no rows; repeated rows count each.
+    """
+    texts, queries = texts.filter("text IS NOT NULL").select("text_id", "text"), queries.filter("query <> ''").select("query_id", "query")
+    groups = [max(1, math.ceil((side.agg(F.sum(F.char_length(c))).first()[0] or 0) / most)) for side, c, most in ((queries, "query", part_chars), (texts, "text", share_chars))]
+    parts, shares = (F.sequence(F.lit(0), F.lit(n - 1)) for n in groups)
+    left = texts.withColumn("share", F.pmod(F.xxhash64("text_id", "text"), F.lit(groups[1])).cast("int")).withColumn("part", F.explode(parts))
+    right = queries.withColumn("part", F.pmod(F.xxhash64("query_id", "query"), F.lit(groups[0])).cast("int")).withColumn("share", F.explode(shares))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "text_id": texts.schema["text_id"].dataType.simpleString()}
+    names = [*KEYS, "start", "length", "chars"]
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        codes = [kernels.codes(q) for q in asked.column("query").to_pylist()]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        joined = np.concatenate([x for c in codes for x in (c, [BORDER])]).astype(np.int64) if codes else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if codes else np.zeros(0, np.int64)
+        rows: list[tuple[np.ndarray, ...]] = []
+        for i, text in enumerate(own.column("text").to_pylist() if codes else []):
+            length, _, _ = _statistics(joined, kernels.codes(text), ranges=False)
+            at = np.flatnonzero((length > 0) & (length >= np.concatenate([[0], length[:-1]])))
+            of = np.searchsorted(starts, at, "right") - 1
+            rows.append((of, np.full(len(at), i), at - starts[of], length[at], sizes[of]))
+        of, i, *rest = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+        return pa.table([asked.column("query_id").take(pa.array(of)), own.column("text_id").take(pa.array(i)), *map(pa.array, rest)], names=names)
+
+    schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)
+    return left.groupBy("part", "share").cogroup(right.groupBy("part", "share")).applyInArrow(run, schema)
+
+
+def passage_summary(matches: DataFrame) -> DataFrame:
+    """(query_id, matches, whole, longest) of ``against_all``: all matches, those of the whole query, the longest length."""
+    return matches.groupBy("query_id").agg(F.count("*").alias("matches"), F.count_if(F.col("length") == F.col("chars")).alias("whole"), F.max("length").alias("longest"))
+
+
 def match_summary(matches: DataFrame, group: str = "query_id") -> DataFrame:
     """(group, matches, average_length)."""
     return matches.groupBy(group).agg(F.count("*").alias("matches"), F.avg("length").alias("average_length"))

@@ -606,23 +606,23 @@ _MRANGE = """, xr AS (SELECT DISTINCT text_id, t FROM q0), xs AS (SELECT text_id
 xo AS (SELECT text_id, substring(t, pos + 1) AS suf, row_number() OVER (PARTITION BY text_id ORDER BY substring(t, pos + 1)) - 1 AS rank FROM xs)"""
 
 
-def _match_pairs(spark, sf_dir):
+def _match_pairs(spark, sf_dir, texts):
     return _neighbours(texts(spark, sf_dir)).select(F.col("pair_id").alias("query_id"), F.col("ref").alias("query"), F.col("next_id").alias("text_id"), F.col("seq").alias("text"))
 
 
 @add("matching_statistics", f"WITH {_MS} SELECT query_id, text_id, start, length FROM ms")
-def matching_statistics(spark, sf_dir):
-    return matches.matching_statistics(_match_pairs(spark, sf_dir)).select("query_id", "text_id", "start", "length")
+def matching_statistics(spark, sf_dir, texts=texts):
+    return matches.matching_statistics(_match_pairs(spark, sf_dir, texts)).select("query_id", "text_id", "start", "length")
 
 
 @add("maximal_matches", f"WITH {_MS}{_MRANGE} SELECT mm.query_id, mm.text_id, mm.start, mm.length, min(xo.rank) AS sp, max(xo.rank) AS ep FROM mm JOIN xo ON xo.text_id = mm.text_id AND starts_with(xo.suf, substring(mm.q, mm.start + 1, mm.length)) GROUP BY ALL")
-def maximal_matches(spark, sf_dir):
-    return matches.maximal_matches(matches.matching_statistics(_match_pairs(spark, sf_dir)))
+def maximal_matches(spark, sf_dir, texts=texts):
+    return matches.maximal_matches(matches.matching_statistics(_match_pairs(spark, sf_dir, texts)))
 
 
 @add("maximal_summary", f"WITH {_MS} SELECT query_id, CAST(count(*) AS BIGINT) AS matches, avg(length) AS average_length FROM mm GROUP BY query_id")
-def maximal_summary(spark, sf_dir):
-    return matches.match_summary(matches.maximal_matches(matches.matching_statistics(_match_pairs(spark, sf_dir))))
+def maximal_summary(spark, sf_dir, texts=texts):
+    return matches.match_summary(matches.maximal_matches(matches.matching_statistics(_match_pairs(spark, sf_dir, texts))))
 
 
 # ---- alignment -------------------------------------------------------------------------------------------------
@@ -682,7 +682,7 @@ def alignment_in_suffix_order(spark, sf_dir):
 
 
 @add("block_alignment")
-def block_alignment(spark, sf_dir):
+def block_alignment(spark, sf_dir, text_pairs=text_pairs):
     return align.block_alignment(text_pairs(spark, sf_dir), block=8, depth=8)
 
 
@@ -694,7 +694,7 @@ _PARTS = f"""{PAIRS}, ra AS (SELECT pair_id, ref AS t, unnest(range(0, length(re
 
 
 @add("alignment_partitions", f"WITH {_PARTS} SELECT * FROM bl")
-def alignment_partitions(spark, sf_dir):
+def alignment_partitions(spark, sf_dir, text_pairs=text_pairs):
     return align.partitions(text_pairs(spark, sf_dir), block=1, depth=4)
 
 
@@ -706,32 +706,33 @@ def alignment_partitions(spark, sf_dir):
     SELECT pair_id, CAST(ranges AS BIGINT) AS ranges, CAST(x AS BIGINT) AS intersection, CAST(rm AS BIGINT) AS ref_missed, CAST(sm AS BIGINT) AS seq_missed, CAST(rn - x - rm AS BIGINT) AS ref_lost,
       CAST(sn - x - sm AS BIGINT) AS seq_lost, CAST(ro AS BIGINT) AS ref_overlaps, CAST(so AS BIGINT) AS seq_overlaps FROM m""",
 )
-def partition_statistics(spark, sf_dir):
+def partition_statistics(spark, sf_dir, text_pairs=text_pairs):
     pairs = text_pairs(spark, sf_dir)
     sizes = pairs.select("pair_id", (F.char_length("ref") + 1).alias("ref_size"), (F.char_length("seq") + 1).alias("seq_size"))
     return align.partition_statistics(align.partitions(pairs, block=1, depth=4), sizes)
 
 
-def _faults(spark, sf_dir, aligned):
+def _faults(spark, sf_dir, aligned, text_pairs):
     pairs = text_pairs(spark, sf_dir)
-    return align.alignment_faults(aligned(pairs), *_pair_indexes(pairs)).select("pair_id", "faults")
+    found = align.alignment_faults(aligned(pairs), *_pair_indexes(pairs)).select("pair_id", "faults")
+    return pairs.select("pair_id").join(found, "pair_id", "left").select("pair_id", F.coalesce("faults", F.lit(0)).alias("faults"))  # pairs that share nothing have none
 
 
 _NO_FAULTS = f"WITH {PAIRS} SELECT pair_id, CAST(0 AS BIGINT) AS faults FROM pr"
 
 
 @add("block_alignment_faults", _NO_FAULTS)
-def block_alignment_faults(spark, sf_dir):
-    return _faults(spark, sf_dir, lambda pairs: align.block_alignment(pairs, block=8, depth=8))
+def block_alignment_faults(spark, sf_dir, text_pairs=text_pairs):
+    return _faults(spark, sf_dir, lambda pairs: align.block_alignment(pairs, block=8, depth=8), text_pairs)
 
 
 @add("run_alignment_faults", _NO_FAULTS)
-def run_alignment_faults(spark, sf_dir):
-    return _faults(spark, sf_dir, align.run_alignment)
+def run_alignment_faults(spark, sf_dir, text_pairs=text_pairs):
+    return _faults(spark, sf_dir, align.run_alignment, text_pairs)
 
 
 @add("run_alignment")
-def run_alignment(spark, sf_dir):
+def run_alignment(spark, sf_dir, text_pairs=text_pairs):
     return align.run_alignment(text_pairs(spark, sf_dir))
 
 
@@ -810,14 +811,14 @@ def alphabet_intersection(spark, sf_dir):
 # ---- relative columns, reports ---------------------------------------------------------------------------------
 
 
-def _lcp_pairs(spark, sf_dir):
+def _lcp_pairs(spark, sf_dir, text_pairs=text_pairs):
     pairs = text_pairs(spark, sf_dir)
     return [index.suffix_table(pairs.select("pair_id", F.col(c).alias("text")), ["lcp"], id_col="pair_id").select("pair_id", "rank", F.col("lcp").cast("bigint").alias("value")) for c in ("seq", "ref")]
 
 
 @add("rlz_phrases")
-def rlz_phrases(spark, sf_dir):
-    return relative.copy_phrases(*_lcp_pairs(spark, sf_dir))
+def rlz_phrases(spark, sf_dir, text_pairs=text_pairs):
+    return relative.copy_phrases(*_lcp_pairs(spark, sf_dir, text_pairs))
 
 
 @add("rlz_decode", f"WITH {L}, k AS (SELECT item_id, lag(item_id) OVER (ORDER BY item_id) AS pair_id FROM benchmark) SELECT k.pair_id, l.rank, CAST(l.lcp AS BIGINT) AS value FROM l JOIN k ON k.item_id = l.text_id WHERE k.pair_id IS NOT NULL")
@@ -827,8 +828,8 @@ def rlz_decode(spark, sf_dir):
 
 
 @add("rlz_statistics")
-def rlz_statistics(spark, sf_dir):
-    return relative.phrase_statistics(relative.copy_phrases(*_lcp_pairs(spark, sf_dir)))
+def rlz_statistics(spark, sf_dir, text_pairs=text_pairs):
+    return relative.phrase_statistics(relative.copy_phrases(*_lcp_pairs(spark, sf_dir, text_pairs)))
 
 
 @add("size_report", "WITH p AS (SELECT lang AS grp, source AS part, sum(octet_length(encode(text))) AS bytes, max(n_chars) AS chars FROM documents GROUP BY ALL), a AS (SELECT * FROM p UNION ALL SELECT grp, 'total', sum(bytes), max(chars) FROM p GROUP BY grp) SELECT grp AS lang, part AS source, CAST(bytes AS BIGINT) AS bytes, CAST(bytes AS DOUBLE) / 1048576.0 AS mb, CAST(bytes AS DOUBLE) * 8.0 / chars AS bpc FROM a")
@@ -921,8 +922,31 @@ for _query in (
     bwt_rank_window, bwt_select, bwt_rank_at, backward_step, locate_ranks, inverse_positions, extract_bwt, char_range,
     lcp_array, lcp_large_values, lcp_slice, lcp_diff_encoded, lcp_diff_decoded, lcp_block_minima, rmq_leftmost,
     lcp_intervals, tree_node_count, tree_depth_hist, tree_parent, tree_children, tree_first_child, tree_select_child,
-    tree_child_char, tree_sibling, tree_suffix_link, tree_leaf, tree_traversal_digest,
+    tree_child_char, tree_sibling, tree_suffix_link, tree_leaf, tree_traversal_digest, matching_statistics, maximal_matches, maximal_summary,
 ):
     add(f"documents_{_query.__name__}")(partial(_query, texts=documents))
-for _query in (mutual_suffix_order, left_right_matches, common_char_top1):
+for _query in (
+    mutual_suffix_order, left_right_matches, common_char_top1, block_alignment, alignment_partitions, partition_statistics,
+    run_alignment, rlz_phrases, rlz_statistics,
+):
     add(f"documents_{_query.__name__}")(partial(_query, text_pairs=document_pairs))
+
+_DOC_PAIRS = "pr AS (SELECT * FROM (SELECT doc_id AS pair_id, text AS ref, lead(text) OVER (ORDER BY doc_id) AS seq FROM documents) WHERE seq IS NOT NULL AND ref IS NOT NULL)"
+for _query in (block_alignment_faults, run_alignment_faults):
+    add(f"documents_{_query.__name__}", f"WITH {_DOC_PAIRS} SELECT pair_id, CAST(0 AS BIGINT) AS faults FROM pr")(partial(_query, text_pairs=document_pairs))
+
+
+@add("documents_rlz_faults", f"WITH {_DOC_PAIRS} SELECT pair_id, CAST(length(seq) + 1 AS BIGINT) AS places, CAST(0 AS BIGINT) AS faults FROM pr")
+def documents_rlz_faults(spark, sf_dir):
+    """Places of each pair's column that its phrases don't give back."""
+    target, source = (cut(side) for side in _lcp_pairs(spark, sf_dir, document_pairs))
+    decoded = relative.decode_phrases(relative.copy_phrases(target, source), source).withColumnRenamed("value", "_v")
+    joined = target.join(decoded, ["pair_id", "rank"], "full")
+    return joined.groupBy("pair_id").agg(F.count("*").alias("places"), F.count_if(~F.col("value").eqNullSafe(F.col("_v"))).alias("faults"))
+
+
+@add("documents_passage_matches")
+def documents_passage_matches(spark, sf_dir):
+    """The passages against all documents: for each the maximal matches, the documents that hold it whole, the longest match."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return matches.passage_summary(matches.against_all(documents(spark, sf_dir), passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))))

@@ -174,3 +174,38 @@ def test_core_queries_over_whole_documents(spark, tmp_path):
     found = {(r["text_id"], r["pattern"]): r["cnt"] for r in run("documents_pattern_range")}
     assert all(n == sum(texts[i].startswith(p, k) for k in range(len(texts[i]) + 1)) for (i, p), n in found.items())
     assert {i for i, _ in found} == set(order)
+
+
+@pytest.mark.parametrize("part_chars,share_chars", [(matches.PART_CHARS, matches.SHARE_CHARS), (4, 9)])
+def test_all_queries_against_all_texts(spark, texts, part_chars, share_chars):
+    queries = {10: "anana", 11: "issx né 漢", 12: "", 13: None, 14: "banana", 15: "zz", 16: "anana"}
+    asked = spark.createDataFrame(list(queries.items()), "query_id int, query string")
+    expected = []
+    for q, query in queries.items():
+        for t, text in TEXTS.items():
+            if not query or text is None:
+                continue
+            before = 0
+            for start in range(len(query)):
+                length = max(k for k in range(len(query) - start + 1) if query[start : start + k] in text)
+                if length > 0 and length >= before:
+                    expected.append((q, t, start, length, len(query)))
+                before = length
+    found = matches.against_all(texts, asked, part_chars, share_chars)
+    got = sorted(tuple(r) for r in found.select("query_id", "text_id", "start", "length", "chars").collect())
+    assert got == sorted(expected)
+    whole = {r["query_id"]: (r["whole"], r["longest"]) for r in matches.passage_summary(found).collect()}
+    assert whole[14] == (1, 6) and whole[10] == (1, 5) and 15 not in whole
+    assert matches.against_all(texts, asked.limit(0)).count() == 0 and matches.against_all(texts.limit(0), asked).count() == 0
+
+
+def test_pairs_of_documents_without_faults(spark, tmp_path):
+    """Gaps in ids, null, empty and repeated texts through the queries on neighbouring documents."""
+    import __spark_entry__ as entry
+
+    rows = [(1, "banana bandana"), (4, "bandana banana"), (9, None), (11, ""), (30, "a banana"), (31, "a banana")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    known = entry.queries()
+    for name, pairs in (("block_alignment_faults", {1, 11, 30}), ("run_alignment_faults", {1, 11, 30}), ("rlz_faults", {1, 11, 30})):
+        got = {r["pair_id"]: r["faults"] for r in known[f"documents_{name}"](spark, str(tmp_path)).collect()}
+        assert got == {p: 0 for p in pairs}
