@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stringloom.operators import kernels
 
 KEYS = ("query_id", "text_id")
-PART_CHARS, SHARE_CHARS = 1 << 18, 1 << 22  # of queries that meet a text at once, of texts in a task's group
+PART_CHARS, SHARE_CHARS, SHARE_TEXTS = 1 << 15, 1 << 22, 256  # of queries that meet a text at once; of texts in a group, which bounds its rows
 BORDER = 0x110000  # stands between queries; no text holds it
 
 
@@ -104,7 +104,9 @@ def against_all(texts: DataFrame, queries: DataFrame, part_chars: int = PART_CHA
     side goes to the driver or to every task. Null texts and null or empty queries give no rows; repeated rows count each.
     """
     texts, queries = texts.filter("text IS NOT NULL").select("text_id", "text"), queries.filter("query <> ''").select("query_id", "query")
-    groups = [max(1, math.ceil((side.agg(F.sum(F.char_length(c))).first()[0] or 0) / most)) for side, c, most in ((queries, "query", part_chars), (texts, "text", share_chars))]
+    held, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    asked_chars = queries.agg(F.coalesce(F.sum(F.char_length("query")), F.lit(0))).first()[0]
+    groups = [max(1, math.ceil(asked_chars / part_chars)), max(1, math.ceil(chars / share_chars), math.ceil(held / SHARE_TEXTS))]
     parts, shares = (F.sequence(F.lit(0), F.lit(n - 1)) for n in groups)
     left = texts.withColumn("share", F.pmod(F.xxhash64("text_id", "text"), F.lit(groups[1])).cast("int")).withColumn("part", F.explode(parts))
     right = queries.withColumn("part", F.pmod(F.xxhash64("query_id", "query"), F.lit(groups[0])).cast("int")).withColumn("share", F.explode(shares))
