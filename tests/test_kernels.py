@@ -87,3 +87,17 @@ def test_small_ones():
     for byte in (1, *[0] * 7):
         h = (h ^ byte) * k.FNV_PRIME % 2**64
     assert k.fnv1a([1]) == h
+
+
+def test_later_rounds_sort_only_open_suffixes(monkeypatch):
+    """One long repeat among settled suffixes: the rounds after the first don't sort the whole chunk again."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))
+    texts = [k.codes(text + "#" + text[:200]), k.codes("banana")]
+    sorted_, sort = [], k.sorted_places
+    monkeypatch.setattr(k, "sorted_places", lambda *keys: sorted_.append(len(keys[0])) or sort(*keys))
+    order = k.suffix_order(texts)
+    assert sum(sorted_[1:]) < 2 * sorted_[0] and len(sorted_) > 3
+    own = text + "#" + text[:200]
+    assert order.sa[: len(own) + 1].tolist() == sorted(range(len(own) + 1), key=lambda i: own[i:])
+    assert order.lcp.max() == 200
