@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find"]
 TO_SUMS = []
 
 
@@ -95,3 +95,8 @@ def test_blocks_by_depth_for_all_pairs_at_once(block, depth):
                 else:
                     stack += [prefix + c for c in {s[d] for i in hit[0] for s in [sides[0][i]]}]
             assert got[k] == sorted(expected)
+
+
+def test_forward_search_without_nodes(texts):
+    wanted = ["the", "an", "onon", "e", "", "zzqx", "h t", "漢漢", "aaaaaaaaaaaa", "aaaaaaaaaaaaa", "the hat in the onion, onon e", "n𝄞", "a\0"]
+    assert same(tree.find_of(texts, wanted), saved.forward_find(tree.tree_nodes(texts), texts, wanted))
