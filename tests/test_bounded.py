@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest"]
 TO_SUMS = []
 
 
@@ -100,3 +100,12 @@ def test_blocks_by_depth_for_all_pairs_at_once(block, depth):
 def test_forward_search_without_nodes(texts):
     wanted = ["the", "an", "onon", "e", "", "zzqx", "h t", "漢漢", "aaaaaaaaaaaa", "aaaaaaaaaaaaa", "the hat in the onion, onon e", "n𝄞", "a\0"]
     assert same(tree.find_of(texts, wanted), saved.forward_find(tree.tree_nodes(texts), texts, wanted))
+
+
+def test_digest_in_whole_array_steps(texts):
+    assert same(tree.digest_of(texts), tree.traversal_digest(tree.tree_nodes(texts)))
+    rng = random.Random(1)
+    for top in (2, 256, 70000, 1 << 40):
+        values = [rng.randrange(top) for _ in range(40)]
+        assert kernels.fnv1a_array(np.array(values)) == kernels.fnv1a(values)
+    assert kernels.fnv1a_array(np.array([1])) == 9929646806074584996 and kernels.fnv1a_array(np.array([], np.int64)) == kernels.FNV_OFFSET
