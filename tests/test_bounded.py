@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment"]
 TO_SUMS = []
 
 
@@ -109,3 +109,18 @@ def test_digest_in_whole_array_steps(texts):
         values = [rng.randrange(top) for _ in range(40)]
         assert kernels.fnv1a_array(np.array(values)) == kernels.fnv1a(values)
     assert kernels.fnv1a_array(np.array([1])) == 9929646806074584996 and kernels.fnv1a_array(np.array([], np.int64)) == kernels.FNV_OFFSET
+
+
+@pytest.mark.parametrize("most_edits", [8192, 6])
+def test_blocks_through_tables_are_those_of_the_rounds(most_edits):
+    rng = random.Random(most_edits)
+    sizes = np.array([[rng.choice([1, 2, 3, 8, 30]), rng.choice([1, 2, 8, 40])] for _ in range(60)])
+    a, b = (np.array([rng.randrange(3) for _ in range(int(sizes[:, i].sum()))]) for i in (0, 1))
+    starts = np.cumsum(sizes, axis=0) - sizes
+    of, i, j = kernels.block_subsequences(a, b, starts[:, 0], sizes[:, 0], starts[:, 1], sizes[:, 1], most_edits)
+    expected = []
+    for k, ((n, m), (p, q)) in enumerate(zip(sizes.tolist(), starts.tolist())):
+        x, y = a[p : p + n].tolist(), b[q : q + m].tolist()
+        found = kernels.common_subsequence(x, y, most_edits)
+        expected += [(k, *z) for z in (kernels.commonest_match(x, y) if found is None else found)]
+    assert list(zip(of.tolist(), i.tolist(), j.tolist())) == expected
