@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults"]
 TO_SUMS = []
 
 
@@ -124,3 +124,15 @@ def test_blocks_through_tables_are_those_of_the_rounds(most_edits):
         found = kernels.common_subsequence(x, y, most_edits)
         expected += [(k, *z) for z in (kernels.commonest_match(x, y) if found is None else found)]
     assert list(zip(of.tolist(), i.tolist(), j.tolist())) == expected
+
+
+def test_faults_of_wrong_alignments(pairs):
+    def worse(refs, seqs):
+        of, number, ref, seq = align.block_rows(refs, seqs, 8, 8, 8192)
+        return of, number, ref, seq + (number == number.max()) * 1000
+
+    right = align.faults_of(pairs, lambda refs, seqs: align.block_rows(refs, seqs, 8, 8, 8192))
+    assert {r["faults"] for r in right.collect()} == {0} and right.count() == pairs.count()
+    assert sum(r["faults"] for r in align.faults_of(pairs, worse).collect()) > 0
+    aligned = align.block_alignment(pairs, 8, 8)
+    assert same(right.filter("aligned > 0"), align.alignment_faults(aligned, *queries._pair_indexes(pairs)))
