@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches"]
 TO_SUMS = []
 
 
@@ -136,3 +136,7 @@ def test_faults_of_wrong_alignments(pairs):
     assert sum(r["faults"] for r in align.faults_of(pairs, worse).collect()) > 0
     aligned = align.block_alignment(pairs, 8, 8)
     assert same(right.filter("aligned > 0"), align.alignment_faults(aligned, *queries._pair_indexes(pairs)))
+
+
+def test_neighbour_runs(pairs):
+    assert same(align.neighbour_runs(pairs), align.neighbour_matches(align.merged_order(pairs)))
