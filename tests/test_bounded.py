@@ -11,7 +11,7 @@ from stringloom.operators import align, index, kernels, matches, navigate, range
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
 NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches"]
-TO_SUMS = []
+TO_SUMS = ["documents_passage_matches"]
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +140,11 @@ def test_faults_of_wrong_alignments(pairs):
 
 def test_neighbour_runs(pairs):
     assert same(align.neighbour_runs(pairs), align.neighbour_matches(align.merged_order(pairs)))
+
+
+@pytest.mark.parametrize("part_chars,share_chars", [(matches.PART_CHARS, matches.SHARE_CHARS), (4, 9)])
+def test_sums_of_all_queries_against_all_texts(spark, texts, part_chars, share_chars):
+    asked = spark.createDataFrame([(1, "the onion"), (2, "banana"), (3, None), (4, "zz"), (5, "hat"), (6, "")], "query_id int, query string")
+    found = matches.passage_sums(texts, asked, part_chars, share_chars)
+    assert same(found, matches.passage_summary(matches.against_all(texts, asked)))
+    assert {r["query_id"]: r["whole"] for r in found.collect()} == {1: 0, 2: 1, 5: 3}
