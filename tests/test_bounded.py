@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k"]
 TO_SUMS = ["documents_passage_matches"]
 
 
@@ -148,3 +148,8 @@ def test_sums_of_all_queries_against_all_texts(spark, texts, part_chars, share_c
     found = matches.passage_sums(texts, asked, part_chars, share_chars)
     assert same(found, matches.passage_summary(matches.against_all(texts, asked)))
     assert {r["query_id"]: r["whole"] for r in found.collect()} == {1: 0, 2: 1, 5: 3}
+
+
+@pytest.mark.parametrize("k", [0, 5])
+def test_psi_steps_of_texts(texts, k):
+    assert same(navigate.psi_steps_of(texts, k), navigate.psi_steps(index.suffix_table(texts, ["pos"]), k))
