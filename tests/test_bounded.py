@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases"]
 TO_SUMS = ["documents_passage_matches"]
 
 
@@ -153,3 +153,14 @@ def test_sums_of_all_queries_against_all_texts(spark, texts, part_chars, share_c
 @pytest.mark.parametrize("k", [0, 5])
 def test_psi_steps_of_texts(texts, k):
     assert same(navigate.psi_steps_of(texts, k), navigate.psi_steps(index.suffix_table(texts, ["pos"]), k))
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_phrases_of_pairs(pairs, most):
+    sides = [index.suffix_table(pairs.select("pair_id", F.col(c).alias("text")), ["lcp"], id_col="pair_id").select("pair_id", "rank", F.col("lcp").cast("bigint").alias("value")) for c in ("seq", "ref")]
+    phrases = relative.phrases_of(pairs, most)
+    assert same(phrases, relative.copy_phrases(*sides, most=most))
+    assert matches.differing(relative.decode_phrases(phrases, sides[1]), sides[0]).count() == 0
+    got = {r["pair_id"]: (r["places"], r["faults"]) for r in relative.phrase_faults(pairs, most).collect()}
+    assert got == {r["pair_id"]: (len(r["seq"]) + 1, 0) for r in pairs.collect()}
+    assert relative._decoded(np.array([2, 0]), np.array([1, -1]), [5, 7], np.array([9, 1, 2])).tolist() == [1, 3, 8, 15]
