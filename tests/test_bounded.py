@@ -11,7 +11,7 @@ from stringloom.operators import align, index, kernels, matches, navigate, range
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
 NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases"]
-TO_SUMS = ["documents_passage_matches"]
+TO_SUMS = ["documents_passage_matches", "documents_maximal_summary"]
 
 
 @pytest.fixture(scope="module")
@@ -164,3 +164,8 @@ def test_phrases_of_pairs(pairs, most):
     got = {r["pair_id"]: (r["places"], r["faults"]) for r in relative.phrase_faults(pairs, most).collect()}
     assert got == {r["pair_id"]: (len(r["seq"]) + 1, 0) for r in pairs.collect()}
     assert relative._decoded(np.array([2, 0]), np.array([1, -1]), [5, 7], np.array([9, 1, 2])).tolist() == [1, 3, 8, 15]
+
+
+def test_sums_of_maximal_matches(spark, tables):
+    pairs = queries._match_pairs(spark, tables, queries.documents)
+    assert same(matches.maximal_sums(pairs), matches.match_summary(matches.maximal_matches(matches.matching_statistics(pairs))))
