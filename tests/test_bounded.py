@@ -11,7 +11,7 @@ from stringloom.operators import align, index, kernels, matches, navigate, range
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
 NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases", "documents_matching_statistics", "documents_lcp_intervals"]
-TO_SUMS = ["documents_passage_matches", "documents_maximal_summary"]
+TO_SUMS = ["documents_passage_matches", "documents_maximal_summary", "documents_saved_passages", "documents_find"]
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +173,16 @@ def test_sums_of_maximal_matches(spark, tables):
 
 def test_intervals_without_nodes(texts):
     assert same(tree.intervals_of(texts), tree.intervals(tree.tree_nodes(texts)))
+
+
+def test_packed_entries_take_few_bytes(spark, texts):
+    packed = {r["text_id"]: r for r in saved.pack(texts).collect()}
+    sizes = {i: (len(r["symbols"]) // r["n"], len(r["sa"]) // r["n"]) for i, r in packed.items()}
+    assert sizes[1] == (1, 2) and sizes[6] == (4, 2) and saved.symbol_width(kernels.codes("漢") + 1) == 2
+    wanted = ["the", "", "漢", "né", "zz", "𝄞", "ÿ", "h t"]
+    found = saved.find(saved.pack(texts), wanted)
+    assert same(found.select("text_id", "pattern", "sp", "ep", "cnt"), search.find(texts, wanted))
+    assert same(saved.summary(saved.pack(texts), wanted), search.summary(search.find(texts, wanted)))
+    assert same(search.summary_of(texts, wanted), search.summary(search.find(texts, wanted)))
+    long = spark.createDataFrame([(1, "ab" * 40000)], "text_id bigint, text string")
+    assert len(saved.pack(long).first()["sa"]) == 4 * 80001 and saved.find(saved.pack(long), ["bab"]).first()["cnt"] == 39999
