@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases", "documents_matching_statistics", "documents_lcp_intervals"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases", "documents_matching_statistics", "documents_lcp_intervals", "documents_lcp_diff_encoded"]
 TO_SUMS = ["documents_passage_matches", "documents_maximal_summary", "documents_saved_passages", "documents_find"]
 
 
@@ -186,3 +186,9 @@ def test_packed_entries_take_few_bytes(spark, texts):
     assert same(search.summary_of(texts, wanted), search.summary(search.find(texts, wanted)))
     long = spark.createDataFrame([(1, "ab" * 40000)], "text_id bigint, text string")
     assert len(saved.pack(long).first()["sa"]) == 4 * 80001 and saved.find(saved.pack(long), ["bab"]).first()["cnt"] == 39999
+
+
+def test_codes_of_common_prefixes(texts):
+    column = index.suffix_table(texts, ["lcp"])
+    assert same(ranges.lcp_codes(texts), ranges.differences(column))
+    assert same(ranges.lcp_codes(texts, decoded=True), ranges.from_differences(ranges.differences(column)))
