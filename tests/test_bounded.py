@@ -11,7 +11,7 @@ from stringloom.operators import align, index, kernels, matches, navigate, range
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
 NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases", "documents_matching_statistics", "documents_lcp_intervals", "documents_lcp_diff_encoded", "documents_mutual_suffix_order", "documents_lcp_diff_decoded", "documents_partition_statistics", "documents_bwt_rank_at", "documents_run_alignment", "documents_inverse_positions", "documents_maximal_matches", "documents_tree_node_count", "documents_tree_counts"]
-TO_SUMS = ["documents_passage_matches", "documents_maximal_summary", "documents_saved_passages", "documents_find"]
+TO_SUMS = ["documents_passage_matches", "documents_maximal_summary", "documents_saved_passages", "documents_find", "documents_pattern_checked"]
 
 
 @pytest.fixture(scope="module")
@@ -213,3 +213,8 @@ def test_asked_positions_of_texts(texts):
 
 def test_counts_without_nodes(texts):
     assert same(tree.counts_of(texts), tree.counts(tree.tree_nodes(texts)))
+
+
+def test_places_are_checked_where_they_are_found(texts):
+    wanted = ["the", "an", "", "zzqx", "漢", "aa"]
+    assert same(search.checked_of(texts, wanted), search.checked(texts, search.locate(texts, wanted)))
