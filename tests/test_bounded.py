@@ -10,7 +10,7 @@ from stringloom import queries
 from stringloom.operators import align, index, kernels, matches, navigate, ranges, relative, saved, search, tree
 
 TEXTS = {1: "banana bandana", 2: "mississippi", 3: "", 4: "a", 5: "aaaaaaaaaaaa", 6: "naïve né 漢漢 the 𝄞 then the", 7: None, 8: "the hat on the onion, onon e", 9: "the hat in the onion, onon e", 10: "the hat in the onion, onon e"}
-NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases", "documents_matching_statistics", "documents_lcp_intervals", "documents_lcp_diff_encoded", "documents_mutual_suffix_order", "documents_lcp_diff_decoded", "documents_partition_statistics", "documents_bwt_rank_at", "documents_run_alignment", "documents_inverse_positions", "documents_maximal_matches", "documents_tree_node_count", "documents_tree_counts", "documents_locate_ranks", "documents_saved_order_faults", "documents_backward_step"]
+NARROW = ["documents_alignment_partitions", "documents_tree_find", "documents_tree_traversal_digest", "documents_block_alignment", "documents_block_alignment_faults", "documents_run_alignment_faults", "documents_left_right_matches", "documents_psi_k", "documents_rlz_faults", "documents_rlz_phrases", "documents_matching_statistics", "documents_lcp_intervals", "documents_lcp_diff_encoded", "documents_mutual_suffix_order", "documents_lcp_diff_decoded", "documents_partition_statistics", "documents_bwt_rank_at", "documents_run_alignment", "documents_inverse_positions", "documents_maximal_matches", "documents_tree_node_count", "documents_tree_counts", "documents_locate_ranks", "documents_saved_order_faults", "documents_backward_step", "documents_lcp_slice", "documents_extract_bwt"]
 TO_SUMS = ["documents_passage_matches", "documents_maximal_summary", "documents_saved_passages", "documents_find", "documents_pattern_checked"]
 
 
@@ -239,3 +239,10 @@ def test_backward_step_of_texts(texts):
     table = index.suffix_table(texts, ["ch", "first_ch"])
     asked = navigate.char_ranges(table).filter("ch = 'e'").select("text_id", "sp", "ep", F.explode(F.array(F.lit("h"), F.lit("Q"))).alias("ch"))
     assert same(navigate.backward_step_of(texts, "e", ["h", "Q"]), navigate.backward_step(table, index.alphabet(texts), asked))
+
+
+@pytest.mark.parametrize("low,high", [(5, 25), (0, 3), (7, 7)])
+def test_slices_of_texts(texts, low, high):
+    table = index.suffix_table(texts, ["lcp", "ch"])
+    assert same(ranges.lcp_slice_of(texts, low, high), ranges.value_slice(table, low, high))
+    assert same(navigate.extract_bwt_of(texts, low, high), navigate.extract_bwt(table, low, high))
